@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, quality_kernel, quality_rules, sharding, token_files
 
 
 def queries() -> dict:
-    return {"op1_sharding": sharding.op1_sharding, "op3_bpe": bpe.op3_bpe}
+    return {
+        "op1_sharding": sharding.op1_sharding,
+        "op3_bpe": bpe.op3_bpe,
+        "op6_token_files": token_files.op6_token_files,
+        "op8_quality": quality_kernel.op8_quality,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
