@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_kernel, quality_rules, sharding, token_files
+from . import bpe, decontamination, quality_kernel, quality_rules, sharding, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_bpe": bpe.op3_bpe,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_token_files": token_files.op6_token_files,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op8_quality": quality_kernel.op8_quality,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
