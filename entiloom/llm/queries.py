@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_kernel, quality_rules, sharding, token_files, toxicity
+from . import bpe, decontamination, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_token_files": token_files.op6_token_files,
