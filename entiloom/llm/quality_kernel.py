@@ -142,6 +142,16 @@ def isotonic(bins: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.nda
     return np.array([b[0] / b[1] for b in blocks]), np.array([(b[2] + 0.5) / (b[1] + 1) for b in blocks])
 
 
+def apply(model: KernelModel, stats: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and score of every row of stats (key, stats)."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(model.score(matrix(b.column("stats"))), pa.float64())], names=[key, "score"])
+
+    return stats.select(key, "stats").mapInArrow(run, f"`{key}` {stats.schema[key].dataType.simpleString()}, score double")
+
+
 def mean_labels(labels: DataFrame, col: str) -> DataFrame:
     """doc_id, y: a document's mean label; rows with a null id or label don't count."""
     return labels.filter(F.col("doc_id").isNotNull() & F.col(col).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(col).cast("double")).alias("y"))
@@ -155,12 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFra
     labelled = durable(stats.filter(learn).join(mean_labels(labels, "quality"), "doc_id"), "quality-labelled")
     model = fit(labelled, F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(matrix(b.column("stats"))), pa.float64())], names=["doc_id", "score"])
-
-    return stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
-
+    return apply(model, stats)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

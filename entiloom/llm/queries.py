@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
+from . import bpe, decontamination, near_dups, pii, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_pii": pii.op5_pii,
         "op6_token_files": token_files.op6_token_files,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_quality": quality_kernel.op8_quality,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_near_dups": near_dups.op10_near_dups,
     }
 
 
