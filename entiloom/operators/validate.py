@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import double_to_long, q, to_boolean, to_double, to_long
 from ..functions.documents import arithmetic
@@ -54,7 +55,7 @@ def compile_rules(field: DataFrame, spine: DataFrame) -> dict[str, list[FieldRul
     return {k: list(v.values()) for k, v in out.items()}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def evaluated(text: pd.Series) -> pd.Series:
     return text.map(lambda x: arithmetic(x) if isinstance(x, str) else None).astype("float64")
 

@@ -33,14 +33,18 @@ def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bo
 
 def validated(reg: Registry, existing: Registry | None = None) -> Registry:
     """Types coerced, violations in invalid_field, types that are declared but have no rows known as empty."""
-    field, spine = reg.get("field"), reg.get("entity_id")
-    if existing is not None and "field" in existing.tables:
-        field = existing.get("field").unionByName(field, allowMissingColumns=True) if dict(existing.get("field").dtypes) == dict(field.dtypes) else field
-        spine = existing.get("entity_id").unionByName(spine).distinct()
-    rules = validate.compile_rules(field, spine)
+    spine = reg.get("entity_id")
+    old = existing.rules() if existing is not None and "field" in existing.tables else {}
+
+    def rules_now() -> dict[str, list[validate.FieldRule]]:
+        """Those known before come first: the first definition of a name counts."""
+        new = validate.compile_rules(reg.get("field"), spine)
+        return {t: [*old.get(t, []), *[r for r in new.get(t, []) if r.name not in {o.name for o in old.get(t, [])}]] for t in {**old, **new}}
+
+    rules = rules_now()
     if "field" in rules and "field" in reg.tables:
         reg.update({"field": durable(validate.coerce(reg.get("field"), rules["field"]), "field")})
-        rules = validate.compile_rules(reg.get("field") if existing is None else field, spine)
+        rules = rules_now()
     broken = reg.spark.createDataFrame([], validate.VIOLATION)
     done = {}
     for name, table in reg.tables.items():
@@ -73,7 +77,8 @@ def derived(reg: Registry, existing: Registry | None = None, load_time: object =
     if "field" in reg.tables:
         reg.update({"field": durable(graph.inherited(reg.get("field"), edges), "derived-field")})
     if load_time is not None:
-        reg.update({n: derive.time_filled(reg.get(n), f, load_time) for n in reg.component_types if (f := reg.time_field(n))})
+        known = lambda n: reg.time_field(n) or (existing.time_field(n) if existing is not None else None)
+        reg.update({n: derive.time_filled(reg.get(n), f, load_time) for n in reg.component_types if (f := known(n))})
     with_derived(reg, edges, period)
     return validated(reg, existing)
 

@@ -28,23 +28,25 @@ def file_id(path: Column) -> Column:
     return F.when(plain.startswith(here), F.substring(plain, len(here) + 1, 1 << 20)).otherwise(plain)
 
 
-def read_files(spark: SparkSession, paths: list[str], pattern: str, kind: str) -> DataFrame:
-    """file_id, kind, text of all files below the paths whose name matches."""
-    none = spark.createDataFrame([], RAW)
+def read_files(spark: SparkSession, paths: list[str], endings: tuple[str, ...], kind: str) -> DataFrame:
+    """file_id, kind, text of the files named, and of all files below the folders named, with one of the endings."""
+    found = spark.createDataFrame([], RAW)
     for path in paths:
-        names = pattern if not path.rsplit("/", 1)[-1].count(".") else None
-        if names is None and not path.endswith(tuple(pattern.strip("*{}").replace("*", "").split(","))):
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+            texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*{" + ",".join(endings) + "}")
+        elif path.endswith(endings):
+            texts = spark.read.text(path, wholetext=True)
+        else:
             continue
-        reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        found = (reader.option("pathGlobFilter", names) if names else reader).text(path)
-        none = none.unionByName(found.select(file_id(F.col("_metadata.file_path")).alias("file_id"), F.lit(kind).alias("kind"), F.col("value").alias("text")))
-    return none.dropDuplicates(["file_id"])
+        found = found.unionByName(texts.select(file_id(F.col("_metadata.file_path")).alias("file_id"), F.lit(kind).alias("kind"), F.col("value").alias("text")))
+    return found.dropDuplicates(["file_id"])
 
 
 def raw_documents(spark: SparkSession, paths: str | Iterable[str] | None = None, yaml: dict[str, str] | None = None, python: dict[str, str] | None = None, builtins: bool = True) -> DataFrame:
     """file_id, kind, text. Files win over texts in memory with the same id, Python over YAML; built-ins come along."""
     paths = as_paths(paths)
-    files = read_files(spark, paths, "*{.yaml,.yml}", "yaml").unionByName(read_files(spark, paths, "*.py", "python"))
+    files = read_files(spark, paths, (".yaml", ".yml"), "yaml").unionByName(read_files(spark, paths, (".py",), "python"))
     given = [(k, "yaml", v) for k, v in (yaml or {}).items()] + [(k, "python", v) for k, v in (python or {}).items()]
     if builtins:
         given.append((f"builtins.{COMPONENTS}", "yaml", BUILTIN.read_text(encoding="utf-8")))
@@ -71,7 +73,7 @@ def flat_documents(raw: DataFrame) -> DataFrame:
 def csv_tables(spark: SparkSession, paths: str | Iterable[str] | None) -> dict[str, DataFrame]:
     """`<stem>_comp` -> rows of the CSV files with that stem: entity_id (of the file), component_index (the row's place),
     modifier (null), and the columns, typed as long, double or boolean where all their values are; dates stay text."""
-    found = read_files(spark, as_paths(paths), "*.csv", "csv")
+    found = read_files(spark, as_paths(paths), (".csv",), "csv")
     out: dict[str, DataFrame] = {}
     for name in sorted(r.file_id for r in found.select("file_id").collect()):
         stem = Path(name).stem
@@ -105,6 +107,6 @@ def read_csv(spark: SparkSession, document: DataFrame, name: str) -> DataFrame:
 
 def csv_spine(spark: SparkSession, paths: str | Iterable[str] | None) -> DataFrame:
     """One entity for each CSV file; its id is the hash of the file's id, its path ends in the file's stem."""
-    found = read_files(spark, as_paths(paths), "*.csv", "csv").select("file_id")
+    found = read_files(spark, as_paths(paths), (".csv",), "csv").select("file_id")
     stem = F.regexp_extract("file_id", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return found.select(entity_id(F.col("file_id")).alias("value"), F.concat_ws(":", "file_id", stem).alias("path"), stem.alias("alias"), stem.alias("entity_key"), F.col("file_id").alias("filepath"))
