@@ -81,18 +81,18 @@ def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return counted.select(key, "w.*", "s.*")
 
 
-#: What conditions look at: shares of counts, as expressions of text_statistics().
+#: What conditions look at: shares of counts, as SQL expressions of text_statistics()'s columns.
 RATES = {
-    "words": F.col("n_words").cast("double"),
-    "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
-    "symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)),
-    "upper_share": F.col("n_upper") / F.greatest("word_chars", F.lit(1)),
-    "bang_share": F.col("n_bangs") / F.greatest("n_words", F.lit(1)),
-    "digit_share": F.col("n_digits") / F.greatest("word_chars", F.lit(1)),
-    "kind_share": F.col("n_kinds") / F.greatest("n_words", F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
-    "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-}
+    "words": "cast(n_words as double)",
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "upper_share": "n_upper / greatest(word_chars, 1)",
+    "bang_share": "n_bangs / greatest(n_words, 1)",
+    "digit_share": "n_digits / greatest(word_chars, 1)",
+    "kind_share": "n_kinds / greatest(n_words, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+}
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,8 @@ class Condition:
     cut: float
 
     def test(self) -> Column:
-        return RATES[self.rate] >= F.lit(self.cut) if self.above else RATES[self.rate] < F.lit(self.cut)
+        rate = F.expr(RATES[self.rate])
+        return rate >= F.lit(self.cut) if self.above else rate < F.lit(self.cut)
 
     def __str__(self) -> str:
         return f"{self.rate} {'>=' if self.above else '<'} {self.cut:g}"
@@ -119,11 +120,11 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, cuts
     the prune fold (or, where that has none, the grow fold) is bad in `precision` of its rows; the first rule
     that isn't ends the list. Without labelled rows of both kinds there are no rules."""
     steps = [i / cuts for i in range(1, cuts)]
-    row = labelled.agg(F.sum("bad").alias("_bad"), F.count("*").alias("_n"), *[F.percentile_approx(v, steps, 10_000).alias(k) for k, v in RATES.items()]).first()
+    row = labelled.agg(F.sum("bad").alias("_bad"), F.count("*").alias("_n"), *[F.percentile_approx(F.expr(v), steps, 10_000).alias(k) for k, v in RATES.items()]).first()
     if not row["_bad"] or row["_bad"] == row["_n"]:
         return []
     grid = {k: sorted(set(row[k])) for k in RATES}
-    number = lambda k: reduce(lambda a, c: a + c, [(RATES[k] >= F.lit(c)).cast("int") for c in grid[k]], F.lit(0))
+    number = lambda k: reduce(lambda a, c: a + c, [(F.expr(RATES[k]) >= F.lit(c)).cast("int") for c in grid[k]], F.lit(0))
     bins = F.posexplode(F.array(*[number(k) for k in RATES])).alias("rate", "bin")
     rules: list[list[Condition]] = []
     rest = labelled
