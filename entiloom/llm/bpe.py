@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, text_pieces, with_columns
+from .stretches import Stretches, gather
 
 #: Fixed value: how byte-level BPE of this family cuts a text into words.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -55,6 +56,7 @@ class MergeTable:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         self.size = np.fromiter(map(len, table), np.int64, self.base)
         self.at = np.cumsum(self.size) - self.size
+        self.cache = Stretches(self.encode_new, whole=tuple(self.special))
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -105,7 +107,8 @@ class MergeTable:
         word, sym = (np.concatenate(x) for x in zip(*done, strict=True))
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts one after another, and how many each has; each distinct word is merged once."""
         known: dict[str, int] = {}
         codes, ends = [], []
         for text in texts:
@@ -113,21 +116,16 @@ class MergeTable:
             ends.append(len(codes))
         ids, size = self.merge(list(known))
         code = np.array(codes, np.int64)
-        out = gather(ids, np.cumsum(size) - size, size, code)
-        cuts = np.r_[0, np.cumsum(size[code])][ends] if len(code) else np.zeros(len(ends), np.int64)
-        return np.split(out, cuts[:-1])
+        before = np.r_[0, np.cumsum(size[code])][np.r_[0, ends].astype(np.int64)]
+        return gather(ids, np.cumsum(size) - size, size, code), np.diff(before)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.cache.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         return gather(self.flat, self.at, self.size, ids).tobytes().decode("utf-8", "replace")
 
 
-def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """flat[at[i] : at[i] + size[i]] of all items, one after another."""
-    n = size[items]
-    ends = np.cumsum(n)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[items] - ends + n, n)]
-
-
 @functools.lru_cache(4)
 def table(path: str) -> MergeTable:
     return MergeTable(path)

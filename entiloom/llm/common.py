@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task holds at once as numpy arrays.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 3_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

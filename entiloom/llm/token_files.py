@@ -10,8 +10,8 @@ up by control byte and reads all values of a block at once.
 from __future__ import annotations
 
 import functools
+import os
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import gather
 from .common import durable, read, shared_dir, shuffle_partitions, text_pieces
+from .stretches import Stretches
 
-#: Ids in a block, more only if one document has more; entries of a task's cache of encoded words.
-BLOCK_IDS, CACHE = 200_000, 400_000
+#: Ids in a block, more only if one document has more.
+BLOCK_IDS = 200_000
 #: Values' lengths by control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -51,6 +51,7 @@ def unpack(control: bytes, payload: bytes, n: int) -> np.ndarray:
 
 @functools.lru_cache(4)
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
@@ -59,58 +60,51 @@ def tokenizer(path: str):
     return out
 
 
-class Words:
-    """Encodes texts with the library, once for each distinct stretch between blanks. The vocabulary's splitter never
-    crosses white space and drops it, so a text's ids are those of its stretches one after another."""
-
-    def __init__(self, path: str):
-        self.library = tokenizer(path)
-        self.clear()
-
-    def clear(self):
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.at, self.size = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.clear()
-        known, before = self.known, len(self.known)
-        codes, ends = [], []
-        for text in texts:
-            codes += [known.setdefault(w, len(known)) for w in text.replace("\n", " ").split(" ")]
-            ends.append(len(codes))
-        if len(known) > before:
-            new = [e.ids for e in self.library.encode_batch_fast(list(known)[before:], add_special_tokens=False)]
-            size = np.fromiter(map(len, new), np.int64, len(new))
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.int32, size.sum())])
-            self.size = np.concatenate([self.size, size])
-        code = np.array(codes, np.int64)
-        out = gather(self.ids, self.at, self.size, code)
-        return np.split(out, np.cumsum(self.size[code])[np.array(ends[:-1], np.int64) - 1] if len(ends) > 1 else [])
+@functools.lru_cache(4)
+def cache(path: str) -> Stretches:
+    """The library's encoding, called once for each distinct stretch; it stays with the Python worker."""
+    library = tokenizer(path)
+    apart = "<|startoftext|>"  # an added token, which no stretch holds, parts the stretches of one call
+    apart_id = library.token_to_id(apart)
+
+    def new(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if apart_id is None or any("<|" in x for x in texts):
+            ids = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((i for x in ids for i in x), np.int32, size.sum()), size
+        parts = [np.array(library.encode_batch_fast([apart.join(texts[i : i + 500]) + apart], add_special_tokens=False)[0].ids, np.int32) for i in range(0, len(texts), 500)]
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(ids == apart_id)
+        return ids[ids != apart_id], np.diff(np.r_[-1, ends]) - 1
+
+    return Stretches(new, fold=True, whole=("<|",))
+
+
+def id_kind(path: str, end_id: int) -> str:
+    return "<u2" if max(tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
 
 def encode_library(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, a hash of the text, and the ids with end_id after them, as little-endian unsigned 32-bit integers."""
-    kind = df.schema[key].dataType.simpleString()
+    """key, a hash of the text, and the ids with end_id after them, as little-endian integers of id_kind()."""
+    kind, narrow = df.schema[key].dataType.simpleString(), id_kind(path, end_id)
 
     def run(batches):
-        words = Words(path)
+        words = cache(path)
         for batch, texts in text_pieces(batches, text):
-            ids = [np.append(x, end_id).astype("<u4").tobytes() for x in words.encode(texts)]
+            ids = [np.append(x, end_id).astype(narrow).tobytes() for x in words.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_hash"), pa.array(ids, pa.binary())], names=[key, "_hash", "ids"])
 
     return df.select(key, F.xxhash64(text).alias("_hash"), text).mapInArrow(run, f"`{key}` {kind}, _hash bigint, ids binary")
 
 
-def frequency_ranks(encoded: DataFrame) -> DataFrame:
+def frequency_ranks(encoded: DataFrame, narrow: str) -> DataFrame:
     """(id, rank): ids by falling count over the whole corpus, then by id. At most a row for each id of a vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column("ids"):
-                n = np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(x.as_py(), narrow), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         ids = np.flatnonzero(total)
@@ -125,8 +119,9 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int, key: s
     equal keys lie in the order of a hash of their texts. Range partitions split on both, so rows that share a key do
     not all meet in one task. An empty table gives tables without rows. Other columns are not written."""
     spark = df.sparkSession
+    narrow = id_kind(path, end_id)
     encoded = durable(encode_library(df, path, end_id, key, text), "ids")
-    frequency_ranks(encoded).write.mode("overwrite").parquet(f"{folder}/ranks")
+    frequency_ranks(encoded, narrow).write.mode("overwrite").parquet(f"{folder}/ranks")
     ranks = spark.read.parquet(f"{folder}/ranks").collect()  # bounded by the vocabulary
     rank_of = np.zeros(max([r.id for r in ranks], default=0) + 1, np.uint32)
     for r in ranks:
@@ -148,7 +143,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int, key: s
             key_type = batch.schema.field(key).type
             kinds = [pa.int32(), pa.int32(), pa.list_(key_type), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             for k, x in zip(batch.column(key).to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(x.as_py(), "<u4")
+                ids = np.frombuffer(x.as_py(), narrow)
                 if n and n + len(ids) > BLOCK_IDS:
                     yield out()
                     keys, parts, n, block = [], [], 0, block + 1
