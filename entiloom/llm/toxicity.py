@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, id_crc, read, text_pieces
+from .stretches import gather
 
 TERM = re.compile(r"\w+")
 #: Examples of each class in the index, terms in its vocabulary, neighbours that vote, examples in a block.
@@ -47,7 +48,8 @@ class BlockMaxIndex:
         self.most = np.zeros((len(self.terms), max(1, self.blocks)), np.float32)
         term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
         np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
-        self.cuts = np.array([np.searchsorted(self.example[a:b], np.arange(self.blocks + 1) * BLOCK) + a for a, b in zip(self.starts, self.starts[1:], strict=False)])
+        self.places = np.arange(len(self.example))
+        self.cuts = np.array([np.searchsorted(self.example[a:b], np.arange(self.blocks + 1) * BLOCK) + a for a, b in zip(self.starts, self.starts[1:], strict=False)], np.int64).reshape(-1, self.blocks + 1)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         get, n = self.terms.get, {}
@@ -61,18 +63,23 @@ class BlockMaxIndex:
     def nearest(self, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest positive cosine and these; equal ones: the lower number first."""
         bound = x @ self.most[ids]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         who, how = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(how) >= k and bound[b] * (1 + 1e-5) < how[-1]:
-                break
-            cos = np.zeros(BLOCK)
-            for t, v in zip(ids, x, strict=True):
-                span = slice(self.cuts[t, b], self.cuts[t, b + 1])
-                cos[self.example[span] - b * BLOCK] += v * self.weight[span]
-            hit = np.flatnonzero(cos > 0)
-            who, how = np.r_[who, hit + b * BLOCK], np.r_[how, cos[hit]]
-            order = np.lexsort((who, -how))[:k]
-            who, how = who[order], how[order]
+        at, step = 0, 2
+        while at < len(order) and not (len(how) >= k and bound[order[at]] * (1 + 1e-5) < how[-1]):
+            blocks = order[at : at + step]  # more at a time as the bounds fall: each opening is one vector operation
+            at, step = at + step, step * 2
+            first = self.cuts[ids][:, blocks].ravel()
+            size = self.cuts[ids][:, blocks + 1].ravel() - first
+            spans = gather(self.places, first, size, np.arange(len(first)))
+            cos = np.bincount(self.example[spans], weights=np.repeat(np.repeat(x, len(blocks)), size) * self.weight[spans], minlength=len(self.labels))
+            hit = np.flatnonzero(cos)
+            if len(how) >= k:
+                hit = hit[cos[hit] >= how[-1]]
+            who, how = np.r_[who, hit], np.r_[how, cos[hit]]
+            best = np.lexsort((who, -how))[:k]
+            who, how = who[best], how[best]
         return who, how
 
     def score(self, text: str, k: int) -> tuple[float, list[int], list[float]]:
@@ -123,6 +130,14 @@ def fit(docs: DataFrame, known: DataFrame, examples: int = EXAMPLES, terms: int
     rows = [(number[t.term], i, (1 + np.log(t.n)) * idf[number[t.term]]) for i, r in enumerate(kept) for t in r.t]
     term, example, weight = (np.array(v) for v in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     norm = np.sqrt(np.bincount(example, weights=weight**2, minlength=len(y)))
+    # Like examples lie together, which keeps the block maxima tight: by label, then by the term of the most weight.
+    lead = np.full(len(y), -1)
+    heavy = np.lexsort((term, weight))
+    lead[example[heavy]] = term[heavy]
+    moved = np.lexsort((np.arange(len(y)), lead, y))
+    place = np.empty(len(y), np.int64)
+    place[moved] = np.arange(len(y))
+    y, case, norm, example = y[moved], case[moved], norm[moved], place[example]
     order = np.lexsort((example, term))
     lone = norm == 0
     prior = float(case @ y / case.sum())
