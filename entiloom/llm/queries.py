@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, near_dups, pii, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
+from . import bpe, decontamination, near_dups, oracles, pii, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
