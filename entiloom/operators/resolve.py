@@ -31,11 +31,21 @@ def resolve(refs: DataFrame, spine: DataFrame) -> DataFrame:
     return found.select("ref", F.when(F.col("n_candidates") == 1, F.col("eid")).alias("eid"), "n_candidates")
 
 
-def with_resolved(table: DataFrame, fields: list[str], spine: DataFrame) -> DataFrame:
-    """table with `<field>_eid` for each field, null where the reference is unknown or ambiguous."""
+def references(tables: dict[str, DataFrame], fields: dict[str, list[str]]) -> DataFrame | None:
+    """ref: the texts of all reference fields of all tables, so that they are resolved together."""
+    out = None
+    for name, names in fields.items():
+        for f in names:
+            refs = tables[name].select(F.col(f"`{f}`").cast("string").alias("ref"))
+            out = refs if out is None else out.unionAll(refs)
+    return out
+
+
+def with_resolved(table: DataFrame, fields: list[str], found: DataFrame) -> DataFrame:
+    """table with `<field>_eid` for each field, null where the reference is unknown or ambiguous; found: ref, eid."""
     for f in fields:
-        found = resolve(table.select(F.col(f"`{f}`").cast("string").alias("ref")), spine).select(F.col("ref").alias("_ref"), F.col("eid").alias(f"{f}_eid"))
-        table = table.drop(f"{f}_eid").join(found, F.col(f"`{f}`").cast("string") == F.col("_ref"), "left").drop("_ref")
+        hit = found.select(F.col("ref").alias("_ref"), F.col("eid").alias(f"{f}_eid"))
+        table = table.drop(f"{f}_eid").join(hit, F.col(f"`{f}`").cast("string") == F.col("_ref"), "left").drop("_ref")
     return table
 
 

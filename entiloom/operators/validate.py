@@ -64,11 +64,15 @@ SUM = r"^[0-9.eE()\s]*[-+*/][-+*/0-9.eE()\s]*$"
 
 
 def with_arithmetic(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Texts such as `4 / 50` in these columns become their value; only rows that look like it reach Python."""
-    for c in columns:
-        col = F.col(q(c))
-        if df.filter(col.rlike(SUM) & to_double(col).isNull()).limit(1).count():
-            df = df.withColumn(c, F.coalesce(F.when(col.rlike(SUM) & to_double(col).isNull(), evaluated(F.when(col.rlike(SUM) & to_double(col).isNull(), col)).cast("string")), col))
+    """Texts such as `4 / 50` in these columns become their value. One scan finds the columns that hold any, so that the
+    rows of others never reach Python."""
+    sums = {c: F.col(q(c)).rlike(SUM) & to_double(F.col(q(c))).isNull() for c in columns}
+    if not sums:
+        return df
+    some = df.agg(*[F.max(s).alias(f"c{i}") for i, s in enumerate(sums.values())]).first()
+    for i, (c, s) in enumerate(sums.items()):
+        if some[f"c{i}"]:
+            df = df.withColumn(c, F.coalesce(evaluated(F.when(s, F.col(q(c)))).cast("string"), F.col(q(c))))
     return df
 
 

@@ -68,7 +68,10 @@ def derived(reg: Registry, existing: Registry | None = None, load_time: object =
     spine = reg.get("entity_id")
     rules = reg.rules()
     refs = {n: [r.name for r in rs if r.type == "entity_ref" and r.name in reg.tables[n].columns] for n, rs in rules.items() if n in reg.tables and n != "same_as"}
-    reg.update({n: resolve.with_resolved(reg.get(n), fields, spine) for n, fields in refs.items() if fields and n != "parent"})
+    refs = {n: fields for n, fields in refs.items() if fields and n != "parent"}
+    if refs:
+        found = durable(resolve.resolve(resolve.references(reg.tables, refs), spine), "references")
+        reg.update({n: resolve.with_resolved(reg.get(n), fields, found) for n, fields in refs.items()})
     edges = durable(graph.parents(spine, reg.tables.get("parent")), "parent")
     text = {n: [r.name for r in rs if r.type == "description"] for n, rs in rules.items() if n in reg.tables}
     if "description" in reg.tables:
@@ -148,10 +151,11 @@ class Registrar:
         self.hook("validated", new)
         new = derived(new, existing, time, period)
         self.hook("derived", new)
-        new.update({n: durable(t, n) for n, t in new.tables.items()})
+        first = existing is None
         self.registry.merge(new)
-        if existing is not None:
-            self.registry.update({n: durable(t, n) for n, t in self.registry.tables.items()})
+        changed = new.tables.keys()
+        self.registry.update({n: durable(t, n) for n, t in self.registry.tables.items() if n in changed})
+        if not first:
             with_derived(self.registry, self.registry.get("parent"), period)
 
     def overwrite(self, component_type: str, table: DataFrame) -> None:
