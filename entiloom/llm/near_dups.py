@@ -5,11 +5,12 @@ at value 4t and goes round). Classes that share the first values of an order for
 four values that holds more than 64 classes is split by more values, up to sixteen. In regions of every depth the
 most central class (the one with the most company over all its regions) is a candidate for every other; in the last
 ones neighbours in sorted order, those of the longest common prefix, are candidates too. Candidates are confirmed on
-full sets and joined to components; then classes that still share a last region with another component are
-compared across, so that inside these regions no link that could join two components stays unseen.
+full sets and joined to components. Then classes that still share a region with another component are compared across:
+pair by pair in first regions of 64 at most, and in blocks in larger ones. So no link between two classes
+that share a region, and that would join two components, stays unseen.
 
-All groups are handled by aggregates and joins; none is gathered, and a group of n classes makes O(n) candidates but
-for the final comparison of at most 64 in a region.
+Groups are handled by aggregates and joins; none is gathered, and n classes of a region make O(n) candidates. Only
+what is left of large regions, the classes outside the largest component, meets the whole region, in bounded blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .common import durable, read, text_pieces
 
 ORDERS, FIRST = 24, 4
 VALUES = ORDERS * FIRST
-DEPTHS = (4, 6, 8, 12, 16)
-LAST, NEXT = 64, 3
+DEPTHS = (4, 8, 16)
+LAST, NEXT = 64, 1
+#: Shingles of a block's sets where large regions are compared; one longer set makes a block of its own size.
+BLOCK_SHINGLES = 60_000
 #: Pairs whose signatures agree in fewer of the 96 values aren't confirmed: five deviations below a similarity of 0.8.
 LEAST_EQUAL = 57
 
@@ -88,8 +91,9 @@ def prefix(depth: int) -> Column:
     return F.xxhash64(F.expr(f"substring(twice, tree * {4 * FIRST} + 1, {4 * depth})"))
 
 
-def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of set keys, and the members (tree, region, set_key) of the last regions."""
+def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of set keys; and the members (tree, region, set_key) of first regions: of small ones, and of
+    those that were split."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree")
     rows = classes.select("set_key", F.concat("sig", "sig").alias("twice"), trees).select("set_key", "tree", prefix(DEPTHS[0]).alias("region"))
     shared = rows.groupBy("tree", "region").agg(F.count("*").alias("n")).filter("n > 1")
@@ -97,20 +101,21 @@ def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     central = leaves.groupBy("set_key").agg(F.sum("n").alias("company"))
     sigs = classes.join(central, "set_key").select("set_key", "company", "sig", F.concat("sig", "sig").alias("twice"))
     level = leaves.select("set_key", "tree").join(sigs, "set_key")
-    pairs, last = [], []
+    pairs = []
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None], strict=True):
         level = level.withColumn("region", prefix(depth))
         hubs = level.groupBy("tree", "region").agg(F.count("*").alias("n"), F.max(F.struct("company", "set_key")).alias("hub")).filter("n > 1")
         placed = durable(level.join(hubs.select("tree", "region", "n", F.col("hub.set_key").alias("hub")), ["tree", "region"]), f"regions-{depth}")
         pairs.append(placed.filter("set_key != hub").select(F.least("set_key", "hub").alias("a"), F.greatest("set_key", "hub").alias("b")))
         final = placed.filter(F.col("n") <= LAST)
-        last.append(final.select(F.lit(depth).alias("depth"), "tree", "region", "set_key"))
         order = Window.partitionBy("tree", "region").orderBy(F.expr(f"substring(twice, tree * {4 * FIRST} + 1, {4 * VALUES})"), "set_key")
         near = final.select("set_key", F.array(*[F.lead("set_key", k).over(order) for k in range(1, NEXT + 1)]).alias("others")).select("set_key", F.explode("others").alias("other")).filter("other is not null")
         pairs.append(near.select(F.least("set_key", "other").alias("a"), F.greatest("set_key", "other").alias("b")))
+        if depth == DEPTHS[0]:
+            small, dense = final.select("tree", "region", "set_key"), placed.filter(F.col("n") > LAST).select("tree", "region", "set_key")
         level = placed.filter(F.col("n") > LAST).select("set_key", "tree", "company", "sig", "twice")
     union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionAll(xs[1]), *xs[2:]])
-    return union(pairs).distinct(), union(last)
+    return union(pairs).distinct(), small, dense
 
 
 def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -126,17 +131,19 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets, read again from one text of each class."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    wanted = classes.join(keys, "set_key").select("doc_id", "text_hash", "set_key")
+def full_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """set_key, shingles: the full sets of the classes, read again from one text of each."""
 
     def full(batches):
         for batch, texts in text_pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array([shingle_set(x, width).tobytes() for x in texts], pa.binary())], names=["set_key", "shingles"])
 
-    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["doc_id", "text_hash"])
-    sets = durable(text.select("set_key", "text").mapInArrow(full, "set_key binary, shingles binary").dropDuplicates(["set_key"]), "sets")
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(classes.select("doc_id", "text_hash", "set_key"), ["doc_id", "text_hash"])
+    return text.select("set_key", "text").mapInArrow(full, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union of their full sets."""
     both = pairs.join(sets.withColumnsRenamed({"set_key": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"set_key": "b", "shingles": "set_b"}), "b")
 
     def run(batches):
@@ -154,6 +161,53 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sorted sets, from one product of incidence matrices."""
+    left, right = np.concatenate(xs), np.concatenate(ys)
+    shared = np.intersect1d(left, right)
+    rows = []
+    for flat, sets in ((left, xs), (right, ys)):
+        at = np.searchsorted(shared, flat)
+        hit = (at < len(shared)) & (shared[np.minimum(at, max(0, len(shared) - 1))] == flat) if len(shared) else np.zeros(len(flat), bool)
+        m = np.zeros((len(sets), len(shared)), np.float32)
+        m[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]] = 1
+        rows.append(m)
+    return np.rint(rows[0] @ rows[1].T).astype(np.int64)
+
+
+def dense_links(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that could join components inside regions too large to compare pair by pair.
+
+    dense: tree, region, set_key. Of each such region with several components, the classes outside its largest
+    component meet all classes of the region, in blocks of bounded size (BLOCK_SHINGLES on either side); a pair of
+    blocks is one row, and only links leave it. So every pair that shares a region has been compared or has been joined."""
+    where = dense.join(roots.withColumnRenamed("key", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    shares = where.groupBy("tree", "region", "root").agg(F.count("*").alias("n"))
+    main = shares.groupBy("tree", "region").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    rows = durable(where.join(main.select("tree", "region", F.col("top.root").alias("main")), ["tree", "region"]).join(sets, "set_key"), "dense")
+    weight = F.sum(F.octet_length("shingles") / 8)
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        number = side.groupBy("tree", "region").agg(F.ceil(weight / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        dealt = side.join(number, ["tree", "region"]).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+        return dealt.groupBy("tree", "region", "block").agg(F.collect_list(F.struct("set_key", "root", "shingles")).alias(name)).drop("block")
+
+    met = blocks(rows.filter("root != main"), "xs").join(blocks(rows, "ys"), ["tree", "region"])
+
+    def run(batches):
+        for batch in batches:
+            for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
+                a, b = ([np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (xs, ys))
+                common = common_counts(a, b)
+                size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+                hits = np.argwhere(100 * common >= percent * (size - common))
+                out = [(xs[i]["set_key"], ys[j]["set_key"]) for i, j in hits if xs[i]["root"] != ys[j]["root"]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+
+    return met.select("xs", "ys").mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """key, root: the least key that links lead to, for every key in links (a, b). Each round hands the least known
     root to neighbours and then follows roots; rounds grow with the logarithm of a component's width, and each is cut
@@ -183,18 +237,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4) -> DataF
     first = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     reps = first.select("set_key", "one.doc_id", "one.text_hash")
     classes = durable(usable.select("doc_id", "text_hash", "set_key", "sig").join(reps, ["set_key", "doc_id", "text_hash"], "left_semi").dropDuplicates(["set_key"]), "classes")
-    pairs, last = forest(classes)
+    pairs, small, dense = forest(classes)
     pairs = durable(alike(pairs, classes), "candidates")
-    links = durable(confirmed(pairs, classes, docs, percent, width), "links")
+    company = classes.join(small.select("set_key").unionAll(dense.select("set_key")).distinct(), "set_key", "left_semi")
+    sets = durable(full_sets(company, docs, width), "sets")
+    links = durable(confirmed(pairs, sets, percent), "links")
     roots = components(links)
-    where = last.join(roots.withColumnRenamed("key", "set_key"), "set_key", "left").select("depth", "tree", "region", "set_key", F.coalesce("root", "set_key").alias("root"))
-    split = where.groupBy("depth", "tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1 and n > 2").select("depth", "tree", "region")
-    open_ = durable(where.join(split, ["depth", "tree", "region"]), "open-regions")
-    x, y = open_.select("depth", "tree", "region", F.col("set_key").alias("a"), F.col("root").alias("ra")), open_.select("depth", "tree", "region", F.col("set_key").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, ["depth", "tree", "region"]).filter("a < b and ra != rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = durable(confirmed(durable(alike(across, classes), "across"), classes, docs, percent, width), "more-links")
+    where = small.join(roots.withColumnRenamed("key", "set_key"), "set_key", "left").select("tree", "region", "set_key", F.coalesce("root", "set_key").alias("root"))
+    split = where.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1 and n > 2").select("tree", "region")
+    open_ = durable(where.join(split, ["tree", "region"]), "open-regions")
+    x, y = open_.select("tree", "region", F.col("set_key").alias("a"), F.col("root").alias("ra")), open_.select("tree", "region", F.col("set_key").alias("b"), F.col("root").alias("rb"))
+    across = x.join(y, ["tree", "region"]).filter("a < b and ra != rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    found = confirmed(durable(alike(across, classes), "across"), sets, percent).unionAll(dense_links(dense, roots, sets, percent))
+    more = durable(found.distinct(), "more-links")
     if not more.isEmpty():
-        roots = components(links.unionAll(more))
+        lead = roots.select(F.col("key"), F.col("root").alias("lead"))
+        mapped = more.join(lead.withColumnsRenamed({"key": "a", "lead": "la"}), "a", "left").join(lead.withColumnsRenamed({"key": "b", "lead": "lb"}), "b", "left")
+        onward = components(mapped.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).select(F.col("key").alias("root"), F.col("root").alias("far"))
+        every = roots.unionAll(mapped.filter("la is null").select("a", "a")).unionAll(mapped.filter("lb is null").select("b", "b")).distinct()
+        roots = every.join(onward, "root", "left").select("key", F.coalesce("far", "root").alias("root"))
     ids = reps.select(F.col("set_key").alias("key"), "doc_id")
     of = ids.join(roots, "key", "left").select(F.col("key").alias("set_key"), F.coalesce("root", "key").alias("root"), "doc_id")
     least = of.groupBy("root").agg(F.min("doc_id").alias("least"))
