@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, derive, eav, export, graph, resolve, validate
 from ..operators.views import current
 from ..sources import manifests
-from ..sources.tables import durable
+from ..sources.tables import durable, durable_all
 from .registry import Registry
 
 Hook = Callable[[str, object], None]
@@ -24,7 +24,7 @@ def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bo
     kv = durable(eav.key_value(flat.filter("kind = 'pair'")), "key-value")
     spine = eav.spine(flat.filter("kind = 'entity'")).unionByName(manifests.csv_spine(spark, paths))
     types = eav.component_types(kv)
-    tables = {t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")}
+    tables = durable_all({t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")})
     for name, rows in manifests.csv_tables(spark, paths).items():
         tables[name] = tables[name].unionByName(rows, allowMissingColumns=True) if name in tables else rows
         types = types.unionByName(rows.select("entity_id", "component_index", F.lit(name).alias("component_type"), "modifier", F.lit(False).alias("derived"), F.lit(False).alias("skip_on_export")))
@@ -98,7 +98,7 @@ def with_derived(reg: Registry, edges: DataFrame, period: str = "28 days") -> No
         out["priority_product"] = graph.ancestor_product(pairs, ids, p)
     if {"impact", "cost"} & reg.tables.keys():
         out["resolved_impact_cost"] = derive.impact_cost(reg.get("impact"), reg.get("cost"), reg.tables.get("impact_budget"), reg.tables.get("cost_budget"))
-    written = {n: durable(t, n) for n, t in out.items()}
+    written = durable_all(out)
     reg.update({n: t for n, t in written.items() if not t.isEmpty()})
 
 
@@ -154,7 +154,7 @@ class Registrar:
         first = existing is None
         self.registry.merge(new)
         changed = new.tables.keys()
-        self.registry.update({n: durable(t, n) for n, t in self.registry.tables.items() if n in changed})
+        self.registry.update(durable_all({n: t for n, t in self.registry.tables.items() if n in changed}))
         if not first:
             with_derived(self.registry, self.registry.get("parent"), period)
 

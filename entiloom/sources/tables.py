@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,12 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_all(tables: dict[str, DataFrame], at_once: int = 8) -> dict[str, DataFrame]:
+    """Several small tables made durable, some at a time: each is a job of few tasks that leaves most cores idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(tables, pool.map(durable, tables.values(), tables), strict=True))
+
+
 def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
