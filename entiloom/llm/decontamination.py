@@ -71,7 +71,7 @@ def probes(items: DataFrame, share: float = SHARE) -> DataFrame:
     return flat.join(rare, "hash").select("hash", "_item", rank.alias("_rank"), F.count("*").over(of).alias("_n")).filter(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * share) + 1).select("hash", "_item")
 
 
-def agreement(pair: str = "") -> Column:
+def agreement() -> Column:
     """The share of an item's slot values that stand for one value of the document wherever a window matches; 1 without
     slots. A window's place in the document is its first."""
 

@@ -147,7 +147,7 @@ def test_toxicity_neighbours_are_exact_and_held_out_is_ranked(spark):
 def test_pii_base_and_bootstrap(spark):
     texts = ["mail a.b@c-d.example.com, ip 10.0.0.256 and 10.0.0.255", "4111 1111 1111 1111 and +1 (017) 555-7713", "1.2.3.4.5 x@y z@w.v.u", None, "+1 2 3", "4111111111111112"]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {0: [(0, 5, 24), (1, 44, 54)], 1: [(2, 0, 19), (3, 24, 41)], 2: [(0, 14, 21), (1, 0, 7)][:1] + [(1, 0, 7)], 3: [], 4: [], 5: []}
+    assert got == {0: [(0, 5, 24), (1, 44, 54)], 1: [(2, 0, 19), (3, 24, 41)], 2: [(0, 14, 21), (1, 0, 7)], 3: [], 4: [], 5: []}
     seeds = [(i, f"please call me now +1 (212) 555-{1000 + i} before noon") for i in range(30)]
     new = [(99, "please call me now 212-555-0199 before noon"), (98, "chapter 2000-2010-5 of the book")]
     found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
