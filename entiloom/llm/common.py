@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task holds at once as numpy arrays.
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,28 @@ def durable(df: DataFrame, name: str = "step", partition_by: list[str] | None =
     df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing will read again; whatever was made from them must be durable itself."""
+    for t in tables:
+        jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.durable_path)
+        jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows in an Arrow batch of actions inside, for rows that are large by design."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read, text_pieces
+from .common import arrow_rows, durable, read, text_pieces
 
 ORDERS, FIRST = 24, 4
 VALUES = ORDERS * FIRST
@@ -196,12 +196,13 @@ def dense_links(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
 
     def run(batches):
         for batch in batches:
-            for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
+            for i in range(len(batch)):  # one pair of blocks at a time, as each may fill its bound
+                xs, ys = batch.column("xs")[i].as_py(), batch.column("ys")[i].as_py()
                 a, b = ([np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (xs, ys))
                 common = common_counts(a, b)
                 size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
                 hits = np.argwhere(100 * common >= percent * (size - common))
-                out = [(xs[i]["set_key"], ys[j]["set_key"]) for i, j in hits if xs[i]["root"] != ys[j]["root"]]
+                out = [(xs[x]["set_key"], ys[y]["set_key"]) for x, y in hits if xs[x]["root"] != ys[y]["root"]]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
 
@@ -248,8 +249,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4) -> DataF
     open_ = durable(where.join(split, ["tree", "region"]), "open-regions")
     x, y = open_.select("tree", "region", F.col("set_key").alias("a"), F.col("root").alias("ra")), open_.select("tree", "region", F.col("set_key").alias("b"), F.col("root").alias("rb"))
     across = x.join(y, ["tree", "region"]).filter("a < b and ra != rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = confirmed(durable(alike(across, classes), "across"), sets, percent).unionAll(dense_links(dense, roots, sets, percent))
-    more = durable(found.distinct(), "more-links")
+    found = confirmed(durable(alike(across, classes), "across"), sets, percent)
+    with arrow_rows(docs.sparkSession, 8):
+        inside = durable(dense_links(dense, roots, sets, percent), "dense-links")
+    more = durable(found.unionAll(inside).distinct(), "more-links")
     if not more.isEmpty():
         lead = roots.select(F.col("key"), F.col("root").alias("lead"))
         mapped = more.join(lead.withColumnsRenamed({"key": "a", "lead": "la"}), "a", "left").join(lead.withColumnsRenamed({"key": "b", "lead": "lb"}), "b", "left")

@@ -15,7 +15,7 @@ import numpy as np
 
 #: White space beyond the ASCII blanks: texts with it are encoded whole.
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-MOST = 1_000_000
+MOST = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False

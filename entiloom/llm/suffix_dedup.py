@@ -9,11 +9,11 @@ identifiers serve the next round, and places alone in their bucket drop out. Thr
   as a *run* (anchor, first, last place), about 2 * corpus / length of them, not one row for each byte.
 * A bucket is a row group keyed by a 128-bit identifier; every round only counts per key (Spark combines before
   it shuffles) and joins the counts back, so no bucket is ever gathered in one task.
-* Runs that agree in all their bytes are settled at once. Where members of a bucket differ, their runs are cut at
+* Runs whose q-gram no other run has drop out first. Runs that agree in all their bytes are settled at once. Where members of a bucket differ, their runs are cut at
   offsets that are the same for all members (64, then 8, then 1 places wide), and the identifier of each piece is made
   of its bucket's and of the bytes that all strings of the piece cover on both sides.
 
-Identifiers are 128-bit digests; q-gram hashes only group, so their collisions cost time, not exactness.
+Equal bytes are told by 128 bits of independent hashes: a run's q-gram and its whole, a piece's digest.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import durable, read, release, with_columns
+from .stretches import POWERS
 
-LENGTH, Q = 400, 64
+LENGTH, Q = 400, 144
 WIDTHS = (64, 8, 1)
 #: Places handled at once, for memory; pieces of a longer text overlap by a string.
 PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Rows that a task turns into Python objects at once.
+SLICE = 500
 _MIX = 0xD6E8FEB86659FD93
 
 
@@ -42,24 +44,8 @@ def digest(*parts: bytes) -> bytes:
     return h.digest()
 
 
-class Powers:
-    """Powers of an odd base and their inverses modulo 2 ** 64, for hashes of all q-grams from running sums."""
-
-    def __init__(self, n: int):
-        one = np.full(n, _BASE, np.uint64)
-        one[0] = 1
-        self.up = np.multiply.accumulate(one)
-        one[1:] = pow(_BASE, -1, 1 << 64)
-        self.down = np.multiply.accumulate(one)
-
-
-_powers: list[Powers] = []
-
-
 def qgram_hashes(raw: np.ndarray, q: int) -> np.ndarray:
-    if not _powers or len(_powers[0].up) < len(raw):
-        _powers[:] = [Powers(max(len(raw), 1 << 16))]
-    p = _powers[0]
+    p = POWERS.reach(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p.up[: len(raw)], out=total[1:])
     h = (total[q:] - total[:-q]) * p.down[: len(raw) - q + 1]
@@ -84,8 +70,8 @@ def anchors(raw: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarra
     return (least & np.uint64((1 << 24) - 1)).astype(np.int64), h
 
 
-def runs(data: bytes, length: int, q: int) -> list[tuple[int, bytes, int, int, int]]:
-    """(q-gram hash, digest of the run's bytes and offset, anchor, first place, last place) of a text's runs."""
+def runs(data: bytes, length: int, q: int) -> list[tuple[int, int, int, int, int]]:
+    """(q-gram hash, digest of the run's bytes and offset, anchor, and how far before it the last and first place lie)."""
     out = []
     for base in range(0, max(0, len(data) - length + 1), PIECE):
         part = data[base : base + PIECE + length - 1]
@@ -94,7 +80,8 @@ def runs(data: bytes, length: int, q: int) -> list[tuple[int, bytes, int, int, i
         last = np.r_[first[1:] - 1, len(at) - 1]
         of = at[first]
         for k, a, s, e in zip(h[of].view(np.int64).tolist(), of.tolist(), first.tolist(), last.tolist(), strict=True):
-            out.append((k, digest(part[s : e + length], (a - s).to_bytes(4, "little")), base + a, base + s, base + e))
+            full = hashlib.blake2b(part[s : e + length], digest_size=8, salt=(a - s).to_bytes(4, "little")).digest()
+            out.append((k, int.from_bytes(full, "little", signed=True), base + a, a - e, a - s))
     return out
 
 
@@ -112,55 +99,73 @@ def pieces(bucket: bytes, context: bytes, offset: int, lo: int, hi: int, width:
     return out
 
 
-def settle(level: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """level: bucket, full, copies, text_key, anchor, lo, hi, ... of pieces. First: pieces whose bytes occur
-    twice. Second: one piece of each content from the buckets that hold several contents."""
+def settle(level: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """level: bucket, full, known, text_key, anchor, lo, hi and perhaps context. First: runs of places whose bytes occur
+    twice (known ones have been told before). Second: one member of each content from the buckets that hold several.
+    Third: the tables that the second is read from."""
     level = durable(level, name)
-    stats = durable(level.groupBy("bucket", "full").agg(F.sum("copies").alias("_n"), F.min(F.struct("text_key", "anchor", "hi")).alias("_one")), f"{name}-counts")
-    mixed = stats.groupBy("bucket").agg(F.count("*").alias("_contents")).filter("_contents > 1")
-    both = level.join(stats.filter("_n > 1").select("bucket", "full"), ["bucket", "full"], "left_semi").filter("not alone")
-    ones = stats.join(mixed, "bucket", "left_semi").select("bucket", "full", F.col("_one.text_key").alias("text_key"), F.col("_one.anchor").alias("anchor"), F.col("_one.hi").alias("hi"), (F.col("_n") > 1).alias("known"))
-    return both.select("text_key", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last")), level.drop("copies").join(ones, ["bucket", "full", "text_key", "anchor", "hi"])
+    member = F.struct("text_key", "anchor", "lo", "hi", *(["context"] if "context" in level.columns else []))
+    times = F.sum(F.when(F.col("known"), 2).otherwise(1))
+    stats = durable(level.groupBy("bucket", "full").agg(times.alias("n"), F.min(member).alias("one")), f"{name}-counts")
+    mixed = stats.groupBy("bucket").agg(F.count("*").alias("contents")).filter("contents > 1")
+    both = level.filter("not known").join(stats.filter("n > 1").select("bucket", "full"), ["bucket", "full"], "left_semi")
+    ones = stats.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", (F.col("n") > 1).alias("known"), "one.*")
+    found = both.select("text_key", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last"))
+    return durable(found, f"{name}-found"), ones, [level, stats]
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """text_key, first, last: runs of places in a text whose string of `length` bytes starts elsewhere too.
 
-    texts: text_key binary (distinct), data binary, copies long: rows that have this text. Texts with several copies
-    are left out of the result (all their places repeat) but count as places for the others."""
+    texts: text_key binary (16 bytes of a digest), data binary; a row for each text, equal ones as often as they occur."""
+    names = ["bucket", "full", "known", "text_key", "anchor", "lo", "hi"]
+    w = length - q + 1  # lo and hi are below it; packed with the anchor into one number they shuffle in 8 bytes
 
     def first_level(batches):
         for batch in batches:
-            for key, data, copies in zip(*(batch.column(c) for c in ("text_key", "data", "copies")), strict=True):
+            rows, keys = [], []
+            for key, data in zip(batch.column("text_key").to_pylist(), batch.column("data"), strict=True):
                 found = runs(data.as_py(), length, q)
-                if found:
-                    k, full, anchor, s, e = zip(*found, strict=True)
-                    n = len(k)
-                    anchor, s, e = (np.array(v, np.int64) for v in (anchor, s, e))
-                    cols = [pa.array(k, pa.int64()), pa.array(full, pa.binary()), pa.array([copies.as_py()] * n, pa.int64()), pa.array([copies.as_py() > 1] * n), pa.array([key.as_py()] * n, pa.binary()), pa.array(anchor), pa.array(anchor - e), pa.array(anchor - s)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "full", "copies", "alone", "text_key", "anchor", "lo", "hi"])
-
-    level = texts.mapInArrow(first_level, "bucket bigint, full binary, copies bigint, alone boolean, text_key binary, anchor bigint, lo bigint, hi bigint")
-    found, ones = settle(level, "runs")
+                rows += found
+                keys += [key] * len(found)
+                if len(rows) > 20_000:
+                    yield packed(rows, keys)
+                    rows, keys = [], []
+            if rows:
+                yield packed(rows, keys)
+
+    def packed(rows: list[tuple], keys: list[bytes]) -> pa.RecordBatch:
+        bucket, full, anchor, lo, hi = (np.array(v, np.int64) for v in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(full), pa.array(keys, pa.binary()), pa.array((anchor * w + lo) * w + hi)], names=["bucket", "full", "text_key", "place"])
+
+    # q-grams of one run end here, before anything but their hash is shuffled; most runs of most corpora do
+    every = durable(texts.mapInArrow(first_level, "bucket bigint, full bigint, text_key binary, place bigint"), "runs")
+    shared = durable(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    places = {"anchor": F.expr(f"place div {w * w}"), "lo": F.expr(f"place div {w} % {w}"), "hi": F.expr(f"place % {w}")}
+    found, ones, used = settle(every.join(shared, "bucket", "left_semi").withColumns({"known": F.lit(False), **places}).drop("place"), "shared-runs")
+    release(every, shared)
     spans = [found]
     context = F.expr(f"substring(data, cast(anchor - hi + 1 as int), cast(hi - lo + {length} as int))")
-    ones = ones.join(texts.select("text_key", "data"), "text_key").select("*", context.alias("context"), F.col("bucket").cast("string").cast("binary").alias("id")).drop("data", "bucket").withColumnRenamed("id", "bucket")
+    once = ones.withColumn("bucket", F.col("bucket").cast("string").cast("binary"))
+    ones = texts.join(once, "text_key").select(*[c for c in once.columns], context.alias("context")).dropDuplicates(["bucket", "text_key", "anchor", "hi"])
     for width in WIDTHS:
 
         def cut(batches, width=width):
-            names = ["bucket", "full", "copies", "alone", "text_key", "anchor", "lo", "hi", "context"]
-            for batch in batches:
+            for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
                 out = []
                 for r in batch.to_pylist():
                     for bucket, full, lo, hi, a, b in pieces(r["bucket"], r["context"], r["hi"], r["lo"], r["hi"], width, length):
-                        out.append((bucket, full, 2 if r["known"] else 1, r["known"], r["text_key"], r["anchor"], lo, hi, r["context"][a:b]))
+                        out.append((bucket, full, r["known"], r["text_key"], r["anchor"], lo, hi, r["context"][a:b]))
                 if out:
-                    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*names, "context"])
 
-        level = ones.select("bucket", "known", "text_key", "anchor", "lo", "hi", "context").mapInArrow(cut, "bucket binary, full binary, copies bigint, alone boolean, text_key binary, anchor bigint, lo bigint, hi bigint, context binary")
-        found, ones = settle(level, f"pieces-{width}")
+        level = ones.mapInArrow(cut, "bucket binary, full binary, known boolean, text_key binary, anchor bigint, lo bigint, hi bigint, context binary")
+        found, ones, next_used = settle(level, f"pieces-{width}")
+        release(*used)  # the new level is written, so disk holds one level at a time
+        used = next_used
         spans.append(found)
+    release(*used)
     out = spans[0]
     for s in spans[1:]:
         out = out.unionAll(s)
@@ -183,46 +188,37 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[
     return b"".join(out), [(s, e) for s, e in removed]
 
 
-def text_repeats(docs: DataFrame, text: str, length: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """docs with text_key in place of the text; and for each distinct text: text_key, n_bytes, kept, removed."""
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
+    """docs without text, then n_bytes, kept (binary), and removed, the cut stretches array<struct<start,end>> in bytes.
+
+    A byte goes if a string of `length` bytes that covers it also starts elsewhere in the input, in any row or this
+    one. A null text counts as empty; rows that repeat a text lose all of it if it has `length` bytes. Rows are told
+    apart by their text only, so any ids will do; columns of docs named like a new one are dropped; an empty table
+    gives an empty result."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
-    clash = {"n_bytes", "kept", "removed", "text_key", text}
+    clash = {"n_bytes", "kept", "removed", "text_key", "data", "spans", text}
     keep = [c for c in docs.columns if c not in clash]
-    rows = docs.select(*[f"`{c}`" for c in keep], body.alias("_data")).withColumn("text_key", F.unhex(F.sha2("_data", 256)))
-    texts = durable(rows.groupBy("text_key").agg(F.first("_data").alias("data"), F.count("*").alias("copies")), "texts")
-    spans = repeated_spans(texts.filter(F.length("data") >= length), length, q)
-    grouped = spans.groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # one text's runs
+    rows = docs.select(*[f"`{c}`" for c in keep], body.alias("data")).withColumn("text_key", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
+    spans = repeated_spans(rows.filter(F.length("data") >= length).select("text_key", "data"), length, q)
+    grouped = durable(spans.groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")  # of one text
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
             kept, removed = [], []
-            for data, copies, found in zip(*(batch.column(c) for c in ("data", "copies", "spans")), strict=True):
-                data = data.as_py()
-                found = [(0, len(data) - length)] * (len(data) >= length) if copies.as_py() > 1 else [(x["first"], x["last"]) for x in found.as_py() or []]
-                k, r = kept_bytes(data, found, length)
+            data = batch.column("data").to_pylist()
+            for x, found in zip(data, batch.column("spans").to_pylist(), strict=True):
+                k, r = kept_bytes(x, [(f["first"], f["last"]) for f in found or []], length)
                 kept.append(k)
                 removed.append([{"start": s, "end": e} for s, e in r])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(map(len, batch.column("data").to_pylist()), pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["text_key", "n_bytes", "kept", "removed"])
-
-    done = texts.join(grouped, "text_key", "left").select("text_key", "data", "copies", "spans").mapInArrow(cut, "text_key binary, n_bytes bigint, kept binary, removed array<struct<start:bigint,end:bigint>>")
-    return rows.drop("_data"), done
+            yield with_columns(batch, keep, n_bytes=pa.array(map(len, data), pa.int64()), kept=pa.array(kept, pa.binary()), removed=pa.array(removed, kind))
 
-
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
-    """docs without text, then n_bytes, kept (binary), and removed, the cut stretches array<struct<start,end>> in bytes.
-
-    A byte goes if a string of `length` bytes that covers it also starts elsewhere in the input, in any row or this
-    one. A null text counts as empty; rows that repeat a text lose all of it if it has `length` bytes. Rows are told
-    apart by their text only, so any ids will do; columns of docs named like a new one are dropped; an empty table
-    gives an empty result."""
-    rows, done = text_repeats(docs, text, length, q)
-    return rows.join(done, "text_key").drop("text_key")
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes bigint, kept binary, removed array<struct<start:bigint,end:bigint>>"])
+    return rows.join(grouped, "text_key", "left").drop("text_key").mapInArrow(cut, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without strings of 400 bytes that start twice."""
-    rows, done = text_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", LENGTH, Q)
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    told = done.select("text_key", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return rows.join(told, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -44,7 +44,7 @@ def unpack(control: bytes, payload: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(payload + b"\0\0\0", np.uint8)
     at = np.cumsum(size) - size
     out = np.zeros(n, np.uint32)
-    for k in range(4):
+    for k in range(int(size.max(initial=0))):
         out |= np.where(size > k, raw[np.minimum(at + k, len(raw) - 1)], 0).astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -103,10 +103,9 @@ def frequency_ranks(encoded: DataFrame, narrow: str) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                n = np.bincount(np.frombuffer(x.as_py(), narrow), minlength=len(total))
-                n[: len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), narrow), minlength=len(total))
+            n[: len(total)] += total
+            total = n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
