@@ -209,21 +209,32 @@ def dense_links(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     return met.select("xs", "ys").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """key, root: the least key that links lead to, for every key in links (a, b). Each round hands the least known
-    root to neighbours and then follows roots; rounds grow with the logarithm of a component's width, and each is cut
-    off from the last by a written table."""
-    edges = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = durable(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("root")), "roots")
-    for _ in range(rounds):
-        near = edges.join(roots.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "key").select("key", F.least("root", "near").alias("mid"), F.col("root").alias("was"))
-        hop = roots.select(F.col("key").alias("mid"), F.col("root").alias("far"))
-        new = durable(step.join(hop, "mid", "left").select("key", F.least("mid", F.coalesce("far", "mid")).alias("root"), "was"), "roots")
-        roots = new.select("key", "root")
+def settled(tree: DataFrame) -> DataFrame:
+    """key, root of a forest (key, root: a parent no greater than the key): pointers double until nothing changes."""
+    while True:
+        hop = tree.select(F.col("key").alias("root"), F.col("root").alias("far"))
+        new = durable(tree.join(hop, "root").select("key", F.col("far").alias("root"), F.col("root").alias("was")), "trees")
+        tree = new.select("key", "root")
         if new.filter("root != was").isEmpty():
+            return tree
+
+
+def components(links: DataFrame) -> DataFrame:
+    """key, root: the least key that links lead to, for every key in links (a, b).
+
+    Each round hangs every key under its least neighbour, if that is less, follows the trees to their roots, and links
+    roots where edges lead from tree to tree. A key that stays a root without a child has a lesser root for a neighbour
+    in the next round, so two rounds halve the roots of a component at least, whatever its shape and the keys' order.
+    Rounds go on until no edge is left; each is cut off from the last by a written table."""
+    edges = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    roots = None
+    while True:
+        tree = settled(durable(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("root")), "trees"))
+        roots = tree if roots is None else durable(roots.join(tree.select(F.col("key").alias("root"), F.col("root").alias("far")), "root", "left").select("key", F.coalesce("far", "root").alias("root")), "roots")
+        ends = edges.join(tree.withColumnsRenamed({"key": "a", "root": "ra"}), "a").join(tree.withColumnsRenamed({"key": "b", "root": "rb"}), "b")
+        edges = durable(ends.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return roots
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4) -> DataFrame:

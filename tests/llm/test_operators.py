@@ -253,6 +253,16 @@ def test_components_of_a_long_chain(spark):
     assert {bytes(r.root) for r in near_dups.components(links).collect()} == {bytes([0])}
 
 
+def test_components_of_a_long_chain_of_random_keys(spark):
+    r = random.Random(226)
+    keys = [r.randbytes(16) for _ in range(1000)]
+    links = [(a, b) for a, b in zip(keys, keys[1:], strict=False)] + [(b"\xff" + keys[0], b"\xff" + keys[1])]
+    r.shuffle(links)
+    got = {bytes(x.key): bytes(x.root) for x in near_dups.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    other = [b"\xff" + keys[0], b"\xff" + keys[1]]
+    assert got == {k: min(keys) for k in keys} | {k: min(other) for k in other}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from entiloom.llm.common import durable, read
