@@ -71,20 +71,36 @@ def probes(items: DataFrame, share: float = SHARE) -> DataFrame:
     return flat.join(rare, "hash").select("hash", "_item", rank.alias("_rank"), F.count("*").over(of).alias("_n")).filter(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * share) + 1).select("hash", "_item")
 
 
-def agreement() -> Column:
-    """The share of an item's slot values that stand for one value of the document wherever a window matches; 1 without
-    slots. A window's place in the document is its first."""
-
-    def at(i: Column) -> Column:
-        return F.array_position("windows", F.get("i_windows", i)).cast("int") - 1
-
-    def of_window(i: Column) -> Column:
-        return bind(at(i), lambda p: F.when(p >= 0, F.array(*[F.struct(F.get("i_template", i + k).alias("kind"), F.get("i_words", i + k).alias("item"), F.get("words", p + k).alias("doc")) for k in range(WIDTH)])))
-
-    filled = F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.size("i_windows") - 1), of_window), lambda x: x.isNotNull()))
-    slots = F.array_distinct(F.filter(filled, lambda x: x["kind"].startswith(MARK)))
-    single = lambda s, v: F.size(F.filter(s, lambda x: x["item"] == v)) == 1
-    return bind(slots, lambda s: bind(F.array_distinct(F.transform(s, lambda x: x["item"])), lambda v: F.when(F.size(v) == 0, F.lit(1.0)).otherwise(F.size(F.filter(v, lambda x: single(s, x))) / F.size(v))))
+def alignments(found: DataFrame, share: float = SHARE) -> DataFrame:
+    """pair, anchor, i, offset: where the windows i of an item stand in the document, at i + offset, in each alignment.
+
+    An alignment is an offset (place in the document minus place in the item) at which a share of the item's windows or
+    more match, or the offset that most match at, the first of equal ones. A window that isn't there takes its place
+    that is nearest, so words put in or left out of a copy don't count against it."""
+    of_item = found.select("pair", F.posexplode("i_windows").alias("i", "hash"))
+    matches = durable(of_item.join(found.select("pair", F.posexplode("windows").alias("p", "hash")), ["pair", "hash"]).select("pair", "i", (F.col("p") - F.col("i")).alias("offset")), "matches")
+    cover = durable(matches.groupBy("pair", "offset").agg(F.count("*").alias("n")), "offsets")
+    most = cover.groupBy("pair").agg(F.max(F.struct("n", (-F.col("offset")).alias("minus"))).alias("top")).select("pair", (-F.col("top.minus")).alias("anchor"))
+    wide = cover.join(found.select("pair", F.size("i_windows").alias("all")), "pair").filter(F.col("n") >= F.col("all") * share).select("pair", F.col("offset").alias("anchor"))
+    anchors = durable(wide.unionAll(most).distinct(), "anchors")
+    there = matches.join(anchors.withColumn("offset", F.col("anchor")), ["pair", "offset"]).select("pair", "anchor", "i", "offset")
+    absent = anchors.join(matches.select("pair", "i").distinct(), "pair").join(there.select("pair", "anchor", "i"), ["pair", "anchor", "i"], "left_anti")
+    nearest = absent.join(matches, ["pair", "i"]).groupBy("pair", "anchor", "i").agg(F.min(F.struct(F.abs(F.col("offset") - F.col("anchor")), "offset")).alias("least"))
+    return there.unionAll(nearest.select("pair", "anchor", "i", "least.offset"))
+
+
+def agreements(found: DataFrame, share: float = SHARE) -> DataFrame:
+    """pair, agreement: the share of an item's slot values that stand for one value of the document wherever a window
+    covers them, in the alignment where it is largest; no row without slots."""
+    # A word of the item stands where the window nearest to the alignment puts it; windows that a copy lacks may match far off.
+    near = F.min(F.struct(F.abs(F.col("offset") - F.col("anchor")), "offset")).alias("least")
+    covered = alignments(found, share).withColumn("j", F.explode(F.sequence("i", F.col("i") + (WIDTH - 1)))).groupBy("pair", "anchor", "j").agg(near).select("pair", "anchor", "j", "least.offset")
+    slots = found.select("pair", F.posexplode(F.arrays_zip("i_template", "i_words")).alias("j", "at")).select("pair", "j", F.col("at.i_template").alias("kind"), F.col("at.i_words").alias("item")).filter(F.col("kind").startswith(MARK))
+    words = found.select("pair", F.posexplode("words").alias("place", "doc"))
+    filled = covered.join(slots, ["pair", "j"]).withColumn("place", F.col("j") + F.col("offset")).join(words, ["pair", "place"])
+    value = F.struct("kind", "doc")
+    single = filled.groupBy("pair", "anchor", "item").agg((F.min(value) == F.max(value)).cast("int").alias("one"))
+    return single.groupBy("pair", "anchor").agg((F.sum("one") / F.count("*")).alias("agreement")).groupBy("pair").agg(F.max("agreement").alias("agreement"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, agree: float = AGREEMENT) -> DataFrame:
@@ -105,7 +121,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, agree: fl
     whole = keyed.alias("d").join(pairs.alias("p"), mine).select("d.*", "_item").dropDuplicates(["doc_id", "text_hash", "_item"])
     spread = whole.withColumn("_mark", mark).select("doc_id", "text_hash", "_item", tokens(F.col("_mark")).alias("words"), windows(tokens(template(F.col("_mark")))).alias("windows"))
     both = spread.join(items, "_item").select("*", F.size(F.array_intersect("windows", "i_windows")).cast("long").alias("n_matched"), F.size(F.array_distinct("i_windows")).cast("long").alias("n_windows"))
-    found = both.filter(F.col("n_matched") >= F.col("n_windows") * share).withColumn("agreement", agreement()).filter(F.col("agreement") >= agree)
+    found = durable(both.filter(F.col("n_matched") >= F.col("n_windows") * share).withColumn("pair", F.monotonically_increasing_id()), "found")
+    found = found.join(agreements(found, share), "pair", "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).filter(F.col("agreement") >= agree)
     return found.select("doc_id", "text_hash", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "agreement").distinct()
 
 

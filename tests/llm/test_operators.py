@@ -166,6 +166,30 @@ def test_templates_catch_new_slots_only_if_consistent(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (4, 1)] and all(r.agreement == 1 for r in got)
 
 
+def test_leaks_are_judged_where_a_copy_is_aligned(spark):
+    clauses = "Ann buys 5 red apples for 3 dollars each and 7 red apples for 4 dollars each and 9 red apples for 6 dollars each and then goes home"
+    pupils = "The class has 30 pupils and nobody of them came late today because the bus was early"
+    table = "sums of " + " ".join(map(str, range(10, 40)))
+    twice = "walk 40 steps with Bob to the river bank and then walk back 40 steps to the old house again"
+    items = [(1, clauses), (2, pupils), (3, table), (4, twice)]
+    other = clauses.replace("5 red", "8 red").replace("4 dollars", "3 dollars")
+    docs = [
+        (1, "see " + clauses + " end"),  # templates that repeat in the item
+        (2, "the class has 25 pupils and nobody came. " + pupils + " end"),  # a part before the copy
+        (3, "see " + pupils.replace("of them", "of all of them") + " and the class has 31 pupils and nobody of them left"),
+        (4, "see " + clauses.replace("each and 7", "each, and also 7") + " end"),  # words put in
+        (5, "see " + clauses.replace("Ann buys 5", "Ann buys 8").replace("red", "old") + " end"),  # too few windows
+        (6, "start " + " ".join(str(5 + i % 7) for i in range(3000)) + " " + table + " " + " ".join(str(90 - i % 5) for i in range(3000))),
+        (7, "see " + other + ". Then see " + clauses),  # another copy first
+        (8, "see " + clauses.replace("5 red", "8 red").replace("4 dollars", "2 dollars") + " end"),  # other values, each for one of the item's
+        (9, "the class has 30 pupils and nobody"),
+        (10, "see " + twice.replace("Bob", "Eve").replace(" 40 steps", " 50 steps", 1)),  # one value stands for two
+    ]
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 2), (4, 1), (6, 3), (7, 1), (8, 1)]
+    assert all(r.agreement == 1 for r in got)
+
+
 def test_leaks_equal_brute_force_on_plain_words(spark):
     items = [(i, words(30, 700 + i)) for i in range(10)]
     docs = [(i, words(50, i) + " " + (items[i % 10][1] if i % 3 == 0 else " ".join(items[i % 10][1].split()[:20])) + " " + words(50, i + 90)) for i in range(40)]
