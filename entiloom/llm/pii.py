@@ -5,7 +5,8 @@ patterns (two words before, one before and one after). Candidates are other toke
 so that the expressions miss them. A bipartite graph of patterns and instances is scored in rounds of Spark joins
 and sums: a pattern is as good as the share of its instances that are seeds or likely identifiers, smoothed against
 rare patterns; an instance is as good as its patterns are, taken together. Candidates whose score passes the threshold,
-and whose best pattern many different seeds support, become spans of the kind that the pattern stands for.
+and whose best pattern many different seeds support, become spans of the kind that the pattern stands for, and seeds of
+the next generation of patterns, until none is added.
 """
 
 from __future__ import annotations
@@ -74,10 +75,10 @@ def extracted(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
     base = base_spans(text)
     mentions = [(k, s, e) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b in taken):
-            mentions.append((-1, s, e))
+    at = 0
+    for a, b in [*taken, (len(text), len(text))]:  # the gaps between base spans
+        mentions += [(-1, *m.span()) for m in CANDIDATE.finditer(text, at, a)] if at < a else []
+        at = max(at, b)
     return base, [{"kind": k, "start": s, "end": e, "instance": text[s:e].lower(), "patterns": context(text, s, e)} for k, s, e in mentions]
 
 
@@ -99,26 +100,41 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE, accept: float = ACCEPT) -> DataFrame:
-    """row, kind, start, end of candidates that the patterns confirm."""
+    """row, kind, start, end of candidates that the patterns confirm, wherever they stand.
+
+    Generations go on until one confirms nothing new: each takes what is confirmed so far for seeds, chooses the
+    patterns again from all edges, and scores the other candidates in rounds."""
     mention = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     # What rows repeat counts once: an edge for each kind, instance and pattern.
     edges = durable(mention.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
-    seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds"))
-    main = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("minus"))).alias("top"), F.sum("seeds").alias("all"))
-    usable = main.select("pattern", F.col("top.seeds").alias("seeds"), (-F.col("top.minus")).alias("as_kind"), "all").filter((F.col("seeds") >= least_seeds) & (F.col("seeds") >= least_share * F.col("all")))
-    usable = durable(usable, "pii-patterns")  # most patterns stop here: few contexts recur
-    open_edges = durable(edges.filter("kind < 0").join(usable, "pattern").select("instance", "pattern", "as_kind", "seeds"), "pii-graph")
-    score = open_edges.select("instance", "as_kind").distinct().withColumn("score", F.lit(0.0))
-    for i in range(rounds):
-        good = open_edges.join(score, ["instance", "as_kind"]).groupBy("pattern", "as_kind").agg(F.sum("score").alias("likely"), F.count("*").alias("others"), F.first("seeds").alias("seeds"))
-        pattern = good.select("pattern", "as_kind", ((F.col("seeds") + F.col("likely")) / (F.col("seeds") + F.col("others") + 1)).alias("p"))
-        doubt = open_edges.join(pattern, ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg(F.sum(F.log1p(-F.least("p", F.lit(0.999)))).alias("doubt"))
-        score = durable(doubt.select("instance", "as_kind", (1 - F.exp("doubt")).alias("score")), f"pii-scores-{i}")
-    best = score.groupBy("instance").agg(F.max(F.struct("score", (-F.col("as_kind")).alias("minus"))).alias("top")).filter(F.col("top.score") >= accept)
-    chosen = best.select("instance", (-F.col("top.minus")).alias("as_kind"))
-    placed = mention.filter("kind < 0").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    # A confirmed instance counts where one of the usable patterns stands around it.
-    return placed.join(usable.select("pattern", "as_kind"), "pattern").join(chosen, ["instance", "as_kind"]).select("row", F.col("as_kind").alias("kind"), "start", "end").distinct()
+    others = edges.filter("kind < 0").select("instance", "pattern")
+    chosen = None
+    while True:
+        known = edges.filter("kind >= 0").select("pattern", "kind", "instance")
+        if chosen is not None:
+            known = known.unionAll(others.join(chosen, "instance").select("pattern", F.col("as_kind").alias("kind"), "instance"))
+        seeds = known.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds"))
+        main = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("minus"))).alias("top"), F.sum("seeds").alias("all"))
+        usable = main.select("pattern", F.col("top.seeds").alias("seeds"), (-F.col("top.minus")).alias("as_kind"), "all").filter((F.col("seeds") >= least_seeds) & (F.col("seeds") >= least_share * F.col("all")))
+        usable = durable(usable, "pii-patterns")  # most patterns stop here: few contexts recur
+        open_edges = others.join(usable, "pattern").select("instance", "pattern", "as_kind", "seeds")
+        if chosen is not None:
+            open_edges = open_edges.join(chosen, ["instance", "as_kind"], "left_anti")
+        open_edges = durable(open_edges, "pii-graph")
+        score = open_edges.select("instance", "as_kind").distinct().withColumn("score", F.lit(0.0))
+        for i in range(rounds):
+            good = open_edges.join(score, ["instance", "as_kind"]).groupBy("pattern", "as_kind").agg(F.sum("score").alias("likely"), F.count("*").alias("others"), F.first("seeds").alias("seeds"))
+            pattern = good.select("pattern", "as_kind", ((F.col("seeds") + F.col("likely")) / (F.col("seeds") + F.col("others") + 1)).alias("p"))
+            doubt = open_edges.join(pattern, ["pattern", "as_kind"]).groupBy("instance", "as_kind").agg(F.sum(F.log1p(-F.least("p", F.lit(0.999)))).alias("doubt"))
+            score = durable(doubt.select("instance", "as_kind", (1 - F.exp("doubt")).alias("score")), f"pii-scores-{i}")
+        best = score.groupBy("instance").agg(F.max(F.struct("score", (-F.col("as_kind")).alias("minus"))).alias("top")).filter(F.col("top.score") >= accept)
+        new = best.select("instance", (-F.col("top.minus")).alias("as_kind"))
+        new = durable(new if chosen is None else new.join(chosen, "instance", "left_anti"), "pii-confirmed")
+        if new.isEmpty():
+            break
+        chosen = new if chosen is None else durable(chosen.unionAll(new), "pii-confirmed")
+    confirmed = new if chosen is None else chosen
+    return mention.filter("kind < 0").join(confirmed, "instance").select("row", F.col("as_kind").alias("kind"), "start", "end").distinct()
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -156,6 +156,20 @@ def test_pii_base_and_bootstrap(spark):
     assert masked[99] == masked[5] == "please call me now <PHONE> before noon" and masked[98] == new[1][1]
 
 
+def test_pii_patterns_grow_from_confirmed_ones(spark):
+    base = [f"please call me on +1 212 555 {i:04d} today" for i in range(30)]
+    first = [f"please call me on 212-555-{i:04d} today" for i in range(100, 110)]
+    again = [f"my old pager is 212-555-{i:04d} these days" for i in range(100, 110)]  # a context of no base span
+    second = ["my old pager is 212-555-0999 these days", "seen once: 212-555-0999.", "host 10.0.0.1 212-555-0100"]
+    free = ["order number 555-123-4567 shipped"]
+    texts = base + first + again + second + free
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {texts[r.doc_id]: {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 3} for r in rows}
+    assert all(got[t] == {t.split(" on ")[1].split(" ")[0]} for t in first)
+    assert all(got[t] == {t.split(" is ")[1].split(" ")[0]} for t in again)
+    assert [got[t] for t in second] == [{"212-555-0999"}, {"212-555-0999"}, {"212-555-0100"}] and got[free[0]] == set()
+
+
 def test_templates_catch_new_slots_only_if_consistent(spark):
     item = [(1, "A train leaves Paris at 5 km per hour and Bob waits 30 minutes for the train to reach Rome before noon, says Bob, today in the rain."), (2, "too short"), (3, None)]
     docs = [
