@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -124,24 +125,66 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(ids)
 
 
-def test_toxicity_neighbours_are_exact_and_held_out_is_ranked(spark):
-    mild = [(i, words(80, i)) for i in range(0, 300, 2)]
-    bad = [(i, words(40, i) + " vile rotten " + words(40, i + 5000)) for i in range(1, 300, 2)]
-    docs = spark.createDataFrame(mild + bad, "doc_id long, text string")
-    known = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, y int")
-    index = toxicity.fit(docs, known)
-    assert {"vile", "rotten"} <= set(index.terms)
-    dense = np.zeros((len(index.labels), len(index.terms)))
-    for t in range(len(index.terms)):
-        at = slice(index.starts[t], index.starts[t + 1])
-        dense[index.example[at], t] = index.weight[at]
-    for _, text in mild[:20] + bad[:20]:
-        ids, x = index.vector(text)
-        if len(ids):
-            cos = dense[:, ids] @ x
-            assert np.allclose(np.sort(cos[cos > 0])[::-1][:15], index.nearest(ids, x, 15)[1])
-    score = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, index).collect()}
-    assert min(score[i] for i in range(241, 300, 2)) > 0.5 > max(score[i] for i in range(240, 300, 2))
+def brute_toxicity(texts, labels, ids, k):
+    """Scores and neighbours of all texts from plain dictionaries; the examples are the labelled texts, each once."""
+    words_of = lambda t: collections.Counter(re.findall(r"\w+", (t or "").lower()))
+    df = collections.Counter(w for t in texts for w in words_of(t))
+    n1, n0 = sum(labels.values()), sum(1 - y for y in labels.values())
+    share = n1 / (n1 + n0)
+    have = {y: collections.Counter(w for i, v in labels.items() if v == y for w in words_of(texts[i])) for y in (0, 1)}
+
+    def weight(w):
+        if not have[0][w] and not have[1][w]:
+            return 0.05 * math.log((1 + len(texts)) / 2)
+        odds = math.log((have[1][w] + 20 * share) / (have[0][w] + 20 * (1 - share)) * (1 - share) / share)
+        return max(1e-3, math.log((1 + len(texts)) / (1 + df[w]))) * max(odds**2, 0.05)
+
+    def unit(t):
+        x = {w: (1 + math.log(n)) * weight(w) for w, n in words_of(t).items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1
+        return {w: v / norm for w, v in x.items()}
+
+    examples = {i: unit(texts[i]) for i in labels}
+    out = []
+    for t in texts:
+        x = unit(t)
+        cos = sorted(((sum(v * e.get(w, 0) for w, v in x.items()), ids[i]) for i, e in examples.items()), reverse=True)
+        cos = [(c, i) for c, i in cos if c > 0][:k]
+        vote = sum(c * c for c, _ in cos)
+        out.append(((sum(c * c for c, i in cos if labels[ids.index(i)]) + 0.05 * share) / (vote + 0.05) if cos else None, cos))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    texts = [words(60, i) + (" vile rotten " + words(20, i + 5000) if i % 2 else "") for i in range(300)] + ["", "unheardof words", "vile", None]
+    labels = {i: i % 2 for i in range(240)}
+    ids = [7 * i for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(ids[i], y) for i, y in labels.items()], "doc_id long, y int"), block=8)
+    want = brute_toxicity(texts, labels, ids, 15)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, index, 15, evidence=15).collect()}
+    for i, (score, cos) in zip(ids, want, strict=True):
+        assert np.allclose(got[i].cosines, [c for c, _ in cos], atol=1e-5)
+        if score is not None:
+            assert abs(got[i].score - score) < 1e-4
+        sure = {j for c, j in cos if not cos or c > cos[-1][0] + 1e-5}  # equal cosines at the end may change places
+        assert sure <= set(got[i].neighbours)
+    assert min(got[ids[i]].score for i in range(241, 300, 2)) > 0.5 > max(got[ids[i]].score for i in range(240, 300, 2))
+    assert got[ids[300]].neighbours == [] and 0 < got[ids[300]].score < 1 and got[ids[303]].score == got[ids[300]].score
+    bins = collections.defaultdict(list)  # calibration on rows that taught nothing
+    for i in range(240, 300):
+        bins[round(got[ids[i]].score, 1)].append((got[ids[i]].score, i % 2))
+    assert sum(abs(sum(s - y for s, y in v)) for v in bins.values()) / 60 < 0.15
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_class(spark, label):
+    docs = frame(spark, [(i, words(30, i)) for i in range(40)] + [(40, ""), (41, None)])
+    index = toxicity.fit(docs, spark.createDataFrame([(i, label) for i in range(20)], "doc_id long, y int"))
+    assert {(r.score >= 0.5) for r in toxicity.toxicity_scores(docs, index).filter("doc_id < 40").collect()} == {bool(label)}
+    labels = spark.createDataFrame([(i, label, label) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in quality_kernel.quality_scores(docs, labels, F.lit(True)).collect())
+    assert quality_rules.apply_rules(docs, labels).filter("rule > 0").count() == 0
 
 
 def test_pii_base_and_bootstrap(spark):
