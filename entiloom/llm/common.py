@@ -73,6 +73,27 @@ def id_crc(col: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name after underscores where df has such a column (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_key(text: str | Column) -> Column:
+    """128 bits that stand for a text; a null text counts as empty."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def row_key(key: str | Column, text: str | Column) -> Column:
+    """128 bits that stand for a row's key and text; null is a value of its own for either."""
+    key, text = (F.col(c) if isinstance(c, str) else c for c in (key, text))
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(told(key), F.lit("\0"), told(text)).cast("binary")))
+
+
 def text_pieces(batches: Iterator[pa.RecordBatch], text_col: str, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with about `chars` characters each, and their texts (null: empty)."""
     for batch in batches:
