@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, id_crc, read, text_pieces
+from .common import durable, id_crc, read
 
 STATS = (
     "chars words word_mean word_sd word_longest upper lower digit symbol mark other_ascii beyond_ascii blank breaks kinds "
@@ -55,15 +55,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and stats array<double>, for every row; a null text counts as empty."""
-    kind = df.schema[key].dataType.simpleString()
+def statistics_of(text: str) -> Column:
+    """The statistics of a text column as array<double>; a null text counts as empty. Only texts go to Python."""
 
-    def run(batches):
-        for batch, texts in text_pieces(batches, text):
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([statistics(x) for x in texts], pa.list_(pa.float64()))], names=[key, "stats"])
+    @F.arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(x or "") for x in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, stats array<double>")
+    return of(F.col(text))
 
 
 @dataclass
@@ -75,6 +74,7 @@ class KernelModel:
     weight: np.ndarray
     edges: np.ndarray
     levels: np.ndarray
+    learned: bool = False  # whether any labelled row was there
 
     def features(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.mean) / self.scale, -6, 6)
@@ -102,6 +102,7 @@ def fit(labelled: DataFrame, calibrate: Column, features: int = 160, width: floa
     moments = labelled.agg(F.count("*").alias("n"), *[f(F.get("stats", F.lit(i))).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not moments.n:
         return model
+    model.learned = True
     model.mean = np.array([moments[f"m{i}"] for i in range(d)])
     model.scale = np.maximum([moments[f"s{i}"] for i in range(d)], 1e-6)
 
@@ -142,14 +143,14 @@ def isotonic(bins: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.nda
     return np.array([b[0] / b[1] for b in blocks]), np.array([(b[2] + 0.5) / (b[1] + 1) for b in blocks])
 
 
-def apply(model: KernelModel, stats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and score of every row of stats (key, stats)."""
+def score_of(model: KernelModel, stats: str) -> Column:
+    """The score of a column of statistics."""
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(model.score(matrix(b.column("stats"))), pa.float64())], names=[key, "score"])
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array(model.score(matrix(column)), pa.float64())
 
-    return stats.select(key, "stats").mapInArrow(run, f"`{key}` {stats.schema[key].dataType.simpleString()}, score double")
+    return of(F.col(stats))
 
 
 def mean_labels(labels: DataFrame, col: str) -> DataFrame:
@@ -158,14 +159,14 @@ def mean_labels(labels: DataFrame, col: str) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """doc_id and score in (0, 1) of every row of docs (doc_id, text). Labels (doc_id, quality) are learned where
-    `learn`, an expression of doc_id, holds; one in five of those rows calibrates. Rows that repeat an id keep their own
-    scores; other columns are dropped."""
-    stats = durable(with_statistics(docs), "quality-stats")
+    """doc_id and score in [0, 1] of every row of docs (doc_id, text). Labels (doc_id, quality) are learned where
+    `learn`, an expression of doc_id, holds; one in five of those rows calibrates. A null text counts as empty, and
+    empty texts are scored by their statistics, which are zeros. Rows that repeat an id keep their own scores; other
+    columns are dropped. Without labels every score is 0.5; an empty table gives an empty result."""
+    stats = durable(docs.select("doc_id", statistics_of("text").alias("stats")), "quality-stats")
     labelled = durable(stats.filter(learn).join(mean_labels(labels, "quality"), "doc_id"), "quality-labelled")
     model = fit(labelled, F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
-
-    return apply(model, stats)
+    return stats.select("doc_id", score_of(model, "stats").alias("score"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
