@@ -166,9 +166,11 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     return df.select(*[f"`{c}`" for c in keep]).mapInArrow(run, ", ".join(cols))
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
+def digests(df: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the decoded text, and with `ids` token_ids; for every row of df (doc_id,
+    text; other columns are dropped). A null or empty text has no ids; an empty table gives an empty result."""
     out = encode(df.select("doc_id", "text"), path, decoded=True)
-    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", *["token_ids"] * ids, F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
