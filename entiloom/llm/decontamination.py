@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts become templates: numbers, names and units turn into typed placeholders. Windows of five template words are
-hashed. An item leaks into a document that holds 0.8 or more of the item's distinct windows and fills its slots
-consistently: equal values of the item stand for equal values of the document, so a question with new
-numbers or names is found too.
+Texts become templates: numbers, names and units turn into typed placeholders. A number is a run of digits with the
+points and commas inside it (1,250 and 3.5 are one slot each), or a number word; a name is a word that starts with a
+capital, or is in capitals, after a lower-case letter, comma or semicolon and a blank; a unit is a word of a fixed list
+after a number. Windows of five template words are hashed. An item leaks into a document that holds 0.8 or more of the
+item's distinct windows and fills its slots consistently: equal values of the item stand for equal values of the
+document, so a question with new numbers or names is found too.
 
 Each item is looked up by its rarest windows only, one more than a leak may miss, so at least one of them is in every
 leaking document, and windows that many items share (as of placeholders alone) seldom join. Pairs so found are then
-checked on all windows.
+checked on all windows, once for each different text.
 """
 
 from __future__ import annotations
@@ -15,34 +17,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import durable, read, text_key
 from .quality_rules import bind
 
 WIDTH, SHARE, AGREEMENT = 5, 0.8, 0.8
-#: Windows to look up that are broadcast at most; more are joined by a shuffle.
+#: Windows to look up that are broadcast at most, 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Marks a placeholder; a private-use character, taken out of texts first.
 MARK = "\ue000"
-#: Units that count as slots after a number.
-UNITS = "km|kg|cm|mm|mg|ml|m|g|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|inches|meters?|metres?|liters?|litres?|pounds?|dollars?|euros?|cents?|percent"
+#: Units that count as slots after a number, and words that count as numbers.
+UNITS = (
+    "km kg cm mm mg ml m g s h min hour hours minute minutes second seconds day days week weeks month months year years mile miles feet inches "
+    "meter meters metre metres liter liters litre litres pound pounds dollar dollars euro euros cent cents percent"
+).split()
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice double"
+).split()
 
 
-def marked(text: Column) -> Column:
-    """The text in lower case with MARK before names: capitalised words that follow a lower-case letter, comma or
-    semicolon and a blank. Digits and letters that touch are set apart."""
+def tokens(text: Column) -> Column:
+    """Words in lower case, those that are names with MARK before them, and numbers; digits and letters that touch part."""
     body = F.translate(F.coalesce(text, F.lit("")), MARK, "")
-    apart = F.regexp_replace(body, r"(\p{Nd})(\p{L})", "$1 $2")
-    return F.lower(F.regexp_replace(apart, r"([\p{Ll},;] )(\p{Lu}\p{Ll})", f"$1{MARK}$2"))
-
-
-def template(mark: Column) -> Column:
-    out = F.regexp_replace(mark, MARK + r"\p{L}+", MARK + "p")
-    out = F.regexp_replace(out, r"\p{Nd}+", MARK + "n")
-    return F.regexp_replace(out, rf"({MARK}n )(?:{UNITS})\b", f"$1{MARK}u")
+    named = F.regexp_replace(body, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{L})", MARK)
+    return F.regexp_extract_all(F.lower(named), F.lit(rf"{MARK}?\p{{L}}+|\p{{Nd}}+(?:[.,]\p{{Nd}}+)*"), F.lit(0))
 
 
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{Nd}}{MARK}]+"), "")
+def template(words: Column) -> Column:
+    """The words, slots replaced by their kind: MARK and n, p or u."""
+    number = lambda w: w.rlike(r"^\p{Nd}") | w.isin(NUMBERS)
+    before = lambda i: F.coalesce(F.get(words, i - 1), F.lit(""))
+    kind = lambda w, i: F.when(number(w), MARK + "n").when(w.startswith(MARK), MARK + "p").when(w.isin(UNITS) & number(before(i)), MARK + "u").otherwise(w)
+    return F.transform(words, kind)
 
 
 def windows(words: Column, width: int = WIDTH) -> Column:
@@ -51,14 +57,18 @@ def windows(words: Column, width: int = WIDTH) -> Column:
     return bind(words, lambda w: F.when(F.size(w) >= width, hashed(w)).otherwise(F.array().cast("array<bigint>")))
 
 
+def text_windows(text: Column, width: int = WIDTH) -> Column:
+    return bind(tokens(text), lambda w: windows(template(w), width))
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """item_id, its words and template words but for a first word in capitals (whether that is a name depends on what
     stands before it), and its windows. Items of one id keep apart by their text. Items with fewer words than a window
     have none and never leak."""
     skip = F.when(F.col("text").rlike(r"^[^\p{L}\p{Nd}]*\p{Lu}"), 2).otherwise(1)
-    mark = marked(F.col("text"))
-    tail = lambda words: bind(words, lambda w: F.slice(w, skip, F.greatest(F.size(w), F.lit(1))))
-    out = benchmark.dropDuplicates(["item_id", "text"]).select("item_id", tail(tokens(mark)).alias("i_words"), tail(tokens(template(mark))).alias("i_template"))
+    split = benchmark.dropDuplicates(["item_id", "text"]).select("item_id", skip.alias("skip"), tokens(F.col("text")).alias("words"))
+    tail = lambda c: F.slice(c, F.col("skip"), F.greatest(F.size("words"), F.lit(1)))
+    out = split.select("item_id", tail(F.col("words")).alias("i_words"), tail(template(F.col("words"))).alias("i_template"))
     return out.withColumn("i_windows", windows(F.col("i_template"), width)).filter(F.size("i_windows") > 0)
 
 
@@ -104,26 +114,29 @@ def agreements(found: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, agree: float = AGREEMENT) -> DataFrame:
-    """One row for each document and item that leaks into it: doc_id, text_hash, item_id, n_matched and n_windows
+    """One row for each document and item that leaks into it: doc_id, text_key, item_id, n_matched and n_windows
     (distinct windows), coverage, agreement.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are dropped. A null text counts as empty. Rows that
-    repeat a document's id and text give one row together, and so do an item's repeated rows."""
+    docs: doc_id, text; benchmark: item_id, text; other columns are dropped. A null text counts as empty, and nothing
+    leaks into an empty one. Rows that repeat a document's id and text give one row together, and so do an item's
+    repeated rows. An empty table on either side gives an empty result."""
     items = durable(item_windows(benchmark).withColumn("_item", F.monotonically_increasing_id()), "items")
     probe = durable(probes(items, share), "probes")
     if probe.count() <= BROADCAST_ROWS:
         probe = F.broadcast(probe)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("_text"))
-    mark = marked(F.col("_text"))
-    exploded = keyed.select("doc_id", "text_hash", F.explode(windows(tokens(template(mark)))).alias("hash"))
-    pairs = durable(exploded.join(probe, "hash").select("doc_id", "text_hash", "_item").distinct(), "pairs")
-    mine = F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.text_hash") == F.col("d.text_hash"))
-    whole = keyed.alias("d").join(pairs.alias("p"), mine).select("d.*", "_item").dropDuplicates(["doc_id", "text_hash", "_item"])
-    spread = whole.withColumn("_mark", mark).select("doc_id", "text_hash", "_item", tokens(F.col("_mark")).alias("words"), windows(tokens(template(F.col("_mark")))).alias("windows"))
-    both = spread.join(items, "_item").select("*", F.size(F.array_intersect("windows", "i_windows")).cast("long").alias("n_matched"), F.size(F.array_distinct("i_windows")).cast("long").alias("n_windows"))
-    found = durable(both.filter(F.col("n_matched") >= F.col("n_windows") * share).withColumn("pair", F.monotonically_increasing_id()), "found")
-    found = found.join(agreements(found, share), "pair", "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).filter(F.col("agreement") >= agree)
-    return found.select("doc_id", "text_hash", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "agreement").distinct()
+    keyed = docs.select("doc_id", text_key("text").alias("text_key"), F.col("text").alias("_text"))
+    exploded = keyed.select("text_key", F.explode(text_windows(F.col("_text"))).alias("hash"))
+    pairs = durable(exploded.join(probe, "hash").select("text_key", "_item").distinct(), "pairs")
+    hits = durable(keyed.join(durable(pairs.select("text_key").distinct(), "texts"), "text_key", "left_semi"), "hits")
+    split = hits.select("text_key", "_text").dropDuplicates(["text_key"]).select("text_key", tokens(F.col("_text")).alias("words"))
+    spread = durable(split.withColumn("windows", windows(template(F.col("words")))), "windows")
+    matched = F.size(F.array_intersect("windows", "i_windows")).cast("long").alias("n_matched")
+    total = F.size(F.array_distinct("i_windows")).cast("long").alias("n_windows")
+    both = pairs.join(spread, "text_key").join(items, "_item").select("*", matched, total).filter(F.col("n_matched") >= F.col("n_windows") * share)
+    found = durable(both.withColumn("pair", F.monotonically_increasing_id()), "found")
+    judged = found.join(agreements(found, share), "pair", "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).filter(F.col("agreement") >= agree)
+    leaked = durable(judged.select("text_key", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "agreement"), "leaked")
+    return hits.select("doc_id", "text_key").distinct().join(leaked, "text_key").select("doc_id", "text_key", "item_id", "n_matched", "n_windows", "coverage", "agreement").distinct()
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from .decontamination import AGREEMENT, MARK, SHARE, UNITS, WIDTH
+# The template's constants are spelled out here once more, so that a slip in the operator's own doesn't hide.
+_M = "\ue000"
+_UNIT_WORDS = "km,kg,cm,mm,mg,ml,m,g,s,h,min,hour,hours,minute,minutes,second,seconds,day,days,week,weeks,month,months,year,years,mile,miles,feet,inches,meter,meters,metre,metres,liter,liters,litre,litres,pound,pounds,dollar,dollars,euro,euros,cent,cents,percent"
+_NUMBER_WORDS = "zero,one,two,three,four,five,six,seven,eight,nine,ten,eleven,twelve,thirteen,fourteen,fifteen,sixteen,seventeen,eighteen,nineteen,twenty,thirty,forty,fifty,sixty,seventy,eighty,ninety,hundred,thousand,million,billion,dozen,half,twice,double"
+# RE2 can't look behind; a second pass marks the names that follow a name.
+_MARK = r"regexp_replace({}, '([\p{{Ll}},;] )(\p{{Lu}}\p{{L}})', '\1" + _M + r"\2', 'g')"
+_WORDS = r"regexp_extract_all(lower(" + _MARK.format(_MARK.format(f"replace(coalesce(text, ''), '{_M}', '')")) + rf"), '{_M}?\p{{L}}+|\p{{Nd}}+(?:[.,]\p{{Nd}}+)*')"
+_NUM = r"(regexp_matches({0}, '^\p{{Nd}}') OR list_contains(string_split('" + _NUMBER_WORDS + "', ','), {0}))"
+_KINDS = f"list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {_NUM.format('w[i]')} THEN '{_M}n' WHEN starts_with(w[i], '{_M}') THEN '{_M}p' WHEN i > 1 AND list_contains(string_split('{_UNIT_WORDS}', ','), w[i]) AND {_NUM.format('w[greatest(i - 1, 1)]')} THEN '{_M}u' ELSE w[i] END)"
+_FIVES = "list_transform(range(greatest(len(c) - 4, 0)), lambda i: array_to_string(c[i + 1 : i + 5], ' '))"
 
-_MARKED = rf"lower(regexp_replace(regexp_replace(replace(coalesce(text, ''), '{MARK}', ''), '(\p{{Nd}})(\p{{L}})', '\1 \2', 'g'), '([\p{{Ll}},;] )(\p{{Lu}}\p{{Ll}})', '\1{MARK}\2', 'g'))"
-_TEMPLATE = rf"regexp_replace(regexp_replace(regexp_replace(m, '{MARK}\p{{L}}+', '{MARK}p', 'g'), '\p{{Nd}}+', '{MARK}n', 'g'), '({MARK}n )(?:{UNITS})\b', '\1{MARK}u', 'g')"
-_SPLIT = "list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{Nd}}" + MARK + "]+'), lambda x: x <> '')"
-_FIRST = r"CASE WHEN regexp_matches(text, '^[^\p{L}\p{Nd}]*\p{Lu}') THEN 2 ELSE 1 END"
-_WINDOWS = f"list_transform(range(greatest(len(c) - {WIDTH - 1}, 0)), lambda i: array_to_string(c[i + 1 : i + {WIDTH}], ' '))"
-
-OP7 = f"""WITH dm AS (SELECT doc_id, text, {_MARKED} AS m FROM (SELECT DISTINCT doc_id, text FROM documents)),
- dc AS (SELECT doc_id, text, {_SPLIT.format("m")} AS w, {_SPLIT.format(_TEMPLATE)} AS c FROM dm),
- d AS (SELECT row_number() OVER () AS dn, doc_id, w, {_WINDOWS} AS win FROM dc),
- bm AS (SELECT item_id, text, {_FIRST} AS k, {_MARKED} AS m FROM (SELECT DISTINCT item_id, text FROM benchmark)),
- bc AS (SELECT item_id, ({_SPLIT.format("m")})[k:] AS w, ({_SPLIT.format(_TEMPLATE)})[k:] AS c FROM bm),
- b AS (SELECT row_number() OVER () AS bn, item_id, w, c, {_WINDOWS} AS win FROM bc),
- dp AS (SELECT dn, h, min(p) AS p FROM (SELECT dn, unnest(win) AS h, unnest(range(len(win))) AS p FROM d) GROUP BY dn, h),
- bp AS (SELECT bn, unnest(win) AS h, unnest(range(len(win))) AS i FROM b),
+OP7 = rf"""WITH dw AS (SELECT doc_id, text, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ dc AS (SELECT doc_id, w, {_KINDS} AS c FROM dw), d AS (SELECT row_number() OVER () AS dn, doc_id, w, {_FIVES} AS win FROM dc),
+ bw AS (SELECT item_id, text, CASE WHEN regexp_matches(text, '^[^\p{{L}}\p{{Nd}}]*\p{{Lu}}') THEN 2 ELSE 1 END AS k, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ bc AS (SELECT item_id, w[k:] AS w, ({_KINDS})[k:] AS c FROM bw), b AS (SELECT row_number() OVER () AS bn, item_id, w, c, {_FIVES} AS win FROM bc),
+ dp AS (SELECT dn, unnest(win) AS h, unnest(range(len(win))) AS p FROM d), bp AS (SELECT bn, unnest(win) AS h, unnest(range(len(win))) AS i FROM b),
  pairs AS (SELECT dn, bn, count(DISTINCT dp.h) AS n FROM dp JOIN bp ON dp.h = bp.h GROUP BY dn, bn),
- totals AS (SELECT bn, count(DISTINCT h) AS total FROM bp GROUP BY bn),
- found AS (SELECT pairs.dn, pairs.bn, n, total FROM pairs JOIN totals ON pairs.bn = totals.bn WHERE n >= total * {SHARE}),
- slots AS (SELECT DISTINCT f.dn, f.bn, b.c[bp.i + k + 1] AS kind, b.w[bp.i + k + 1] AS item, d.w[dp.p + k + 1] AS doc FROM found f JOIN bp ON bp.bn = f.bn JOIN dp ON dp.dn = f.dn AND dp.h = bp.h
-  JOIN b ON b.bn = f.bn JOIN d ON d.dn = f.dn CROSS JOIN (SELECT unnest(range({WIDTH})) AS k) WHERE starts_with(b.c[bp.i + k + 1], '{MARK}')),
- agreed AS (SELECT dn, bn, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS a FROM (SELECT dn, bn, item, count(*) AS n FROM slots GROUP BY dn, bn, item) GROUP BY dn, bn)
- SELECT DISTINCT d.doc_id, b.item_id, n AS n_matched, total AS n_windows, n / total AS coverage, coalesce(a, 1.0) AS agreement FROM found f JOIN d ON d.dn = f.dn JOIN b ON b.bn = f.bn
- LEFT JOIN agreed g ON g.dn = f.dn AND g.bn = f.bn WHERE coalesce(a, 1.0) >= {AGREEMENT}"""
+ totals AS (SELECT bn, count(DISTINCT h) AS total, count(*) AS places FROM bp GROUP BY bn),
+ found AS (SELECT dn, pairs.bn, n, total, places FROM pairs JOIN totals ON pairs.bn = totals.bn WHERE n >= total * 0.8),
+ m AS (SELECT f.dn, f.bn, places, i, p - i AS o FROM found f JOIN bp ON bp.bn = f.bn JOIN dp ON dp.dn = f.dn AND dp.h = bp.h),
+ cover AS (SELECT dn, bn, o, count(*) AS n, max(places) AS places FROM m GROUP BY dn, bn, o),
+ anchors AS (SELECT dn, bn, o AS a FROM cover WHERE n >= places * 0.8 UNION SELECT dn, bn, arg_min(o, (-n, o)) FROM cover GROUP BY dn, bn),
+ spot AS (SELECT a.dn, a.bn, a.a, m.i, m.o, row_number() OVER (PARTITION BY a.dn, a.bn, a.a, m.i ORDER BY abs(m.o - a.a), m.o) AS r FROM anchors a JOIN m ON m.dn = a.dn AND m.bn = a.bn),
+ word AS (SELECT dn, bn, a, i + k AS j, o, row_number() OVER (PARTITION BY dn, bn, a, i + k ORDER BY abs(o - a), o) AS r FROM spot CROSS JOIN (SELECT unnest(range(5)) AS k) WHERE r = 1),
+ slots AS (SELECT x.dn, x.bn, x.a, b.w[j + 1] AS item, b.c[j + 1] || ' ' || d.w[j + o + 1] AS doc FROM word x JOIN b ON b.bn = x.bn JOIN d ON d.dn = x.dn WHERE r = 1 AND starts_with(b.c[j + 1], '{_M}')),
+ agreed AS (SELECT dn, bn, a, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS g FROM (SELECT dn, bn, a, item, count(DISTINCT doc) AS n FROM slots GROUP BY dn, bn, a, item) GROUP BY dn, bn, a),
+ best AS (SELECT dn, bn, max(g) AS g FROM agreed GROUP BY dn, bn)
+ SELECT DISTINCT doc_id, item_id, n AS n_matched, total AS n_windows, n / total AS coverage, coalesce(g, 1.0) AS agreement FROM found f JOIN d ON d.dn = f.dn JOIN b ON b.bn = f.bn
+ LEFT JOIN best ON best.dn = f.dn AND best.bn = f.bn WHERE coalesce(g, 1.0) >= 0.8"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP10 = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
