@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -66,7 +67,10 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("view-entity")
     c.add_argument("entity")
     c.add_argument("--format", choices=["csv", "markdown", "json"], default="markdown")
-    sub.add_parser("run-dataflow").add_argument("name")
+    c = sub.add_parser("run-dataflow")
+    c.add_argument("name")
+    c.add_argument("--format", choices=["csv", "markdown", "json"], default="csv")
+    sub.add_parser("requirement-tree").add_argument("key")
     sub.add_parser("refresh").add_argument("--output-dir")
     sub.add_parser("validate-yaml").add_argument("file", nargs="?", default="-")
     return p
@@ -105,9 +109,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             for name, rows in reg.view_entity(known or args.entity).items():
                 print(f"## {name}\n{show[args.format](rows)}\n")
         case "run-dataflow":
-            before = set(reg.registry.component_types)
-            reg.execute(args.name)
-            print("\n".join(sorted(set(reg.registry.component_types) - before)) or "no new types")
+            for name, made in sorted(reg.execute(args.name).items()):
+                told = "\n".join(map(str, made)) if isinstance(made, list) else show[args.format](made)
+                print(f"## {name}\n{told}\n")
+        case "requirement-tree":
+            print(json.dumps(reg.requirement_tree(args.key), indent=2, ensure_ascii=False))
         case "refresh":
             print("\n".join(reg.export_manifest(args.output_dir)))
     return 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 import pandas as pd
@@ -112,14 +113,24 @@ def documents(tables: dict[str, DataFrame], spine: DataFrame) -> DataFrame:
 
 def write_documents(docs: DataFrame, output_dir: str | None = None) -> list[str]:
     """Files written, sorted: below output_dir under the source's path, else in the source's place; a source that is
-    not YAML is never overwritten, its document goes beside it."""
-    written = []
-    for r in docs.toLocalIterator():
-        path = Path(r.filepath)
-        target = path.with_suffix(".yaml") if path.suffix not in (".yaml", ".yml") else path
-        if output_dir:
-            target = Path(output_dir) / target.relative_to(target.anchor)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(r.text, encoding="utf-8")
-        written.append(str(target))
-    return sorted(written)
+    not YAML is never overwritten, its document goes beside it. The executors write, so paths must be on a file system
+    that they share (in local mode any); the driver sees the names only."""
+
+    def write(batches):
+        for batch in batches:
+            written = []
+            for filepath, text in zip(batch.filepath, batch.text, strict=True):
+                path = Path(filepath)
+                target = path.with_suffix(".yaml") if path.suffix not in (".yaml", ".yml") else path
+                if output_dir:
+                    target = Path(output_dir) / target.relative_to(target.anchor)
+                target = Path(here) / target
+                target.parent.mkdir(parents=True, exist_ok=True)
+                part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")  # a task may run twice; whole files are moved into place
+                part.write_text(text, encoding="utf-8")
+                part.replace(target)
+                written.append(str(Path(output_dir or ".") / path.with_suffix(target.suffix).relative_to(path.anchor) if output_dir else target.relative_to(here) if not path.is_absolute() else target))
+            yield pd.DataFrame({"path": written})
+
+    here = str(Path.cwd())
+    return sorted(r.path for r in docs.mapInPandas(write, "path string").collect())

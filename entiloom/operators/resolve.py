@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import durable
 
-#: Spines up to so many rows are broadcast for the search by part of a path.
-BROADCAST_ROWS = 2_000_000
+#: Characters of the grams that references and paths are matched by.
+GRAM = 3
 
 
-def resolve(refs: DataFrame, spine: DataFrame) -> DataFrame:
-    """ref, eid, n_candidates for each distinct ref (column ref): the hits of the first of three searches that has any -
-    id, alias, part of the path - and eid where that is a single one. Blank and null refs have none.
+def grams(text: str, size: Column) -> Column:
+    """The different strings of so many characters in a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(F.col(text), i, size)))
+
+
+def containing(refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """ref, eid of all paths (path, eid) that contain a ref (non-empty).
+
+    Each ref is looked up by its rarest gram of three characters (all of a shorter ref), and confirmed. Paths keep those
+    grams only that a ref has. An equi-join, so the work follows the hits of rare grams, not refs times paths."""
+    size = F.least(F.length("ref"), F.lit(GRAM))
+    wanted = durable(refs.select("ref", size.alias("size"), F.explode(grams("ref", size)).alias("gram")), "ref-grams")
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # three at most
+    if not sizes:
+        return refs.select("ref", F.lit(None).cast("string").alias("eid")).limit(0)
+    of = F.flatten(F.array(*[F.when(F.length("path") >= n, grams("path", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)]))
+    index = durable(paths.select("path", "eid", F.explode(of).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "path-grams")
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = wanted.join(often, "gram", "left").groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).select("ref", F.col("least.gram").alias("gram"))
+    return durable(rare, "rare-grams").join(index, "gram").filter(F.col("path").contains(F.col("ref"))).select("ref", "eid").distinct()
 
-    The first two are equi-joins; only what they leave is searched by substring: in paths cut to tokens if the ref is made of
-    whole ones, and by scanning the spine for the rest."""
+
+def matches(refs: DataFrame, spine: DataFrame) -> DataFrame:
+    """ref, eid, tier of the first of three searches that has any hit: 1 id, 2 alias, 3 part of the path. Each is an
+    equi-join; a later one sees only what the earlier ones leave."""
     asked = refs.filter("ref is not null and ref != ''").select("ref").distinct()
-    ids = spine.select(F.col("value").alias("ref"), F.col("value").alias("eid"), F.lit(1).alias("tier"))
-    aliases = spine.filter("alias is not null").select(F.col("alias").alias("ref"), F.col("value").alias("eid"), F.lit(2).alias("tier"))
-    exact = durable(asked.join(ids.unionByName(aliases).distinct(), "ref"), "exact-refs")
-    left = asked.join(exact, "ref", "left_anti")
+    found = None
+    for tier, hits in enumerate((spine.select(F.col("value").alias("ref"), F.col("value").alias("eid")), spine.filter("alias is not null").select(F.col("alias").alias("ref"), F.col("value").alias("eid"))), 1):
+        hit = durable(asked.join(hits.distinct(), "ref").withColumn("tier", F.lit(tier)), f"refs-{tier}")
+        found = hit if found is None else found.unionByName(hit)
+        asked = asked.join(hit.select("ref").distinct(), "ref", "left_anti")
+    asked = durable(asked, "refs-left")
     paths = spine.filter("path is not null").select("path", F.col("value").alias("eid")).distinct()
-    few = F.broadcast(paths) if paths.count() <= BROADCAST_ROWS else paths
-    parts = left.join(few, F.col("path").contains(F.col("ref"))).select("ref", "eid", F.lit(3).alias("tier"))
-    hits = exact.unionByName(parts)
-    first = hits.groupBy("ref").agg(F.min("tier").alias("tier"))
-    found = hits.join(first, ["ref", "tier"]).groupBy("ref").agg(F.count_distinct("eid").alias("n_candidates"), F.min("eid").alias("eid"))
+    return found.unionByName(containing(asked, paths).withColumn("tier", F.lit(3)))
+
+
+def resolve(refs: DataFrame, spine: DataFrame) -> DataFrame:
+    """ref, eid, n_candidates for each distinct ref (column ref) with a hit; eid where there is a single one. Blank and
+    null refs have none."""
+    found = matches(refs, spine).groupBy("ref").agg(F.count_distinct("eid").alias("n_candidates"), F.min("eid").alias("eid"))
     return found.select("ref", F.when(F.col("n_candidates") == 1, F.col("eid")).alias("eid"), "n_candidates")
 
 
@@ -59,13 +82,11 @@ def same_as_map(same_as: DataFrame, spine: DataFrame, existing: DataFrame | None
     known = rows.join(every.select(F.col("value").alias("exact")).distinct().withColumn("ok", F.lit(1)), "exact", "left")
     direct = known.filter("exact is not null").select("owner", F.when(F.col("ok") == 1, F.col("exact")).alias("target"))
     asked = rows.filter("exact is null")
-    tiers = asked.join(every.alias("s"), (F.col("ref") == F.col("s.value")) | (F.col("ref") == F.col("s.alias")) | F.col("s.path").contains(F.col("ref")), "left")
-    tier = F.when(F.col("ref") == F.col("s.value"), 1).when(F.col("ref") == F.col("s.alias"), 2).when(F.col("s.value").isNotNull(), 3)
-    hits = tiers.select("owner", "ref", F.col("s.value").alias("eid"), tier.alias("tier"))
+    hits = asked.join(matches(asked, every), "ref", "left")
     best = hits.groupBy("owner").agg(F.min("tier").alias("tier"))
     chosen = hits.join(best, "owner").filter(hits["tier"].eqNullSafe(best["tier"])).groupBy("owner")
-    others = F.collect_set(F.when(F.col("eid") != F.col("owner"), F.col("eid")))
-    by_ref = chosen.agg(others.alias("c")).select("owner", F.when(F.size("c") == 1, F.get("c", F.lit(0))).alias("target"))
+    other = F.when(F.col("eid") != F.col("owner"), F.col("eid"))
+    by_ref = chosen.agg(F.min(other).alias("low"), F.max(other).alias("high")).select("owner", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"))
     out = durable(direct.unionByName(by_ref), "same-as")
     lost = out.filter("target is null").limit(5).collect()
     if lost:

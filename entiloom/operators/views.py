@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
@@ -48,14 +48,20 @@ def current(table: DataFrame, time_field: str | None, ties: Iterable[str] = ("co
     by a hash of the row. Without a time field, the table."""
     if time_field is None or time_field not in table.columns:
         return table
-    order = [F.col(q(time_field)).desc_nulls_last(), *[F.col(q(c)).desc_nulls_last() for c in ties if c in table.columns], F.xxhash64(*[F.col(q(c)) for c in table.columns])]
-    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(*order))
-    return table.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    whole = F.struct(*[F.col(q(c)) for c in table.columns])
+    order = F.struct(F.col(q(time_field)), *[F.col(q(c)) for c in ties if c in table.columns], F.bitwise_not(F.xxhash64(*[F.col(q(c)) for c in table.columns])))
+    # the greatest order of each entity is combined before the shuffle; nulls are the least
+    return table.groupBy("entity_id").agg(F.max_by(whole, order).alias("r")).select("r.*")
 
 
-def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of both, columns matched by name, missing ones null; columns whose types differ become text."""
+def stacked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All rows of both, columns matched by name, missing ones null; columns whose types differ become text."""
     kinds_a, kinds_b = dict(a.dtypes), dict(b.dtypes)
     odd = [c for c in kinds_a if c in kinds_b and kinds_a[c] != kinds_b[c]]
     text = lambda t: t.withColumns({c: F.col(q(c)).cast("string") for c in odd})
-    return text(a).unionByName(text(b), allowMissingColumns=True).distinct()
+    return text(a).unionByName(text(b), allowMissingColumns=True)
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """stacked(), each row once."""
+    return stacked(a, b).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, derive, eav, export, graph, resolve, validate
-from ..operators.views import current
+from ..operators.views import current, stacked
 from ..sources import manifests
 from ..sources.tables import durable, durable_all
 from .registry import Registry
@@ -18,15 +18,19 @@ from .registry import Registry
 Hook = Callable[[str, object], None]
 
 
-def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bool = True) -> Registry:
-    """A registry of the documents as they are: all fields text but for CSV columns."""
-    flat = durable(manifests.flat_documents(manifests.raw_documents(spark, paths, yaml, python, builtins)), "flat")
+def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bool = True, raw: DataFrame | None = None) -> Registry:
+    """A registry of the documents as they are: all fields text but for CSV columns. raw: further documents (file_id,
+    kind, text) as a table; each is flattened on an executor."""
+    texts = manifests.raw_documents(spark, paths, yaml, python, builtins)
+    if raw is not None:
+        texts = texts.unionByName(raw.select("file_id", "kind", "text"))
+    flat = durable(manifests.flat_documents(texts), "flat")
     kv = durable(eav.key_value(flat.filter("kind = 'pair'")), "key-value")
     spine = eav.spine(flat.filter("kind = 'entity'")).unionByName(manifests.csv_spine(spark, paths))
     types = eav.component_types(kv)
     tables = durable_all({t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")})
     for name, rows in manifests.csv_tables(spark, paths).items():
-        tables[name] = tables[name].unionByName(rows, allowMissingColumns=True) if name in tables else rows
+        tables[name] = stacked(tables[name], rows) if name in tables else rows
         types = types.unionByName(rows.select("entity_id", "component_index", F.lit(name).alias("component_type"), "modifier", F.lit(False).alias("derived"), F.lit(False).alias("skip_on_export")))
     return Registry(spark, {"entity_id": spine, "component_type": types, **tables})
 
@@ -128,7 +132,7 @@ class Registrar:
 
     def __init__(self, spark: SparkSession, registry: Registry | None = None, hook: Hook | None = None):
         self.spark, self.registry, self.hook = spark, registry or Registry(spark), hook or (lambda name, value: None)
-        self.dataflows = dict(AUDITS)
+        self.dataflows = {**AUDITS, "etl.export_manifest": self._export}
 
     @classmethod
     def from_manifest(cls, spark: SparkSession, manifest: str | Iterable[str], time: object = None) -> Registrar:
@@ -142,10 +146,10 @@ class Registrar:
         self.update(manifest, time=time)
         return self
 
-    def update(self, paths=None, time: object = None, yaml: dict[str, str] | None = None, python: dict[str, str] | None = None, period: str = "28 days") -> None:
-        """Load more documents; derived tables are made anew from the merged registry."""
+    def update(self, paths=None, time: object = None, yaml: dict[str, str] | None = None, python: dict[str, str] | None = None, period: str = "28 days", raw: DataFrame | None = None) -> None:
+        """Load more documents (raw: a table of them); derived tables are made anew from the merged registry."""
         existing = self.registry if self.registry.tables else None
-        new = loaded(self.spark, paths, yaml, python)
+        new = loaded(self.spark, paths, yaml, python, raw=raw)
         self.hook("loaded", new)
         new = validated(new, existing)
         self.hook("validated", new)
@@ -176,9 +180,18 @@ class Registrar:
             tables["parent"] = export.parents_left(tables["parent"], reg.get("entity_id")).drop("is_primary")
         return export.write_documents(export.documents(tables, reg.get("entity_id")), output_dir)
 
+    def _export(self, reg: Registry, output_dir: str | None = None, collapse_time_dimension: bool = True) -> dict[str, object]:
+        return {"written_paths": self.export_manifest(output_dir, collapse_time_dimension)}
+
+    def requirement_tree(self, key: str) -> dict:
+        """Nested {name, priority, children} of the requirements below the entity with this key."""
+        return graph.requirement_tree(self.registry.get("parent"), self.registry.get("entity_id"), self.registry.get("requirement"), key)
+
     def load_dataflow(self, flow: str | ModuleType | Callable, name: str | None = None) -> Registrar:
         """A function of the registry that returns tables to store; or a module, or a module's dotted name, with `run`."""
-        if isinstance(flow, str):
+        if isinstance(flow, str) and flow in self.dataflows:
+            flow, name = self.dataflows[flow], name or flow
+        elif isinstance(flow, str):
             try:
                 name, flow = name or flow, importlib.import_module(flow)
             except ModuleNotFoundError as e:
@@ -187,12 +200,12 @@ class Registrar:
         self.dataflows[name or getattr(flow, "__name__", "dataflow")] = run
         return self
 
-    def execute(self, name: str, **inputs: object) -> dict[str, DataFrame]:
-        """Run a dataflow; what it returns is stored under its names and handed back."""
+    def execute(self, name: str, **inputs: object) -> dict[str, object]:
+        """Run a dataflow; tables that it returns are stored under their names, and all that it returns is handed back."""
         if name not in self.dataflows:
             self.load_dataflow(name)
         made = self.dataflows[name](self.registry, **inputs)
-        self.registry.update(made)
+        self.registry.update({n: t for n, t in made.items() if isinstance(t, DataFrame)})
         self.hook(name, made)
         return made
 

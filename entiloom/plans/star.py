@@ -86,7 +86,7 @@ def path_parse_eav(spark, d):
     part = read(spark, d, "part")
     owner = F.concat(F.lit("parts:"), "p_brand", F.lit(".part"), text("p_partkey"), F.lit(".data"))
     pairs = F.explode(F.array(*[F.struct(F.concat(owner, F.lit(p)).alias("path"), text(c).alias("value")) for p, c in (("[0].part.name", "p_name"), ("[0].part.type", "p_type"), ("[1].size of", "p_size"))]))
-    return eav.key_value(part.select(pairs.alias("x")).select("x.path", "x.value", F.lit(0).cast("bigint").alias("seq"))).drop("seq")
+    return eav.key_value(eav.split_pairs(part.select(pairs.alias("x")).select("x.path", "x.value", F.lit(0).cast("bigint").alias("seq")))).drop("seq")
 
 
 @query("""SELECT substring(sha256('events:e' || event_id), 1, 12) AS entity_id, cast(0 AS BIGINT) AS component_index, cast(NULL AS VARCHAR) AS modifier,
@@ -396,7 +396,7 @@ def coerce_arithmetic(spark, d):
 
 # ---- references ----------------------------------------------------------------------------------------------------
 
-REFS = "(SELECT DISTINCT p_name AS ref FROM part UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation UNION SELECT cast(c_custkey AS VARCHAR) FROM customer WHERE c_custkey <= 20)"
+REFS = "(SELECT DISTINCT p_name AS ref FROM part UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation UNION SELECT cast(c_custkey AS VARCHAR) FROM customer UNION SELECT 'c' || c_custkey FROM customer UNION SELECT 's' || s_suppkey FROM supplier)"
 TARGETS = "(SELECT 'c' || c_custkey AS value, n_name || '.' || c_name AS path, c_name AS alias FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'p' || p_partkey, 'part.' || p_name || p_partkey, p_name FROM part UNION ALL SELECT 'n' || n_nationkey, n_name, n_name FROM nation)"
 
 
@@ -406,7 +406,9 @@ TARGETS = "(SELECT 'c' || c_custkey AS value, n_name || '.' || c_name AS path, c
 def resolve_ref_tiers(spark, d):
     customer, nation, part = read(spark, d, "customer"), read(spark, d, "nation"), read(spark, d, "part")
     of = lambda df, c: df.select(F.col(c).cast("string").alias("ref"))
-    refs = of(part, "p_name").unionAll(of(customer, "c_name")).unionAll(of(nation, "n_name")).unionAll(of(customer.filter("c_custkey <= 20"), "c_custkey"))
+    refs = of(part, "p_name").unionAll(of(customer, "c_name")).unionAll(of(nation, "n_name")).unionAll(of(customer, "c_custkey"))
+    coded = lambda letter, c: F.concat(F.lit(letter), text(c)).alias("ref")
+    refs = refs.unionAll(customer.select(coded("c", "c_custkey"))).unionAll(read(spark, d, "supplier").select(coded("s", "s_suppkey")))
     spine = (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), text("c_custkey")).alias("value"), F.concat_ws(".", "n_name", "c_name").alias("path"), F.col("c_name").alias("alias"))
         .unionAll(part.select(F.concat(F.lit("p"), text("p_partkey")), F.concat(F.lit("part."), "p_name", text("p_partkey")), "p_name"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import entity_id
+from ..functions.columns import entity_id, q
 from ..functions.documents import flatten, parse_python, parse_yaml
+from ..operators.views import stacked
 
 RAW = "file_id string, kind string, text string"
-FLAT = "file_id string, kind string, path string, value string, seq bigint"
+FLAT = "file_id string, kind string, path string, owner string, spine_path string, index bigint, type string, modifier string, field string, value string, seq bigint"
 BUILTIN = Path(__file__).with_name("builtins.yaml")
 
 
@@ -28,29 +31,45 @@ def file_id(path: Column) -> Column:
     return F.when(plain.startswith(here), F.substring(plain, len(here) + 1, 1 << 20)).otherwise(plain)
 
 
-def read_files(spark: SparkSession, paths: list[str], endings: tuple[str, ...], kind: str) -> DataFrame:
-    """file_id, kind, text of the files named, and of all files below the folders named, with one of the endings."""
-    found = spark.createDataFrame([], RAW)
-    for path in paths:
+def apart(paths: list[str]) -> list[str]:
+    """Paths without those named twice or lying below another."""
+    plain = list(dict.fromkeys(p.rstrip("/") or "/" for p in paths))
+    return [p for p in plain if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in plain)]
+
+
+def paths_with(spark: SparkSession, paths: list[str], endings: tuple[str, ...]) -> list[str]:
+    """The folders among the paths, and the files with one of the endings; a path that isn't there raises."""
+    out = []
+    for path in apart(paths):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
-            texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*{" + ",".join(endings) + "}")
-        elif path.endswith(endings):
-            texts = spark.read.text(path, wholetext=True)
-        else:
-            continue
-        found = found.unionByName(texts.select(file_id(F.col("_metadata.file_path")).alias("file_id"), F.lit(kind).alias("kind"), F.col("value").alias("text")))
-    return found.dropDuplicates(["file_id"])
+        if path.endswith(endings) or jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
+            out.append(path)
+    return out
+
+
+def found_below(endings: tuple[str, ...]) -> dict[str, str]:
+    return {"recursiveFileLookup": "true", "pathGlobFilter": "*{" + ",".join(endings) + "}"}
+
+
+def read_files(spark: SparkSession, paths: list[str], endings: tuple[str, ...], kind: str) -> DataFrame:
+    """file_id, kind, text of the files named, and of all files below the folders named, with one of the endings: one
+    scan, no shuffle."""
+    where = paths_with(spark, paths, endings)
+    if not where:
+        return spark.createDataFrame([], RAW)
+    texts = spark.read.options(**found_below(endings)).text(where, wholetext=True)
+    return texts.select(file_id(F.col("_metadata.file_path")).alias("file_id"), F.lit(kind).alias("kind"), F.col("value").alias("text"))
 
 
 def raw_documents(spark: SparkSession, paths: str | Iterable[str] | None = None, yaml: dict[str, str] | None = None, python: dict[str, str] | None = None, builtins: bool = True) -> DataFrame:
     """file_id, kind, text. Files win over texts in memory with the same id, Python over YAML; built-ins come along."""
     paths = as_paths(paths)
     files = read_files(spark, paths, (".yaml", ".yml"), "yaml").unionByName(read_files(spark, paths, (".py",), "python"))
-    given = [(k, "yaml", v) for k, v in (yaml or {}).items()] + [(k, "python", v) for k, v in (python or {}).items()]
+    given = {k: (k, "yaml", v) for k, v in (yaml or {}).items()} | {k: (k, "python", v) for k, v in (python or {}).items()}
     if builtins:
-        given.append((f"builtins.{COMPONENTS}", "yaml", BUILTIN.read_text(encoding="utf-8")))
-    return files.unionByName(spark.createDataFrame(given, RAW).join(files.select("file_id"), "file_id", "left_anti"))
+        given[f"builtins.{COMPONENTS}"] = (f"builtins.{COMPONENTS}", "yaml", BUILTIN.read_text(encoding="utf-8"))
+    rows = spark.createDataFrame(list(given.values()), RAW)
+    return files.unionByName(rows.join(files.select("file_id"), "file_id", "left_anti")) if paths else rows
 
 
 COMPONENTS = "components"
@@ -59,54 +78,62 @@ COMPONENTS = "components"
 def flat_documents(raw: DataFrame) -> DataFrame:
     """file_id, kind (entity or pair), path, value, seq: every document flattened on the executors, seq in its order."""
 
+    names = [x.strip().split(" ")[0] for x in FLAT.split(",")]
+
     def run(batches):
         for batch in batches:
             rows = []
             for doc, kind, text in zip(batch.file_id, batch.kind, batch.text, strict=True):
                 parsed = parse_python(doc, text or "") if kind == "python" else parse_yaml(text or "")
                 rows += [(doc, *row, i) for i, row in enumerate(flatten(doc, parsed))]
-            yield pd.DataFrame(rows, columns=["file_id", "kind", "path", "value", "seq"])
+            yield pd.DataFrame(rows, columns=names).astype({"index": "Int64"})
 
     return raw.mapInPandas(run, FLAT)
 
 
+def csv_headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """(stem, columns) -> its files. One scan brings the first line of each file; a row for each file is collected."""
+    lines = spark.read.options(**found_below((".csv",))).text(paths)
+    placed = lines.filter("value != ''").select("value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place"))
+    first = placed.groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    out: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for r in first.orderBy("file").collect():
+        columns = tuple(c.strip() for c in next(csv.reader([r.line.rstrip("\r").removeprefix("\ufeff")])))
+        out.setdefault((Path(unquote(r.file)).stem, columns), []).append(unquote(r.file))
+    return out
+
+
 def csv_tables(spark: SparkSession, paths: str | Iterable[str] | None) -> dict[str, DataFrame]:
     """`<stem>_comp` -> rows of the CSV files with that stem: entity_id (of the file), component_index (the row's place),
-    modifier (null), and the columns, typed as long, double or boolean where all their values are; dates stay text."""
-    found = read_files(spark, as_paths(paths), (".csv",), "csv")
+    modifier (null), and the columns, typed as long, double or boolean where all their values are; dates stay text.
+    Files of one stem and header are read together; those of another header add their columns."""
+    where = paths_with(spark, as_paths(paths), (".csv",))
     out: dict[str, DataFrame] = {}
-    for name in sorted(r.file_id for r in found.select("file_id").collect()):
-        stem = Path(name).stem
-        rows = read_csv(spark, found.filter(F.col("file_id") == name), name)
-        key = f"{stem}_comp"
-        out[key] = out[key].unionByName(rows, allowMissingColumns=True) if key in out else rows
+    for (stem, columns), files in (csv_headers(spark, where) if where else {}).items():
+        rows, key = read_csv(spark, files, columns), f"{stem}_comp"
+        out[key] = stacked(out[key], rows) if key in out else rows
     return out
 
 
-def read_csv(spark: SparkSession, document: DataFrame, name: str) -> DataFrame:
-    """A CSV file is one entity's table, so its rows must keep their places: it is parsed where its text is."""
-    header = document.select(F.substring_index(F.regexp_replace("text", "\r", ""), "\n", 1).alias("h")).first().h
-    columns = [c.strip().strip('"') for c in header.split(",")]
-    schema = "component_index bigint, " + ", ".join(f"`{c}` string" for c in columns)
-
-    def run(batches):
-        import io
-
-        for batch in batches:
-            for text in batch.text:
-                rows = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False, na_values=[""])
-                rows.columns = columns
-                yield rows.assign(component_index=range(len(rows)))[["component_index", *columns]]
-
-    rows = document.select("text").mapInPandas(run, schema)
-    kinds = rows.agg(*[F.every(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(t).isNotNull()).alias(f"{i}{t}") for i, c in enumerate(columns) for t in ("bigint", "double", "boolean")]).first()
+def read_csv(spark: SparkSession, files: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """Quoted fields may hold commas, quotes and line ends. A task streams a file, and rows are numbered in its order."""
+    schema = ", ".join(f"{q(c)} string" for c in columns)
+    text = spark.read.csv(files, schema=schema, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+    found = text.select("*", file_id(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    values = [F.nullif(F.col(q(c)), F.lit("")) for c in columns]
+    kinds = found.agg(*[F.every(v.isNull() | v.try_cast(t).isNotNull()).alias(f"{i}{t}") for i, v in enumerate(values) for t in ("bigint", "double", "boolean")]).first()
     pick = lambda i: next((t for t in ("bigint", "double", "boolean") if kinds[f"{i}{t}"]), "string")
-    typed = [F.col(f"`{c}`").try_cast(pick(i)).alias(c) for i, c in enumerate(columns)]
-    return rows.select(entity_id(F.lit(name)).alias("entity_id"), "component_index", F.lit(None).cast("string").alias("modifier"), *typed)
+    place = (F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1).cast("bigint")
+    typed = [v.try_cast(pick(i)).alias(c) for i, (c, v) in enumerate(zip(columns, values, strict=True))]
+    return found.select(entity_id(F.col("_file")).alias("entity_id"), place.alias("component_index"), F.lit(None).cast("string").alias("modifier"), *typed)
 
 
 def csv_spine(spark: SparkSession, paths: str | Iterable[str] | None) -> DataFrame:
     """One entity for each CSV file; its id is the hash of the file's id, its path ends in the file's stem."""
-    found = read_files(spark, as_paths(paths), (".csv",), "csv").select("file_id")
+    where = paths_with(spark, as_paths(paths), (".csv",))
+    if where:
+        names = spark.read.format("binaryFile").options(**found_below((".csv",))).load(where).select(file_id(F.col("path")).alias("file_id"))  # contents stay unread
+    else:
+        names = spark.createDataFrame([], "file_id string")
     stem = F.regexp_extract("file_id", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return found.select(entity_id(F.col("file_id")).alias("value"), F.concat_ws(":", "file_id", stem).alias("path"), stem.alias("alias"), stem.alias("entity_key"), F.col("file_id").alias("filepath"))
+    return names.select(entity_id(F.col("file_id")).alias("value"), F.concat_ws(":", "file_id", stem).alias("path"), stem.alias("alias"), stem.alias("entity_key"), F.col("file_id").alias("filepath"))

@@ -31,7 +31,16 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing will read again."""
+    for t in tables:
+        jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.durable_path)
+        jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def durable_all(tables: dict[str, DataFrame], at_once: int = 8) -> dict[str, DataFrame]:
@@ -52,6 +61,11 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
+def load_jdbc(spark: SparkSession, url: str, names: list[str], **options: str) -> dict[str, DataFrame]:
+    """Tables that save_jdbc() wrote, by name; with partitionColumn and bounds among the options Spark reads in parts."""
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+
+
 def save_jdbc(tables: dict[str, DataFrame], url: str, **options: str) -> None:
     """Every table into a database, overwriting; the driver's jar must be on the class path."""
     for name, df in tables.items():

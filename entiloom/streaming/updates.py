@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.views import current
+from ..sources.tables import durable
 
 
 def append_versions(stream: DataFrame, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
@@ -20,11 +22,10 @@ def current_versions(history: DataFrame, time_field: str) -> DataFrame:
 
 
 def update_registry(stream: DataFrame, registrar, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Each micro-batch of (file_id, text) YAML documents becomes an update of the registrar."""
+    """Each micro-batch of (file_id, text) YAML documents becomes an update of the registrar; the driver sees no text."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        docs = {r.file_id: r.text for r in batch.toLocalIterator()}
-        if docs:
-            registrar.update(yaml=docs, time=number)
+        if not batch.isEmpty():
+            registrar.update(raw=durable(batch.select("file_id", F.lit("yaml").alias("kind"), "text"), "documents"), time=number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

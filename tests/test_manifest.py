@@ -3,8 +3,9 @@ import json
 import pytest
 
 from entiloom import cli
-from entiloom.functions.documents import arithmetic, flatten, parse_python
+from entiloom.functions.documents import arithmetic, docstring_parts, flatten, parse_python, parse_yaml
 from entiloom.plans.registrar import Registrar
+from entiloom.sources.manifests import apart, csv_tables, flat_documents, raw_documents
 
 MANIFEST = """
 goal:
@@ -137,6 +138,33 @@ def test_csv_and_python(reg):
     assert sorted(k for k in keys) == ["A", "mod"]
 
 
+def test_csv_of_many_files_and_quotes(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "parts.csv").write_text(f'id,"name, long",note\n{i},"a ""b"", c","two\nlines"\n{i + 100},,\n')
+    (tmp_path / "parts.csv").write_text("id,other\nx,1\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = csv_tables(spark, str(tmp_path))
+    rows = got["parts_comp"].collect()
+    assert set(got) == {"parts_comp"} and len(rows) == 81
+    assert {(r.component_index, r["name, long"], r.note) for r in rows if r.other is None} == {(0, 'a "b", c', "two\nlines"), (1, None, None)}
+    assert len({r.entity_id for r in rows}) == 41
+
+
+def test_python_wins_over_yaml(spark):
+    raw = raw_documents(spark, yaml={"x": "a:\n- b\n"}, python={"x": '"""Told."""'}, builtins=False)
+    assert [r.kind for r in raw.collect()] == ["python"]
+    assert [r.path for r in flat_documents(raw).filter("kind = 'entity'").collect()] == ["x:x"]
+
+
+def test_dataflows_and_tree(reg, tmp_path, spark):
+    made = reg.execute("etl.export_manifest", output_dir=str(tmp_path))
+    assert len(made["written_paths"]) == 2 and "written_paths" not in reg.registry.component_types
+    tree = reg.requirement_tree("goal")
+    assert (tree["name"], tree["priority"], {c["name"] for c in tree["children"]}) == ("goal", 1.0, {"water", "light"})
+    assert reg.load_dataflow("etl.export_manifest") is reg
+
+
 def test_versions(spark):
     text = "position:\n    - component_type\n    - field:\n        x: {type: int}\n        t: {type: int, time_dimension: true}\nship:\n    - position: {x: 1}\n"
     reg = Registrar(spark)
@@ -163,7 +191,14 @@ def test_save_and_load(reg, spark, tmp_path):
 def test_small_helpers():
     assert arithmetic("(1+2)*-3") == -9 and arithmetic("a+1") is None and arithmetic("1/0") is None
     assert parse_python("x.py", "def f(:") == {}
-    assert [r[1:] for r in flatten("f", {"e": [{"k": {"n1": {"a": 1}, "n2": {"a": None}}}]})[1:]] == [("f:e[0].k.value", "n1"), ("f:e[0].k.a", "1"), ("f:e[1].k.value", "n2"), ("f:e[1].k.a", "")]
+    assert [(r[1], r[-1]) for r in flatten("f", {"e": [{"k": {"n1": {"a": 1}, "n2": {"a": None}}}]})[1:]] == [("f:e[0].k.value", "n1"), ("f:e[0].k.a", "1"), ("f:e[1].k.value", "n2"), ("f:e[1].k.a", "")]
+    assert flatten("f", {"e": {"data": [{"part of": {"size.x": 2}}]}})[1:] == [("pair", "f:e.data[0].part of.size.x", "f:e", "f:e.data[0].part of", 0, "part", "of", "size.x", "2")]
+    assert arithmetic("+".join(["1"] * 5000)) == 5000 and arithmetic("-" * 3000 + "1") == 1 and arithmetic("2-3-4") == -5 and arithmetic("8/4/2") == 1
+    assert [arithmetic(t) for t in ("", "()", "1 2", "(1", "1)", "1*/2", "2*-(3-1)", "1e3 - .5")] == [None, None, None, None, None, None, -4, 999.5]
+    assert parse_yaml("- a\n- b\n") == {} and parse_yaml("") == {}
+    assert docstring_parts("Top.\n\nComponents\n----------\n- a: 1\n\nNotes\n-----\ntext\n") == ("Top.\n\nNotes\n-----\ntext", [{"a": 1}])
+    assert parse_python("m.py", '"""A."""\n__entity__ = {"system": True}\n') == {"m": [{"description": "A."}, {"system": True}]}
+    assert apart(["a", "a/", "a/b.yaml", "ab"]) == ["a", "ab"]
 
 
 def test_cli(spark, tmp_path, capsys, monkeypatch):
