@@ -35,6 +35,11 @@ def text(c: str):
     return F.col(c).cast("string")
 
 
+def coded(letters: str, c: str):
+    """Letters and a number, as ids of several tables go in one column."""
+    return F.concat(F.lit(letters), text(c))
+
+
 def cents(c: str):
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -296,42 +301,46 @@ def impact_cost_ratio(spark, d):
     return out.select("entity_id", *whole, shown.cast("bigint").alias("thousandths"))
 
 
-GRAPH = [("child", 0, "base"), ("child", 1, "mixin"), ("base", 0, "root"), ("mixin", 0, "root"), ("loop1", 0, "loop2"), ("loop2", 0, "loop1")]
-FIELDS = [("root", 0, "a", "root.a"), ("root", 1, "b", "root.b"), ("base", 0, "b", "base.b"), ("mixin", 0, "b", "mixin.b"), ("mixin", 1, "c", "mixin.c"), ("child", 3, "d", "child.d"), ("loop2", 0, "x", "loop2.x")]
-
-
-def sql_values(rows: list[tuple], *names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") AS v({', '.join(names)})"
+@query(f"""WITH e AS {EDGES}, f AS (SELECT r_name AS owner, 0 AS idx, 'currency' AS name FROM region UNION ALL SELECT r_name || '.' || n_name, 3, 'tax' FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT r_name || '.' || n_name, 5, 'currency' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0),
+ up AS (SELECT id, id AS anc, 0 AS s FROM (SELECT p AS id FROM e UNION SELECT c FROM e) UNION ALL SELECT c, p, 1 FROM e UNION ALL SELECT a.c, b.p, 2 FROM e a JOIN e b ON a.p = b.c),
+ near AS (SELECT id, anc, s, idx, name, row_number() OVER (PARTITION BY id, name ORDER BY s) AS rn FROM up JOIN f ON owner = anc), own AS (SELECT owner, max(idx) AS last FROM f GROUP BY owner)
+ SELECT id AS entity_id, cast(CASE WHEN s = 0 THEN idx ELSE coalesce(last, 0) + row_number() OVER (PARTITION BY id, s = 0 ORDER BY s, idx) END AS BIGINT) AS component_index, name AS value, anc || '/' || name AS description
+ FROM near LEFT JOIN own ON owner = id WHERE rn = 1""")
+def field_inheritance(spark, d):
+    """Customers inherit the fields of nations and regions, the nearest definition of each; some nations override one."""
+    nation = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    land = F.concat_ws(".", "r_name", "n_name")
 
+    def rows(df: DataFrame, owner, index: int, name: str) -> DataFrame:
+        return df.select(owner.alias("entity_id"), F.lit(index).cast("bigint").alias("component_index"), F.lit(name).alias("value"), F.concat(owner, F.lit("/" + name)).alias("description"))
 
-@query(f"""WITH RECURSIVE g AS (SELECT * FROM {sql_values(GRAPH, "e", "i", "p")}), f AS (SELECT * FROM {sql_values(FIELDS, "owner", "idx", "name", "def")}),
- n AS (SELECT e AS x FROM g UNION SELECT p FROM g UNION SELECT owner FROM f), w AS (SELECT x AS des, x AS anc, 0 AS s, '' AS way FROM n
- UNION SELECT des, p, s + 1, way || i FROM w JOIN g ON e = anc WHERE s < 6)
- SELECT des AS entity_id, name AS value, def AS description FROM (SELECT des, name, def, row_number() OVER (PARTITION BY des, name ORDER BY s, way) AS rn FROM w JOIN f ON owner = anc) WHERE rn = 1""")
-def field_inheritance(spark, d):
-    edges = values(spark, "entity_id string, component_index bigint, parent_eid string", *GRAPH)
-    field = values(spark, "entity_id string, component_index bigint, value string, description string", *FIELDS)
-    return graph.inherited(field, edges).select("entity_id", "value", "description")
+    field = rows(read(spark, d, "region"), F.col("r_name"), 0, "currency").unionAll(rows(nation, land, 3, "tax")).unionAll(rows(nation.filter("n_nationkey % 3 = 0"), land, 5, "currency"))
+    return graph.inherited(field, named_edges(spark, d).withColumn("component_index", F.lit(0).cast("bigint")))
 
 
-PARENTS = [("a", -1, "p1", True), ("a", 0, "p2", False), ("b", 2, "p1", False), ("b", 1, "p3", False), ("c", -1, "p1", True), ("c", 0, "p2", True), ("a", 5, "p1", False)]
-PARENT_SQL = f"SELECT e AS entity_id, i AS component_index, p AS parent_eid, pr FROM {sql_values([(e, i, p, int(x)) for e, i, p, x in PARENTS], 'e', 'i', 'p', 'pr')}"
+PARENTS = """(SELECT 'p' || p_partkey AS entity_id, cast(p_size % 5 AS BIGINT) AS component_index, p_brand AS parent_eid, p_partkey % 2 = 0 AS pr FROM part
+ UNION ALL SELECT 'p' || p_partkey, p_size % 5 + 1, p_type, p_partkey % 3 = 0 FROM part UNION ALL SELECT 'p' || p_partkey, 9, p_brand, false FROM part WHERE p_partkey % 4 = 1)"""
+CHOSEN = f"(SELECT entity_id, CASE WHEN count(*) FILTER (pr) = 1 THEN max(CASE WHEN pr THEN parent_eid END) ELSE min_by(parent_eid, component_index) END AS parent_eid FROM {PARENTS} GROUP BY 1)"
 
 
-def parent_rows(spark: SparkSession) -> DataFrame:
-    return values(spark, "entity_id string, component_index bigint, parent_eid string, is_primary boolean", *PARENTS)
+def parent_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each part below its brand and its type, some twice below the brand; either, both or none is primary."""
+    part, key = read(spark, d, "part"), coded("p", "p_partkey").alias("entity_id")
+    row = lambda df, index, parent, primary: df.select(key, index.cast("bigint").alias("component_index"), F.col(parent).alias("parent_eid"), primary.alias("is_primary"))
+    place, n = F.col("p_size") % 5, F.col("p_partkey")
+    return row(part, place, "p_brand", n % 2 == 0).unionAll(row(part, place + 1, "p_type", n % 3 == 0)).unionAll(row(part.filter("p_partkey % 4 = 1"), F.lit(9), "p_brand", F.lit(False)))
 
 
-@query(f"""SELECT entity_id, CASE WHEN sum(pr) = 1 THEN max(CASE WHEN pr = 1 THEN parent_eid END) ELSE min_by(parent_eid, component_index) END AS parent_eid FROM ({PARENT_SQL}) GROUP BY 1""")
+@query(f"SELECT entity_id, parent_eid FROM {CHOSEN}")
 def hierarchy_parent_choice(spark, d):
-    return graph.hierarchy_parent(parent_rows(spark))
+    return graph.hierarchy_parent(parent_rows(spark, d))
 
 
-@query(f"""WITH r AS ({PARENT_SQL}), h AS (SELECT entity_id, CASE WHEN sum(pr) = 1 THEN max(CASE WHEN pr = 1 THEN parent_eid END) ELSE min_by(parent_eid, component_index) END AS chosen FROM r GROUP BY 1),
- n AS (SELECT r.*, row_number() OVER (PARTITION BY entity_id, parent_eid ORDER BY component_index) AS nth FROM r)
- SELECT n.entity_id, cast(component_index AS BIGINT) AS component_index, parent_eid FROM n JOIN h ON n.entity_id = h.entity_id WHERE parent_eid <> chosen OR nth > 1""")
+@query(f"""SELECT r.entity_id, component_index, r.parent_eid FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, parent_eid ORDER BY component_index) AS nth FROM {PARENTS}) r JOIN {CHOSEN} h ON r.entity_id = h.entity_id
+ WHERE r.parent_eid <> h.parent_eid OR nth > 1""")
 def non_hierarchy_parents(spark, d):
-    rows = parent_rows(spark)
+    rows = parent_rows(spark, d)
     return graph.other_parents(rows, graph.hierarchy_parent(rows)).select("entity_id", "component_index", "parent_eid")
 
 
@@ -376,15 +385,15 @@ def validate_defaults(spark, d):
     return validate.coerce(rows, rules)
 
 
-TEXTS = ["1.5", "0.5", "2.5", "-2.5", "", "1e3", "yes", "0", "TRUE", "on", "7", "abc", "-3.5", "f"]
-WHOLE = {"1.5": 2, "0.5": 1, "2.5": 3, "-2.5": -3, "1e3": 1000, "0": 0, "7": 7, "-3.5": -4}
-REAL = {"1.5": 1.5, "0.5": 0.5, "2.5": 2.5, "-2.5": -2.5, "1e3": 1000.0, "0": 0.0, "7": 7.0, "-3.5": -3.5}
-TRUTH = {"yes": 1, "0": 0, "TRUE": 1, "f": 0}
-
-
-@query(f"""SELECT t AS text, cast(i AS BIGINT) AS "int", cast(x AS DOUBLE) AS "float", cast(b AS BOOLEAN) AS "bool" FROM {sql_values([(t, WHOLE.get(t), REAL.get(t), TRUTH.get(t)) for t in TEXTS], "t", "i", "x", "b")}""")
+@query("""SELECT p_partkey AS key, CASE m WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 WHEN 2 THEN -p_size - 1 WHEN 3 THEN p_size * 100 WHEN 6 THEN 1 END AS "int",
+ CASE m WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN -p_size - 0.5 WHEN 3 THEN p_size * 100 WHEN 6 THEN 1 END::DOUBLE AS "float", CASE m WHEN 6 THEN true WHEN 7 THEN p_size % 2 = 0 END AS "bool"
+ FROM (SELECT *, p_partkey % 9 AS m FROM part)""")
 def coerce_try_cast(spark, d):
-    rows = values(spark, "text string", *[(t,) for t in TEXTS]).select("text", *[F.col("text").alias(c) for c in ("int", "float", "bool")])
+    """Texts of many forms as whole numbers (halves away from zero), numbers and truth values; null where they are none."""
+    size, m = text("p_size"), F.col("p_partkey") % 9
+    forms = (size, F.concat(size, F.lit(".5")), F.concat(F.lit("-"), size, F.lit(".5")), F.concat(size, F.lit("e2")), F.lit(""), F.col("p_name"), F.lit("1"), F.when(F.col("p_size") % 2 == 0, "YES").otherwise("f"), F.lit("on"))
+    form = F.get(F.array(*forms), m.cast("int"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("key"), *[form.alias(c) for c in ("int", "float", "bool")])
     return validate.coerce(rows, [FieldRule(c, c) for c in ("int", "float", "bool")])
 
 
@@ -407,8 +416,7 @@ def resolve_ref_tiers(spark, d):
     customer, nation, part = read(spark, d, "customer"), read(spark, d, "nation"), read(spark, d, "part")
     of = lambda df, c: df.select(F.col(c).cast("string").alias("ref"))
     refs = of(part, "p_name").unionAll(of(customer, "c_name")).unionAll(of(nation, "n_name")).unionAll(of(customer, "c_custkey"))
-    coded = lambda letter, c: F.concat(F.lit(letter), text(c)).alias("ref")
-    refs = refs.unionAll(customer.select(coded("c", "c_custkey"))).unionAll(read(spark, d, "supplier").select(coded("s", "s_suppkey")))
+    refs = refs.unionAll(customer.select(coded("c", "c_custkey").alias("ref"))).unionAll(read(spark, d, "supplier").select(coded("s", "s_suppkey").alias("ref")))
     spine = (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), text("c_custkey")).alias("value"), F.concat_ws(".", "n_name", "c_name").alias("path"), F.col("c_name").alias("alias"))
         .unionAll(part.select(F.concat(F.lit("p"), text("p_partkey")), F.concat(F.lit("part."), "p_name", text("p_partkey")), "p_name"))
@@ -434,11 +442,17 @@ def strip_text(spark, d):
     return read(spark, d, "documents").select("doc_id", strip(padded).alias("text"))
 
 
-@query(f"""SELECT e AS entity_id, cast(i AS BIGINT) AS component_index, t AS component_type, cast(NULL AS VARCHAR) AS modifier, t = 'depth' AS derived, t = 'log' AS skip_on_export FROM {sql_values([("x", 0, "depth"), ("y", 1, "log"), ("z", 0, "note"), ("d", 0, "component_type"), ("l", 0, "component_type")], "e", "i", "t")}""")
+@query("""WITH f AS (SELECT p_brand, bool_or(p_size % 7 = 0) AS derived, bool_or(p_size % 11 = 0) AS skip FROM part GROUP BY p_brand)
+ SELECT 'p' || p_partkey AS entity_id, cast(p_size AS BIGINT) AS component_index, p.p_brand AS component_type, cast(NULL AS VARCHAR) AS modifier, derived, skip AS skip_on_export FROM part p JOIN f ON f.p_brand = p.p_brand
+ UNION ALL SELECT DISTINCT p_brand, cast(0 AS BIGINT), 'component_type', NULL, false, false FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0 OR p_size % 13 = 0""")
 def component_type_flags(spark, d):
-    kv = values(spark, "entity_id string, entity_key string, component_index bigint, component_type string, modifier string, field string, value string",
-        ("x", "x", 0, "depth", None, "value", "1"), ("y", "y", 1, "log", None, "value", "2"), ("z", "z", 0, "note", None, "value", "3"), ("z", "z", 0, "note", None, "by", "me"),
-        ("d", "depth", 0, "component_type", None, "derived", "True"), ("l", "log", 0, "component_type", None, "skip_on_export", "yes"), ("l", "log", 0, "component_type", None, "derived", "no"))
+    """Flags of types come from the entities that define them: texts that mean true, false ones don't count."""
+    part = read(spark, d, "part")
+    row = lambda entity, index, kind, field, value: F.struct(entity.alias("entity_id"), entity.alias("entity_key"), index.cast("bigint").alias("component_index"), kind.alias("component_type"), F.lit(None).cast("string").alias("modifier"), F.lit(field).alias("field"), F.lit(value).alias("value"))
+    defines = lambda field, value: row(F.col("p_brand"), F.lit(0), F.lit("component_type"), field, value)
+    size = F.col("p_size")
+    said = F.array(row(coded("p", "p_partkey"), size, F.col("p_brand"), "value", "1"), F.when(size % 7 == 0, defines("derived", "True")), F.when(size % 11 == 0, defines("skip_on_export", "yes")), F.when(size % 13 == 0, defines("derived", "no")))
+    kv = part.select(F.explode(F.filter(said, lambda x: x.isNotNull())).alias("x")).select("x.*")
     return eav.component_types(kv)
 
 

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from entiloom.plans import star
+from entiloom.plans import star, star_documents  # noqa: F401
 from tests.compare import rows
 
 SMALL = "/root/testdata/sf0.001"
