@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: White space beyond the ASCII blanks: texts with it are encoded whole.
-ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MOST = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SOLID = np.ones(256, bool)

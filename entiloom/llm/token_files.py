@@ -10,6 +10,7 @@ up by control byte and reads all values of a block at once.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 
@@ -60,15 +61,29 @@ def tokenizer(path: str):
     return out
 
 
+def parts_letters_from_marks(spec: dict) -> bool:
+    """Whether the pre-tokenizer is of the kind that Stretches may cut for: a split by a pattern that has runs of letters
+    apart from runs of marks, then bytes."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = next((s for s in steps if s["type"] == "Split"), {})
+    return [s["type"] for s in steps] == ["Split", "ByteLevel"] and r"\p{L}]+" in str(split.get("pattern")) and r"[^\s\p{L}\p{N}]+" in str(split.get("pattern"))
+
+
 @functools.lru_cache(4)
 def cache(path: str) -> Stretches:
     """The library's encoding, called once for each distinct stretch; it stays with the Python worker."""
     library = tokenizer(path)
-    apart = "<|startoftext|>"  # an added token, which no stretch holds, parts the stretches of one call
-    apart_id = library.token_to_id(apart)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+    opens = tuple({t[:2] for t in added})
+    apart = next((t["content"] for t in spec.get("added_tokens", []) if not t.get("normalized")), None)  # no stretch holds it, so it parts those of one call
+    apart_id = library.token_to_id(apart) if apart else None
+    if not parts_letters_from_marks(spec):
+        opens = ("",)  # nothing is known about where its texts may be cut: all are encoded whole
 
     def new(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if apart_id is None or any("<|" in x for x in texts):
+        if apart_id is None or any(o in x for x in texts for o in opens):
             ids = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter((i for x in ids for i in x), np.int32, size.sum()), size
@@ -77,7 +92,7 @@ def cache(path: str) -> Stretches:
         ends = np.flatnonzero(ids == apart_id)
         return ids[ids != apart_id], np.diff(np.r_[-1, ends]) - 1
 
-    return Stretches(new, fold=True, whole=("<|",))
+    return Stretches(new, fold="Lowercase" in json.dumps(spec.get("normalizer")), whole=opens)
 
 
 def id_kind(path: str, end_id: int) -> str:
