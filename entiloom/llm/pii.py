@@ -220,7 +220,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of its text replaced by its kind in angle brackets, all columns and rows kept. Spans that
-    overlap are replaced together, under the kind of the first. n_chars, if there, becomes the new length. A null text
+    overlap are replaced together, under the kind of the first. n_chars, if there, becomes the length of a changed text. A null text
     stays null; an empty table gives an empty result.
 
     Base spans are found and used where a row lies; only rows with candidates are shuffled, to what became of these."""
@@ -247,7 +247,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     some = F.size(spans) > 0
     out = all_.withColumn(text, F.coalesce(masked(F.when(some, F.col(text)), F.when(some, F.col(spans))), F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(some, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 
