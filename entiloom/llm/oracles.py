@@ -42,4 +42,16 @@ OP10 = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_a
  least AS (SELECT a, min(b) AS c FROM r GROUP BY a)
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON a = d.doc_id"""
 
-SQL = {"op7_decontamination": OP7, "op10_near_dups": OP10}
+# Every string of 400 bytes of every text by a 128-bit digest; a byte is two characters of hex. Texts are taken in pieces
+# of 2,048 places, as DuckDB walks a string from its start.
+OP2 = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT r, doc_id, h, len(h) // 2 AS n FROM t),
+ piece AS (SELECT r, base, substr(h, 2 * base + 1, 4894) AS s, least(2048, n - 399 - base) AS m FROM (SELECT r, h, n, unnest(range(0, greatest(n - 399, 0), 2048)) AS base FROM n)),
+ k AS (SELECT r, base + i AS i, md5_number(substr(s, 2 * i + 1, 800)) AS m FROM (SELECT r, base, s, unnest(range(m)) AS i FROM piece)),
+ twice AS (SELECT m FROM k GROUP BY m HAVING count(*) > 1), hit AS (SELECT r, i FROM k SEMI JOIN twice ON k.m = twice.m),
+ part AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM hit)),
+ cut AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM part GROUP BY r, g), lost AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM cut GROUP BY r),
+ keep AS (SELECT r, e AS a, lead(s) OVER (PARTITION BY r ORDER BY e) AS b FROM (SELECT r, s, e FROM cut UNION ALL SELECT r, 0, 0 FROM n)),
+ left_over AS (SELECT keep.r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM keep JOIN n ON n.r = keep.r GROUP BY keep.r)
+ SELECT doc_id, n AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_over.h)) AS kept_sha256 FROM n JOIN left_over ON left_over.r = n.r LEFT JOIN lost ON lost.r = n.r"""
+
+SQL = {"op2_suffix_dedup": OP2, "op7_decontamination": OP7, "op10_near_dups": OP10}
