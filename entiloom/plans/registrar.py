@@ -25,7 +25,7 @@ def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bo
     if raw is not None:
         texts = texts.unionByName(raw.select("file_id", "kind", "text"))
     flat = durable(manifests.flat_documents(texts), "flat")
-    kv = durable(eav.key_value(flat.filter("kind = 'pair'")), "key-value")
+    kv = durable(eav.key_value(flat.filter("kind = 'pair'")), "key-value", by="component_type")  # a type's pivot reads its own files
     spine = eav.spine(flat.filter("kind = 'entity'")).unionByName(manifests.csv_spine(spark, paths))
     types = eav.component_types(kv)
     tables = durable_all({t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eav, export, graph, resolve, validate, views
-from ..sources.manifests import flat_documents
-from ..sources.tables import durable, read
+from ..sources.manifests import csv_tables, flat_documents
+from ..sources.tables import durable, read, shared_dir
 from .registrar import Registrar
 from .registry import Registry
 from .star import EDGES, coded, named_edges, plain, query, star_registry, text
@@ -110,6 +112,75 @@ def type_union_align(spark, d):
     return views.stacked(a, read(spark, d, "supplier").select(F.col("s_name").alias("name"), coded("n", "s_nationkey").alias("place")))
 
 
+@query("SELECT p_partkey AS partkey, p_name || ', \"new\"' AS name, p_retailprice AS price, p_size > 25 AS large, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand FROM part")
+def csv_component(spark, d):
+    """Rows of several CSV files of one stem, with quotes and commas inside; columns are typed by what all values are."""
+    part = read(spark, d, "part")
+    rows = part.select(F.col("p_partkey").alias("partkey"), F.concat("p_name", F.lit(', "new"')).alias("name"), F.col("p_retailprice").alias("price"), (F.col("p_size") > 25).alias("large"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("brand"))
+    folder = f"{shared_dir(spark)}/entiloom/csv-{uuid.uuid4().hex}"
+    rows.repartition(3).write.csv(folder, header=True, escape='"')
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(folder))
+    for i, f in enumerate(x.getPath() for x in files.listStatus(path(folder)) if x.getPath().getName().endswith(".csv")):
+        files.mkdirs(path(f"{folder}/{i}"))
+        files.rename(f, path(f"{folder}/{i}/parts.csv"))
+    return csv_tables(spark, folder)["parts_comp"].drop("entity_id", "component_index", "modifier")
+
+
+# ---- whole manifests -----------------------------------------------------------------------------------------------
+
+TYPES = """shop:
+    - component_type
+    - field:
+        size: {type: float, nullable: false}
+        kind: {type: str, range: [a, b], default: a}
+        seen: {type: int, default: 7}
+"""
+SHOP = "substring(sha256('m/' || s_suppkey || '.yaml:s' || s_suppkey), 1, 12)"
+
+
+def shops(spark: SparkSession, d: str) -> Registry:
+    """Documents of suppliers, and a type that they use, through the whole of loading: flattened, checked, derived, merged."""
+    kind = F.get(F.array(*map(F.lit, ("a", "b", "c", "''"))), (F.col("s_suppkey") % 4).cast("int"))
+    size = F.when(F.col("s_suppkey") % 5 == 0, "'none'").otherwise(F.concat(text("s_nationkey"), F.lit(" / 4")))
+    shop = F.concat(F.lit("        - shop: {size: "), size, F.lit(", kind: "), kind, F.lit("}"))
+    below = map(F.lit, ("    till:", "        data:", "            - requirement: 0.5", "        drawer:", "            - requirement: 0.25"))
+    lines = [F.concat(coded("s", "s_suppkey"), F.lit(":")), F.lit("    data:"), shop, *below]
+    docs = read(spark, d, "supplier").select(F.concat(F.lit("m/"), text("s_suppkey"), F.lit(".yaml")).alias("file_id"), F.lit("yaml").alias("kind"), F.concat_ws("\n", *lines).alias("text"))
+    user = Registrar(spark)
+    user.update(yaml={"types.yaml": TYPES}, raw=docs)
+    return user.registry
+
+
+@query(f"SELECT {SHOP} AS entity_id, cast(0 AS BIGINT) AS component_index, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey / 4.0 END::DOUBLE AS size, CASE s_suppkey % 4 WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'a' END AS kind, cast(7 AS BIGINT) AS seen FROM supplier")
+def manifest_components(spark, d):
+    """A type's table after loading: sums worked out, texts coerced, defaults filled, rows that break rules kept."""
+    return shops(spark, d).get("shop").select("entity_id", "component_index", "size", "kind", "seen")
+
+
+@query(f"SELECT {SHOP} AS entity_id, 'kind' AS field, 'c' AS value, 'range' AS error_type FROM supplier WHERE s_suppkey % 4 = 2 UNION ALL SELECT {SHOP}, 'size', NULL, 'nullable' FROM supplier WHERE s_suppkey % 5 = 0")
+def manifest_violations(spark, d):
+    return shops(spark, d).get("invalid_field").filter("component_type = 'shop'").select("entity_id", "field", "value", "error_type")
+
+
+@query("""SELECT substring(sha256('m/' || s_suppkey || '.yaml:s' || s_suppkey || path), 1, 12) AS entity_id, cast(depth AS BIGINT) AS depth, p AS priority_product FROM supplier, (VALUES ('', 0, 1.0::DOUBLE), ('.till', 1, 0.5), ('.till.drawer', 2, 0.125)) AS v(path, depth, p)""")
+def manifest_derived(spark, d):
+    """Derived tables of loaded documents: depth below the root, and the product of priorities from it."""
+    reg = shops(spark, d)
+    mine = reg.get("entity_id").filter("filepath like 'm/%'").select(F.col("value").alias("entity_id"))
+    both = reg.get("entity_depth").join(reg.get("priority_product"), "entity_id")
+    return both.join(mine, "entity_id", "left_semi").select("entity_id", F.col("depth").cast("bigint").alias("depth"), "priority_product")
+
+
+@query("SELECT cast(c_custkey AS VARCHAR) AS entity_id, cast(round(c_acctbal * 100) AS BIGINT) AS cents, c_mktsegment AS segment FROM customer")
+def registry_round_trip(spark, d):
+    """A registry saved as a folder of tables and loaded again."""
+    folder = f"{shared_dir(spark)}/entiloom/registry-{uuid.uuid4().hex}"
+    star_registry(spark, d).save(folder)
+    return Registry.load(spark, folder).get("account")
+
+
 # ---- registry ------------------------------------------------------------------------------------------------------
 
 

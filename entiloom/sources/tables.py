@@ -24,14 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as Parquet in the shared folder and read again; its lineage ends there. Gone with the session."""
+def durable(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; its lineage ends there. Gone with the session. by: a
+    column of few values that filters will ask for; the files are parted by it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/entiloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     out.durable_path = path
     return out
 

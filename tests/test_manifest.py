@@ -6,6 +6,7 @@ from entiloom import cli
 from entiloom.functions.documents import arithmetic, docstring_parts, flatten, parse_python, parse_yaml
 from entiloom.plans.registrar import Registrar
 from entiloom.sources.manifests import apart, csv_tables, flat_documents, raw_documents
+from entiloom.sources.tables import load_jdbc, save_jdbc
 
 MANIFEST = """
 goal:
@@ -188,6 +189,15 @@ def test_save_and_load(reg, spark, tmp_path):
     assert Registrar.load(spark, str(tmp_path / "db")).get("plant").count() == reg.get("plant").count()
 
 
+def test_tables_in_a_database(spark):
+    """Derby, which Spark brings along, in memory."""
+    rows = spark.createDataFrame([("a", 1, 2.5), ("b", 2, None)], "entity_id string, component_index bigint, value double")
+    url = "jdbc:derby:memory:entiloom;create=true"
+    save_jdbc({"effort": rows}, url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = load_jdbc(spark, url, ["effort"], driver="org.apache.derby.jdbc.EmbeddedDriver")["effort"]
+    assert sorted(tuple(r) for r in back.select("entity_id", "component_index", "value").collect()) == [("a", 1, 2.5), ("b", 2, None)]
+
+
 def test_small_helpers():
     assert arithmetic("(1+2)*-3") == -9 and arithmetic("a+1") is None and arithmetic("1/0") is None
     assert parse_python("x.py", "def f(:") == {}
