@@ -133,8 +133,8 @@ def table(path: str) -> MergeTable:
 
 def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """df's other columns, then n_tokens and token_ids (little-endian unsigned 32-bit integers), and with decoded the
-    text that the ids stand for. A null or empty text has no ids. Each row stands alone: no shuffle, and memory is
-    bounded by a slice of texts."""
+    text that the ids stand for. A null or empty text has no ids; columns of df named like a new one are dropped; an empty
+    table gives an empty result. Each row stands alone: no shuffle, and memory is bounded by a slice of texts."""
     keep = [c for c in df.columns if c != text]
     clash = {"n_tokens", "token_ids", *(["decoded"] if decoded else [])}
     keep = [c for c in keep if c not in clash]

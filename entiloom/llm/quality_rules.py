@@ -177,7 +177,10 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text_statistics() of docs with rule, the number of the learned rule that drops a document (0: none).
-    labels: doc_id, quality. Rows with a null id or label teach nothing."""
+    labels: doc_id, quality. Rows with a null id or label teach nothing; a null text has no words, and is judged by its
+    counts like an empty one. Rows that repeat an id are judged each by its own text; of thresholds with equal gain the
+    first in the order of RATES, then of cuts, is taken. Other columns of docs are dropped; an empty table gives an
+    empty result."""
     stats = durable(text_statistics(docs), "rule-stats")
     bad = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") < 0.5).cast("int").alias("bad"))
     labelled = durable(stats.join(bad, "doc_id").withColumn("grow", F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0), "rule-labelled")
