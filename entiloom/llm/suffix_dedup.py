@@ -147,10 +147,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     spans = [found]
     context = F.expr(f"substring(data, cast(anchor - hi + 1 as int), cast(hi - lo + {length} as int))")
     once = ones.withColumn("bucket", F.col("bucket").cast("string").cast("binary"))
-    # one row of each text, so that members don't multiply by its copies; texts without a member end before the shuffle's sort
-    needed = durable(once.select("text_key").distinct(), "needed-texts")
-    single = texts.join(needed, "text_key", "left_semi").dropDuplicates(["text_key"])
-    ones = single.join(once, "text_key").select(*once.columns, context.alias("context"))
+    # one row of each text, so that members don't multiply by its copies; copies are combined before the shuffle
+    ones = texts.dropDuplicates(["text_key"]).join(once, "text_key").select(*once.columns, context.alias("context"))
     for width in WIDTHS:
 
         def cut(batches, width=width):
