@@ -65,8 +65,8 @@ def parts_letters_from_marks(spec: dict) -> bool:
     """Whether the pre-tokenizer is of the kind that Stretches may cut for: a split by a pattern that has runs of letters
     apart from runs of marks, then bytes."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    split = next((s for s in steps if s["type"] == "Split"), {})
-    return [s["type"] for s in steps] == ["Split", "ByteLevel"] and r"\p{L}]+" in str(split.get("pattern")) and r"[^\s\p{L}\p{N}]+" in str(split.get("pattern"))
+    pattern = next((s["pattern"].get("Regex", "") for s in steps if s["type"] == "Split"), "")
+    return [s["type"] for s in steps] == ["Split", "ByteLevel"] and r"\p{L}]+" in pattern and r"[^\s\p{L}\p{N}]+" in pattern
 
 
 @functools.lru_cache(4)
