@@ -54,4 +54,18 @@ OP2 = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesc
  left_over AS (SELECT keep.r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM keep JOIN n ON n.r = keep.r GROUP BY keep.r)
  SELECT doc_id, n AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_over.h)) AS kept_sha256 FROM n JOIN left_over ON left_over.r = n.r LEFT JOIN lost ON lost.r = n.r"""
 
-SQL = {"op2_suffix_dedup": OP2, "op7_decontamination": OP7, "op10_near_dups": OP10}
+# The crc32 of each different word, byte by byte from the table of the polynomial.
+OP13 = f"""WITH tbl AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM (SELECT unnest(range(256)) AS b))),
+ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ dw AS (SELECT r, unnest(w) AS x FROM d), bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark),
+ kinds AS (SELECT DISTINCT x FROM (SELECT x FROM dw UNION ALL SELECT x FROM bw)), bytes AS (SELECT x, list_transform(range(len(hex(encode(x))) // 2), lambda i: cast('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT)) AS b FROM kinds),
+ bucket AS (SELECT x, xor(list_reduce(b, lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM bytes, tbl),
+ s AS (SELECT k, count(*) AS n FROM dw JOIN bucket USING (x) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bw JOIN bucket USING (x) GROUP BY k),
+ gain AS (SELECT k, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s)::DOUBLE + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0)::DOUBLE + 10000)))) AS BIGINT) AS g FROM s FULL JOIN t USING (k)),
+ w AS (SELECT r, count(*) AS n, cast(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM dw JOIN bucket USING (x) JOIN gain USING (k) GROUP BY r),
+ o AS (SELECT r, d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+ p AS (SELECT *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM o),
+ q AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM p WHERE n_features >= 20)
+ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM q) THEN rank END AS rank FROM p LEFT JOIN q USING (r)"""
+
+SQL = {"op2_suffix_dedup": OP2, "op7_decontamination": OP7, "op10_near_dups": OP10, "op13_importance": OP13}
