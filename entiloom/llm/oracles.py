@@ -54,6 +54,8 @@ OP2 = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesc
  left_over AS (SELECT keep.r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM keep JOIN n ON n.r = keep.r GROUP BY keep.r)
  SELECT doc_id, n AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_over.h)) AS kept_sha256 FROM n JOIN left_over ON left_over.r = n.r LEFT JOIN lost ON lost.r = n.r"""
 
+OP12 = OP10.replace("100 * c >= 80 *", "100 * c >= 85 *").replace(", d.doc_id = c AS kept", "")
+
 # The crc32 of each different word, byte by byte from the table of the polynomial.
 OP13 = f"""WITH tbl AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM (SELECT unnest(range(256)) AS b))),
  d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -68,4 +70,11 @@ OP13 = f"""WITH tbl AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_redu
  q AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM p WHERE n_features >= 20)
  SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM q) THEN rank END AS rank FROM p LEFT JOIN q USING (r)"""
 
-SQL = {"op2_suffix_dedup": OP2, "op7_decontamination": OP7, "op10_near_dups": OP10, "op13_importance": OP13}
+OP11 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS a, a.label AS al, b.vec_id AS b, b.label AS bl, cast(list_inner_product(a.v, b.v) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT * FROM (SELECT a, b, s, al, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE al = bl) WHERE r <= 5),
+ n AS (SELECT p.a, p.b AS pos, p.s AS ps, s.b AS neg, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON s.a = p.a WHERE s.al <> s.bl AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+ SELECT a AS anchor_id, pos AS positive_id, cast(r AS INTEGER) AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5"""
+
+SQL = {"op2_suffix_dedup": OP2, "op7_decontamination": OP7, "op10_near_dups": OP10, "op11_hard_negatives": OP11, "op12_jaccard_join": OP12, "op13_importance": OP13}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, importance, near_dups, oracles, pii, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
+from . import bpe, decontamination, hard_negatives, importance, near_dups, oracles, parity_join, pii, quality_kernel, quality_rules, sharding, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_quality": quality_kernel.op8_quality,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_near_dups": near_dups.op10_near_dups,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_jaccard_join": parity_join.op12_jaccard_join,
         "op13_importance": importance.op13_importance,
     }
 
