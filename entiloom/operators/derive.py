@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import duration_seconds, q, ratio, strip
-from .graph import roll_up
+from .forest import Hierarchy
 
 
 def stripped(table: DataFrame, fields: list[str]) -> DataFrame:
@@ -20,7 +20,7 @@ def time_filled(table: DataFrame, field: str, load_time: object) -> DataFrame:
     return table.withColumn(field, F.coalesce(F.col(q(field)), F.lit(load_time).cast(table.schema[field].dataType)))
 
 
-def effort_total(pairs: DataFrame, effort: DataFrame, period: str = "28 days") -> DataFrame:
+def effort_total(tree: Hierarchy, effort: DataFrame, period: str = "28 days") -> DataFrame:
     """entity_id, value: effort of an entity and all below it in a period; effort without a schedule counts once, other
     effort as often as its schedule fits. Missing schedule or unit columns count as null."""
     have = effort
@@ -28,7 +28,7 @@ def effort_total(pairs: DataFrame, effort: DataFrame, period: str = "28 days") -
         if c not in have.columns:
             have = have.withColumn(c, F.lit(None).cast("string"))
     have = have.select("entity_id", F.nullif(F.col("schedule"), F.lit("")).alias("schedule"), "unit", F.col("value").cast("string").try_cast("double").alias("value"))
-    sums = roll_up(pairs, have, ["schedule", "unit"])
+    sums = tree.roll_up(have, ["schedule", "unit"])
     times = F.coalesce(duration_seconds(F.lit(period)) / duration_seconds(F.col("schedule")), F.lit(1.0))
     return sums.groupBy("entity_id").agg(F.sum(F.col("value") * times).alias("value"))
 

@@ -1,4 +1,4 @@
-"""Hierarchies as edge tables: closure, depth, roll-ups, products, trees. Loops are joins; each round is written out."""
+"""Hierarchies as edge tables: edges of paths and of components, parents that are chosen, requirement trees."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import entity_id, parent_path
 from ..sources.tables import durable
+from .forest import Hierarchy, closure, inherited, ordered_trees
+
+__all__ = ["Hierarchy", "closure", "inherited", "ordered_trees"]
 
 
 def parents_from_paths(spine: DataFrame) -> DataFrame:
@@ -32,36 +35,9 @@ def parents(spine: DataFrame, explicit: DataFrame | None) -> DataFrame:
     return nested.unionByName(named.select("entity_id", F.col("component_index").cast("bigint"), "modifier", "parent_eid", F.col("_primary").alias("is_primary"))).distinct()
 
 
-def closure(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """anc, des, steps (fewest) of all pairs that edges (parent_eid, entity_id) connect; no entity reaches itself.
-
-    Each round lengthens the pairs of the last by one edge and keeps the new ones, so cycles end. Rows grow with the
-    pairs themselves; rounds with the longest shortest path."""
-    step = durable(edges.select(F.col("parent_eid").alias("anc"), F.col("entity_id").alias("des")).filter("anc is not null and des is not null and anc != des").distinct(), "edges")
-    known = front = durable(step.withColumn("steps", F.lit(1)), "closure")
-    parts = [known]
-    for n in range(2, most):
-        longer = front.select("anc", F.col("des").alias("mid")).join(step.select(F.col("anc").alias("mid"), "des"), "mid").select("anc", "des").filter("anc != des").distinct()
-        front = durable(longer.join(known, ["anc", "des"], "left_anti").withColumn("steps", F.lit(n)), "closure")
-        if front.isEmpty():
-            return known
-        parts.append(front)
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionAll(p)
-    raise RuntimeError(f"the hierarchy is deeper than {most} edges")
-
-
-def roots(edges: DataFrame) -> DataFrame:
-    """entity_id of the parents that are no child."""
-    return edges.select(F.col("parent_eid").alias("entity_id")).distinct().join(edges.select("entity_id"), "entity_id", "left_anti")
-
-
-def entity_depth(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def entity_depth(edges: DataFrame, tree: Hierarchy | None = None) -> DataFrame:
     """entity_id, depth: steps below the nearest root. What no root reaches has none; a hierarchy of cycles is empty."""
-    top = roots(edges)
-    below = (pairs if pairs is not None else closure(edges)).join(top.withColumnRenamed("entity_id", "anc"), "anc", "left_semi")
-    return below.groupBy(F.col("des").alias("entity_id")).agg(F.min("steps").cast("int").alias("depth")).unionByName(top.withColumn("depth", F.lit(0)))
+    return (tree or Hierarchy(edges)).depth()
 
 
 def with_self(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -69,52 +45,14 @@ def with_self(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs.select("anc", "des").unionByName(ids.select(F.col("entity_id").alias("anc"), F.col("entity_id").alias("des")).distinct())
 
 
-def roll_up(pairs: DataFrame, facts: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """entity_id, by, value: sums of facts (entity_id, by, value) over each entity and all below it; null keys stay a
-    group, sums of nulls are 0. Facts are summed per entity before they meet the hierarchy."""
-    own = facts.groupBy("entity_id", *by).agg(F.sum(value).alias("v"))
-    reach = with_self(pairs, own)
-    out = reach.join(own.withColumnRenamed("entity_id", "des"), "des").groupBy(F.col("anc").alias("entity_id"), *by)
-    return out.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value"))
-
-
 def ancestor_product(pairs: DataFrame, ids: DataFrame, priority: DataFrame) -> DataFrame:
-    """entity_id, priority_product over an entity and all above it; priority: entity_id, p (several: the highest)."""
+    """entity_id, priority_product over an entity and those that pairs (anc, des) list above it; priority: entity_id, p
+    (several: the highest). Hierarchy.ancestor_product() needs no pairs."""
     top = priority.groupBy("entity_id").agg(F.max("p").alias("p"))
     above = with_self(pairs, ids).join(top.withColumnRenamed("entity_id", "anc"), "anc", "left")
     return above.groupBy(F.col("des").alias("entity_id")).agg(F.product(F.coalesce("p", F.lit(1.0))).alias("priority_product"))
 
 
-def inherited(field: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """field with the rows that entities inherit: of each name the nearest definition, equal distances in the order of
-    breadth-first search (parents by component_index, then id). Inherited rows are numbered after an entity's own."""
-    edge = edges.filter("parent_eid is not null and entity_id is not null").groupBy("entity_id", "parent_eid").agg(F.min("component_index").alias("i"))
-    order = F.row_number().over(Window.partitionBy("entity_id").orderBy("i", "parent_eid"))
-    edge = durable(edge.select(F.col("entity_id").alias("mid"), F.col("parent_eid").alias("anc"), order.alias("at")), "parents")
-    every = edge.select(F.col("mid").alias("e")).unionByName(edge.select(F.col("anc").alias("e"))).unionByName(field.select(F.col("entity_id").alias("e"))).distinct()
-    front = durable(every.select(F.col("e").alias("des"), F.col("e").alias("anc"), F.array().cast("array<int>").alias("way")), "ways")
-    known = front
-    for _ in range(most):
-        up = front.select("des", F.col("anc").alias("mid"), "way").join(edge, "mid").select("des", "anc", F.concat("way", F.array("at")).alias("way"))
-        new = up.groupBy("des", "anc").agg(F.min("way").alias("way")).join(known, ["des", "anc"], "left_anti")
-        front = durable(new.select("des", "anc", "way"), "ways")
-        if front.isEmpty():
-            break
-        known = known.unionByName(front)
-    else:
-        raise RuntimeError(f"the hierarchy is deeper than {most} edges")
-    one = Window.partitionBy("entity_id", "value").orderBy(F.desc("component_index"))
-    own = field.filter("value is not null and value != ''").withColumn("_rn", F.row_number().over(one)).filter("_rn = 1").drop("_rn")
-    best = Window.partitionBy("des", "value").orderBy(F.size("way"), "way", "anc")
-    rows = known.join(own.withColumnRenamed("entity_id", "anc"), "anc").withColumn("_rn", F.row_number().over(best)).filter("_rn = 1")
-    mine = F.col("anc") == F.col("des")
-    last = F.coalesce(F.max(F.when(mine, F.col("component_index"))).over(Window.partitionBy("des")), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("des", mine).orderBy(F.size("way"), "way", "component_index", "value"))
-    numbered = rows.withColumn("_last", last).withColumn("_place", place)
-    numbered = numbered.withColumn("component_index", F.when(mine, F.col("component_index")).otherwise((F.col("_last") + F.col("_place")).cast("bigint")))
-    return numbered.withColumn("entity_id", F.col("des")).select(*field.columns)
-
-
 def hierarchy_parent(edges: DataFrame) -> DataFrame:
     """entity_id, parent_eid: the only primary parent, else that of the lowest component_index."""
     primary = F.col("is_primary").eqNullSafe(F.lit(True))
@@ -132,35 +70,47 @@ def other_parents(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.filter("_chosen is null or _nth > 1").select(*edges.columns)
 
 
+def requirement_rows(edges: DataFrame, spine: DataFrame, requirement: DataFrame, also: object = None) -> DataFrame:
+    """root, entity_id, name, depth, place, priority of the trees that requirements make: those of edges whose two ends are
+    requirements (or the entity `also`, which then stands below nothing). Children go by priority, the highest first, then
+    by path; 0.5 stands for a missing priority."""
+    top = requirement.groupBy("entity_id").agg(F.max(F.col("value").cast("string").try_cast("double")).alias("p"))
+    if also is not None:
+        more = edges.sparkSession.createDataFrame([(also,)], "entity_id string").join(top, "entity_id", "left_anti").withColumn("p", F.lit(None).cast("double"))
+        top, edges = top.unionByName(more), edges.filter(F.col("entity_id") != also)
+    top = durable(top, "requirements")
+    ids = top.select("entity_id")
+    inside = edges.join(ids, "entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "parent_eid"), "parent_eid", "left_semi")
+    named = spine.groupBy(F.col("value").alias("entity_id")).agg(F.min_by("entity_key", "path").alias("name"), F.min("path").alias("path"))
+    weight = durable(top.join(named, "entity_id", "left").select("entity_id", F.coalesce("p", F.lit(0.5)).alias("weight"), "path", "name"), "weights")
+    rows = ordered_trees(inside, weight).withColumnRenamed("weight", "priority")
+    return rows.join(weight.select("entity_id", "name"), "entity_id", "left").select("root", "entity_id", "name", "depth", "place", "priority")
+
+
 def requirement_tree(edges: DataFrame, spine: DataFrame, requirement: DataFrame, key: str) -> dict:
     """Nested {name, priority, children} of the requirements below the entity with this key, the highest priority
-    first; 0.5 stands for none. The tree is a result for people: it is collected, what it is made from is not."""
+    first; 0.5 stands for none. The tree is a result for people: its rows come in depth-first order, a partition at a time,
+    and a child is hung on the last entity that is less deep."""
     start = spine.filter(F.col("entity_key") == key).agg(F.min_by("value", "path").alias("id")).first().id
     if start is None:
         raise ValueError(f"no entity has the key {key!r}")
-    pairs = closure(edges)
-    inside = pairs.filter(F.col("anc") == start).select(F.col("des").alias("entity_id")).union(edges.sparkSession.createDataFrame([(start,)], "entity_id string"))
-    top = requirement.groupBy("entity_id").agg(F.max(F.col("value").cast("double")).alias("p"))
-    keep = inside.join(top, "entity_id", "left_semi").union(edges.sparkSession.createDataFrame([(start,)], "entity_id string")).distinct()
-    nodes = keep.join(spine.select(F.col("value").alias("entity_id"), "entity_key", "path"), "entity_id").join(top, "entity_id", "left").collect()
-    rows = edges.join(keep, "entity_id", "left_semi").join(keep.withColumnRenamed("entity_id", "parent_eid"), "parent_eid", "left_semi").select("parent_eid", "entity_id").distinct().collect()
-    by = {n.entity_id: n for n in nodes}
-    children: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: by[r.entity_id].path):
-        children.setdefault(r.parent_eid, []).append(r.entity_id)
-    weight = lambda i: by[i].p if by[i].p is not None else 0.5
-
-    def tree(i: str, above: frozenset) -> dict:
-        below = [c for c in children.get(i, []) if c not in above | {i}]
-        return {"name": by[i].entity_key, "priority": weight(i), "children": [tree(c, above | {i}) for c in sorted(below, key=lambda c: -weight(c))]}
-
-    return tree(start, frozenset())
+    rows = requirement_rows(edges, spine, requirement, start).filter(F.col("root") == start).orderBy("place")
+    open_: list[dict] = []
+    for r in rows.toLocalIterator():
+        node = {"name": r.name, "priority": r.priority, "children": []}
+        del open_[r.depth :]
+        if open_:
+            open_[-1]["children"].append(node)
+        open_.append(node)
+    if open_:
+        return open_[0]
+    alone = requirement.filter(F.col("entity_id") == start).agg(F.max(F.col("value").cast("string").try_cast("double")).alias("p")).first().p
+    return {"name": key, "priority": 0.5 if alone is None else alone, "children": []}
 
 
 def unreachable(edges: DataFrame, ids: DataFrame, root: str) -> DataFrame:
     """Connectivity: ids (entity_id) that the root doesn't reach."""
-    reached = closure(edges).filter(F.col("anc") == root).select(F.col("des").alias("entity_id"))
-    return ids.filter(F.col("entity_id") != root).join(reached, "entity_id", "left_anti")
+    return ids.filter(F.col("entity_id") != root).join(Hierarchy(edges).below(root), "entity_id", "left_anti")
 
 
 def empty_edges(spark: SparkSession) -> DataFrame:

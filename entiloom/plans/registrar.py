@@ -77,29 +77,29 @@ def derived(reg: Registry, existing: Registry | None = None, load_time: object =
         found = durable(resolve.resolve(resolve.references(reg.tables, refs), spine), "references")
         reg.update({n: resolve.with_resolved(reg.get(n), fields, found) for n, fields in refs.items()})
     edges = durable(graph.parents(spine, reg.tables.get("parent")), "parent")
+    tree = graph.Hierarchy(edges)
     text = {n: [r.name for r in rs if r.type == "description"] for n, rs in rules.items() if n in reg.tables}
     if "description" in reg.tables:
         text["description"] = ["value"]
     reg.update({"parent": edges, **{n: derive.stripped(reg.get(n), fields) for n, fields in text.items() if fields}})
     if "field" in reg.tables:
-        reg.update({"field": durable(graph.inherited(reg.get("field"), edges), "derived-field")})
+        reg.update({"field": durable(graph.inherited(reg.get("field"), edges, tree), "derived-field")})
     if load_time is not None:
         known = lambda n: reg.time_field(n) or (existing.time_field(n) if existing is not None else None)
         reg.update({n: derive.time_filled(reg.get(n), f, load_time) for n in reg.component_types if (f := known(n))})
-    with_derived(reg, edges, period)
+    with_derived(reg, tree, period)
     return validated(reg, existing)
 
 
-def with_derived(reg: Registry, edges: DataFrame, period: str = "28 days") -> None:
+def with_derived(reg: Registry, tree: graph.Hierarchy, period: str = "28 days") -> None:
     """entity_depth, effort_total, priority_product, resolved_impact_cost, as far as they have rows."""
-    pairs = graph.closure(edges)
-    out = {"entity_depth": graph.entity_depth(edges, pairs)}
+    out = {"entity_depth": tree.depth()}
     if "effort" in reg.tables:
-        out["effort_total"] = derive.effort_total(pairs, reg.get("effort"), period)
+        out["effort_total"] = derive.effort_total(tree, reg.get("effort"), period)
     ids = reg.get("entity_id").select(F.col("value").alias("entity_id"))
     if "requirement" in reg.tables:
         p = reg.get("requirement").select("entity_id", F.col("value").cast("string").try_cast("double").alias("p"))
-        out["priority_product"] = graph.ancestor_product(pairs, ids, p)
+        out["priority_product"] = tree.ancestor_product(ids, p)
     if {"impact", "cost"} & reg.tables.keys():
         out["resolved_impact_cost"] = derive.impact_cost(reg.get("impact"), reg.get("cost"), reg.tables.get("impact_budget"), reg.tables.get("cost_budget"))
     written = durable_all(out)
@@ -160,7 +160,7 @@ class Registrar:
         changed = new.tables.keys()
         self.registry.update(durable_all({n: t for n, t in self.registry.tables.items() if n in changed}))
         if not first:
-            with_derived(self.registry, self.registry.get("parent"), period)
+            with_derived(self.registry, graph.Hierarchy(self.registry.get("parent")), period)
 
     def overwrite(self, component_type: str, table: DataFrame) -> None:
         self.registry.update({component_type: table})

@@ -265,8 +265,7 @@ def order_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{CLOSED} SELECT anc AS entity_id, pr AS schedule, sum(v) AS cents FROM (SELECT anc, des FROM closed UNION SELECT c, c FROM e) JOIN {FACTS} USING (des) GROUP BY 1, 2""")
 def effort_rollup(spark, d):
-    pairs = graph.closure(named_edges(spark, d))
-    return graph.roll_up(pairs, order_facts(spark, d), ["schedule"]).select("entity_id", "schedule", F.col("value").cast("decimal(38,0)").alias("cents"))
+    return graph.Hierarchy(named_edges(spark, d)).roll_up(order_facts(spark, d), ["schedule"]).select("entity_id", "schedule", F.col("value").cast("decimal(38,0)").alias("cents"))
 
 
 @query(f"""{CLOSED} SELECT anc AS entity_id, cast(sum(v * CASE pr WHEN '1-URGENT' THEN 28 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 14 ELSE 1 END) AS DECIMAL(38,0)) AS cents
@@ -274,7 +273,7 @@ def effort_rollup(spark, d):
 def effort_total_period(spark, d):
     plan = F.when(F.col("schedule") == "1-URGENT", "daily").when(F.col("schedule") == "2-HIGH", "weekly").when(F.col("schedule") == "3-MEDIUM", "2 days")
     effort = order_facts(spark, d).withColumn("schedule", plan)
-    total = derive.effort_total(graph.closure(named_edges(spark, d)), effort.withColumn("value", F.col("value").cast("decimal(20,0)")), "28 days")
+    total = derive.effort_total(graph.Hierarchy(named_edges(spark, d)), effort.withColumn("value", F.col("value").cast("decimal(20,0)")), "28 days")
     return total.select("entity_id", F.round("value").cast("decimal(38,0)").alias("cents"))
 
 
@@ -285,7 +284,7 @@ def priority_product(spark, d):
     ids = e.select("entity_id").unionAll(e.select(F.col("parent_eid").alias("entity_id"))).distinct()
     n = F.length("entity_id") % 3
     p = e.select("entity_id", F.when(n == 0, 0.5).when(n == 1, 0.25).otherwise(2.0).alias("p"))
-    return graph.ancestor_product(graph.closure(e), ids, p)
+    return graph.Hierarchy(e).ancestor_product(ids, p)
 
 
 @query("""WITH i AS (SELECT l_orderkey AS k, sum(cast(round(l_quantity) AS BIGINT) * CASE l_returnflag WHEN 'R' THEN 2 ELSE 1 END) AS v FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1),
@@ -386,7 +385,7 @@ def validate_defaults(spark, d):
 
 
 @query("""SELECT p_partkey AS key, CASE m WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 WHEN 2 THEN -p_size - 1 WHEN 3 THEN p_size * 100 WHEN 6 THEN 1 END AS "int",
- CASE m WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN -p_size - 0.5 WHEN 3 THEN p_size * 100 WHEN 6 THEN 1 END::DOUBLE AS "float", CASE m WHEN 6 THEN true WHEN 7 THEN p_size % 2 = 0 END AS "bool"
+ CASE m WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN -p_size - 0.5 WHEN 3 THEN p_size * 100 WHEN 6 THEN 1 END::DOUBLE AS "float", CASE m WHEN 0 THEN CASE WHEN p_size = 1 THEN true END WHEN 6 THEN true WHEN 7 THEN p_size % 2 = 0 END AS "bool"
  FROM (SELECT *, p_partkey % 9 AS m FROM part)""")
 def coerce_try_cast(spark, d):
     """Texts of many forms as whole numbers (halves away from zero), numbers and truth values; null where they are none."""
