@@ -4,19 +4,30 @@ from __future__ import annotations
 
 # The template's constants are spelled out here once more, so that a slip in the operator's own doesn't hide.
 _M = "\ue000"
-_UNIT_WORDS = "km,kg,cm,mm,mg,ml,m,g,s,h,min,hour,hours,minute,minutes,second,seconds,day,days,week,weeks,month,months,year,years,mile,miles,feet,inches,meter,meters,metre,metres,liter,liters,litre,litres,pound,pounds,dollar,dollars,euro,euros,cent,cents,percent"
-_NUMBER_WORDS = "zero,one,two,three,four,five,six,seven,eight,nine,ten,eleven,twelve,thirteen,fourteen,fifteen,sixteen,seventeen,eighteen,nineteen,twenty,thirty,forty,fifty,sixty,seventy,eighty,ninety,hundred,thousand,million,billion,dozen,half,twice,double"
-# RE2 can't look behind; a second pass marks the names that follow a name.
-_MARK = r"regexp_replace({}, '([\p{{Ll}},;] )(\p{{Lu}}\p{{L}})', '\1" + _M + r"\2', 'g')"
-_WORDS = r"regexp_extract_all(lower(" + _MARK.format(_MARK.format(f"replace(coalesce(text, ''), '{_M}', '')")) + rf"), '{_M}?\p{{L}}+|\p{{Nd}}+(?:[.,]\p{{Nd}}+)*')"
-_NUM = r"(regexp_matches({0}, '^\p{{Nd}}') OR list_contains(string_split('" + _NUMBER_WORDS + "', ','), {0}))"
-_KINDS = f"list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {_NUM.format('w[i]')} THEN '{_M}n' WHEN starts_with(w[i], '{_M}') THEN '{_M}p' WHEN i > 1 AND list_contains(string_split('{_UNIT_WORDS}', ','), w[i]) AND {_NUM.format('w[greatest(i - 1, 1)]')} THEN '{_M}u' ELSE w[i] END)"
+_UNIT_WORDS = (
+    "km,kg,cm,mm,mg,ml,m,g,s,h,min,hour,hours,minute,minutes,second,seconds,day,days,week,weeks,month,months,year,years,mile,miles,feet,inches,meter,meters,metre,metres,liter,liters,litre,litres,pound,pounds,dollar,dollars,euro,euros,cent,cents,percent,"
+    "stunde,stunden,minuten,sekunde,sekunden,tag,tage,tagen,woche,wochen,monat,monate,jahr,jahre,jahren,meile,meilen,kilometer,kilogramm,gramm,prozent,"
+    "heure,heures,seconde,secondes,jour,jours,semaine,semaines,mois,an,ans,kilomètre,kilomètres,mètre,mètres,gramme,grammes,"
+    "hora,horas,minuto,minutos,segundo,segundos,día,días,semana,semanas,mes,meses,año,años,kilómetro,kilómetros,metro,metros,gramo,gramos,litro,litros"
+)
+_NUMBER_WORDS = (
+    "zero,one,two,three,four,five,six,seven,eight,nine,ten,eleven,twelve,thirteen,fourteen,fifteen,sixteen,seventeen,eighteen,nineteen,twenty,thirty,forty,fifty,sixty,seventy,eighty,ninety,hundred,thousand,million,billion,dozen,half,twice,double,"
+    "zwei,drei,vier,fünf,sechs,sieben,acht,neun,zehn,elf,zwölf,zwanzig,dreißig,vierzig,fünfzig,hundert,tausend,"
+    "deux,trois,quatre,cinq,sept,huit,neuf,dix,onze,douze,vingt,trente,quarante,cinquante,cent,mille,"
+    "dos,tres,cuatro,cinco,seis,siete,ocho,nueve,diez,once,doce,veinte,treinta,cuarenta,cincuenta,cien,mil"
+)
+_WORDS = rf"regexp_extract_all(lower(regexp_replace(replace(coalesce(text, ''), '{_M}', ''), '(^|[^\p{{L}}])(\p{{Lu}}\p{{L}})', '\1{_M}\2', 'g')), '{_M}?\p{{L}}+|\p{{Nd}}+(?:[.,]\p{{Nd}}+)*')"
+_BARE = f"replace(x, '{_M}', '')"
+# Every different word's kind once.
+_SLOT = rf"""CASE WHEN regexp_matches(x, '^\p{{Nd}}') OR list_contains(string_split('{_NUMBER_WORDS}', ','), {_BARE}) THEN '{_M}n' WHEN list_contains(string_split('{_UNIT_WORDS}', ','), {_BARE}) THEN '{_M}u'
+ WHEN starts_with(x, '{_M}') AND {_BARE} NOT IN (SELECT x FROM twofold) THEN '{_M}p' ELSE {_BARE} END"""
 _FIVES = "list_transform(range(greatest(len(c) - 4, 0)), lambda i: array_to_string(c[i + 1 : i + 5], ' '))"
 
-OP7 = rf"""WITH dw AS (SELECT doc_id, text, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
- dc AS (SELECT doc_id, w, {_KINDS} AS c FROM dw), d AS (SELECT row_number() OVER () AS dn, doc_id, w, {_FIVES} AS win FROM dc),
- bw AS (SELECT item_id, text, CASE WHEN regexp_matches(text, '^[^\p{{L}}\p{{Nd}}]*\p{{Lu}}') THEN 2 ELSE 1 END AS k, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
- bc AS (SELECT item_id, w[k:] AS w, ({_KINDS})[k:] AS c FROM bw), b AS (SELECT row_number() OVER () AS bn, item_id, w, c, {_FIVES} AS win FROM bc),
+OP7 = rf"""WITH dw AS (SELECT row_number() OVER () AS dn, doc_id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), bw AS (SELECT row_number() OVER () AS bn, item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ bx AS (SELECT bn, unnest(w) AS x, unnest(range(len(w))) AS i FROM bw), dx AS (SELECT dn, unnest(w) AS x, unnest(range(len(w))) AS i FROM dw),
+ twofold AS (SELECT {_BARE} AS x FROM bx GROUP BY 1 HAVING count(DISTINCT starts_with(bx.x, '{_M}')) = 2), kinds AS (SELECT x, {_SLOT} AS k FROM (SELECT x FROM bx UNION SELECT x FROM dx)),
+ dt AS (SELECT dn, list(k ORDER BY i) AS c FROM dx JOIN kinds USING (x) GROUP BY dn), bt AS (SELECT bn, list(k ORDER BY i) AS c FROM bx JOIN kinds USING (x) GROUP BY bn),
+ d AS (SELECT dn, doc_id, w, {_FIVES} AS win FROM dw JOIN dt USING (dn)), b AS (SELECT bn, item_id, w, c, {_FIVES} AS win FROM bw JOIN bt USING (bn)),
  dp AS (SELECT dn, unnest(win) AS h, unnest(range(len(win))) AS p FROM d), bp AS (SELECT bn, unnest(win) AS h, unnest(range(len(win))) AS i FROM b),
  pairs AS (SELECT dn, bn, count(DISTINCT dp.h) AS n FROM dp JOIN bp ON dp.h = bp.h GROUP BY dn, bn),
  totals AS (SELECT bn, count(DISTINCT h) AS total, count(*) AS places FROM bp GROUP BY bn),
