@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import duration_seconds, q, ratio, strip
@@ -20,17 +20,25 @@ def time_filled(table: DataFrame, field: str, load_time: object) -> DataFrame:
     return table.withColumn(field, F.coalesce(F.col(q(field)), F.lit(load_time).cast(table.schema[field].dataType)))
 
 
-def effort_total(tree: Hierarchy, effort: DataFrame, period: str = "28 days") -> DataFrame:
-    """entity_id, value: effort of an entity and all below it in a period; effort without a schedule counts once, other
-    effort as often as its schedule fits. Missing schedule or unit columns count as null."""
+def effort_rows(effort: DataFrame) -> DataFrame:
+    """entity_id, schedule (blank: null), unit, value as a number; missing schedule or unit columns count as null."""
     have = effort
     for c in ("schedule", "unit"):
         if c not in have.columns:
             have = have.withColumn(c, F.lit(None).cast("string"))
-    have = have.select("entity_id", F.nullif(F.col("schedule"), F.lit("")).alias("schedule"), "unit", F.col("value").cast("string").try_cast("double").alias("value"))
-    sums = tree.roll_up(have, ["schedule", "unit"])
-    times = F.coalesce(duration_seconds(F.lit(period)) / duration_seconds(F.col("schedule")), F.lit(1.0))
-    return sums.groupBy("entity_id").agg(F.sum(F.col("value") * times).alias("value"))
+    return have.select("entity_id", F.nullif(F.col("schedule"), F.lit("")).alias("schedule"), "unit", F.col("value").cast("string").try_cast("double").alias("value"))
+
+
+def times(period: str) -> Column:
+    """How often a row's schedule fits in a period: without one, once."""
+    return F.coalesce(duration_seconds(F.lit(period)) / duration_seconds(F.col("schedule")), F.lit(1.0))
+
+
+def effort_total(tree: Hierarchy, effort: DataFrame, period: str = "28 days") -> DataFrame:
+    """entity_id, value: effort of an entity and all below it in a period; effort without a schedule counts once, other
+    effort as often as its schedule fits."""
+    sums = tree.roll_up(effort_rows(effort), ["schedule", "unit"])
+    return sums.groupBy("entity_id").agg(F.sum(F.col("value") * times(period)).alias("value"))
 
 
 def normalized(rows: DataFrame, budget: DataFrame | None, name: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import audit, derive, eav, export, graph, resolve, validate
 from ..operators.views import current, stacked
 from ..sources import manifests
+from ..sources.store import Store
 from ..sources.tables import durable, durable_all
+from . import upkeep
 from .registry import Registry
 
 Hook = Callable[[str, object], None]
@@ -132,6 +134,7 @@ class Registrar:
 
     def __init__(self, spark: SparkSession, registry: Registry | None = None, hook: Hook | None = None):
         self.spark, self.registry, self.hook = spark, registry or Registry(spark), hook or (lambda name, value: None)
+        self.store: Store | None = None
         self.dataflows = {**AUDITS, "etl.export_manifest": self._export}
 
     @classmethod
@@ -142,6 +145,15 @@ class Registrar:
     def load(cls, spark: SparkSession, folder: str) -> Registrar:
         return cls(spark, Registry.load(spark, folder))
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, buckets: int | None = None) -> Registrar:
+        """A registrar whose registry lives in a folder of snapshots (made if it isn't there): updates write the buckets
+        that they change, and become the folder's next snapshot."""
+        store = Store(spark, folder, buckets)
+        user = cls(spark, Registry.of(spark, store.load()) if store.numbers() else None)
+        user.store = store
+        return user
+
     def load_manifest(self, manifest: str | Iterable[str], time: object = None) -> Registrar:
         self.update(manifest, time=time)
         return self
@@ -156,12 +168,33 @@ class Registrar:
         new = derived(new, existing, time, period)
         self.hook("derived", new)
         first = existing is None
+        if self.store is not None:
+            return self._store(new, existing, period)
         self.registry.merge(new)
         changed = new.tables.keys()
         self.registry.update(durable_all({n: t for n, t in self.registry.tables.items() if n in changed}))
         if not first:
             with_derived(self.registry, graph.Hierarchy(self.registry.get("parent")), period)
 
+    def _store(self, new: Registry, existing: Registry | None, period: str) -> None:
+        """The next snapshot: buckets of the new rows, and of derived rows that they change, are written again."""
+        if existing is None:
+            self.store.save(new.tables)
+        else:
+            own = durable_all({n: t for n, t in new.tables.items() if n not in upkeep.DERIVED})
+            done = self.store.merged(self.store.snapshot()["tables"], own)
+            both = Registry(self.spark, {n: self.store.read(n, e) for n, e in done.items()})
+            rows = upkeep.renewed(existing, Registry(self.spark, own), both, period)
+            if rows is None:
+                whole = Registry(self.spark, {n: t for n, t in both.tables.items() if n not in upkeep.DERIVED})
+                with_derived(whole, graph.Hierarchy(both.get("parent")), period)
+                rows = {n: t for n, t in whole.tables.items() if n in upkeep.DERIVED}
+            done = self.store.merged(done, durable_all(rows), tuple(rows))
+            self.store.commit(done)
+        declared = self.registry.declared | new.declared
+        self.registry = Registry.of(self.spark, self.store.load())
+        self.registry.declared |= {n: r for n, r in declared.items() if n not in self.registry.tables}
+
     def overwrite(self, component_type: str, table: DataFrame) -> None:
         self.registry.update({component_type: table})
 

@@ -11,7 +11,8 @@ from ..functions.columns import q
 from ..operators import views
 from ..operators.resolve import resolve
 from ..operators.validate import FieldRule, compile_rules, empty_table
-from ..sources.tables import load_tables, save_tables
+from ..sources.store import Store
+from ..sources.tables import load_tables
 
 
 class Registry:
@@ -101,12 +102,25 @@ class Registry:
         """Plain SQL over the tables, which are views under their names."""
         return self.spark.sql(text)
 
-    def save(self, folder: str) -> None:
-        save_tables(self.tables, folder)
+    def save(self, folder: str, buckets: int | None = None) -> None:
+        """The next snapshot of a folder (sources.store), whose tables are joined by entity without a shuffle."""
+        Store(self.spark, folder, buckets).save(self.tables)
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> Registry:
-        return cls(spark, load_tables(spark, folder))
+    def load(cls, spark: SparkSession, folder: str, snapshot: int | None = None) -> Registry:
+        """The last snapshot, or another one that is still there. Types that the schema declares are known, also without
+        rows. A folder of plain Parquet tables is read too."""
+        store = Store(spark, folder)
+        return cls.of(spark, store.load(snapshot) if store.numbers() else load_tables(spark, folder))
+
+    @classmethod
+    def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Registry:
+        reg = cls(spark, tables)
+        if {"field", "entity_id"} <= tables.keys():
+            for name, rules in reg.rules().items():
+                if name not in tables:
+                    reg.declare(name, rules)
+        return reg
 
     def close(self) -> None:
         for name in self.tables:
