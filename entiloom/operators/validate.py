@@ -5,13 +5,11 @@ from __future__ import annotations
 import ast
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.columns import double_to_long, q, to_boolean, to_double, to_long
-from ..functions.documents import arithmetic
+from ..functions.sums import sum_value
 
 #: Declared types that are coerced, and what to.
 COERCED = {"str": "string", "bool": "boolean", "int": "bigint", "float": "double", "rating": "double"}
@@ -55,25 +53,13 @@ def compile_rules(field: DataFrame, spine: DataFrame) -> dict[str, list[FieldRul
     return {k: list(v.values()) for k, v in out.items()}
 
 
-@F.pandas_udf(DoubleType())
-def evaluated(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: arithmetic(x) if isinstance(x, str) else None).astype("float64")
-
-
 SUM = r"^[0-9.eE()\s]*[-+*/][-+*/0-9.eE()\s]*$"
 
 
 def with_arithmetic(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Texts such as `4 / 50` in these columns become their value. One scan finds the columns that hold any, so that the
-    rows of others never reach Python."""
-    sums = {c: F.col(q(c)).rlike(SUM) & to_double(F.col(q(c))).isNull() for c in columns}
-    if not sums:
-        return df
-    some = df.agg(*[F.max(s).alias(f"c{i}") for i, s in enumerate(sums.values())]).first()
-    for i, (c, s) in enumerate(sums.items()):
-        if some[f"c{i}"]:
-            df = df.withColumn(c, F.coalesce(evaluated(F.when(s, F.col(q(c)))).cast("string"), F.col(q(c))))
-    return df
+    """Texts such as `4 / 50` in these columns become their value."""
+    worked = {c: F.when(F.col(q(c)).rlike(SUM) & to_double(F.col(q(c))).isNull(), sum_value(F.col(q(c)))) for c in columns}
+    return df.withColumns({c: F.coalesce(w.cast("string"), F.col(q(c))) for c, w in worked.items()}) if worked else df
 
 
 def coerced(col: Column, kind: str, source: str) -> Column:

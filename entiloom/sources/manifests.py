@@ -8,12 +8,13 @@ from pathlib import Path
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import entity_id, q
 from ..functions.documents import flatten, parse_python, parse_yaml
 from ..operators.views import stacked
+from .csv_records import records
 
 RAW = "file_id string, kind string, text string"
 FLAT = "file_id string, kind string, path string, owner string, spine_path string, index bigint, type string, modifier string, field string, value string, seq bigint"
@@ -116,16 +117,16 @@ def csv_tables(spark: SparkSession, paths: str | Iterable[str] | None) -> dict[s
 
 
 def read_csv(spark: SparkSession, files: list[str], columns: tuple[str, ...]) -> DataFrame:
-    """Quoted fields may hold commas, quotes and line ends. A task streams a file, and rows are numbered in its order."""
+    """Quoted fields may hold commas, quotes and line ends. Blocks of a file are read by tasks of their own, and rows have
+    the numbers that they have in their file (csv_records)."""
     schema = ", ".join(f"{q(c)} string" for c in columns)
-    text = spark.read.csv(files, schema=schema, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
-    found = text.select("*", file_id(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    rows = records(spark, files).filter("record > 0")  # the first one names the columns
+    found = rows.select(file_id(F.col("file")).alias("_file"), (F.col("record") - 1).alias("_at"), F.from_csv("text", schema, {"escape": '"', "mode": "PERMISSIVE"}).alias("_row")).select("_file", "_at", "_row.*")
     values = [F.nullif(F.col(q(c)), F.lit("")) for c in columns]
     kinds = found.agg(*[F.every(v.isNull() | v.try_cast(t).isNotNull()).alias(f"{i}{t}") for i, v in enumerate(values) for t in ("bigint", "double", "boolean")]).first()
     pick = lambda i: next((t for t in ("bigint", "double", "boolean") if kinds[f"{i}{t}"]), "string")
-    place = (F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1).cast("bigint")
     typed = [v.try_cast(pick(i)).alias(c) for i, (c, v) in enumerate(zip(columns, values, strict=True))]
-    return found.select(entity_id(F.col("_file")).alias("entity_id"), place.alias("component_index"), F.lit(None).cast("string").alias("modifier"), *typed)
+    return found.select(entity_id(F.col("_file")).alias("entity_id"), F.col("_at").alias("component_index"), F.lit(None).cast("string").alias("modifier"), *typed)
 
 
 def csv_spine(spark: SparkSession, paths: str | Iterable[str] | None) -> DataFrame:
