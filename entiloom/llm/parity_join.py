@@ -11,10 +11,11 @@ kept one. The order puts blocks with many bits first, since those hardly ever ag
 which unlike sets would meet, are left out. Joining on kept blocks therefore loses no pair.
 
 Classes that share a block meet its most central class first. Pairs are dropped by a second sketch of fixed size (its
-differing bits bound the difference from below), and what is left is verified on full sets. Links become components;
-then, where classes that share a block still lie in different components, they are compared too: pair by pair in small
-blocks, in bounded squares of classes in large ones. No group is gathered, and every pair that shares a block has been
-compared or is joined already.
+differing bits bound the difference from below), and what is left is verified on full sets. Links become components; a
+few rounds more let the most central class outside of a block's largest component meet the others. Where classes that
+share a block then still lie in different components, they meet too: pair by pair in small blocks, in squares of bounded
+size in large ones, where only pairs leave whose sketches agree. No group is gathered, and every pair that shares a block
+has been compared or is joined already.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, read, release, row_key, text_pieces
-from .near_dups import LAST, components, confirmed, dense_links, mixed, shingle_set
+from .common import durable, read, release, row_key, text_pieces
+from .near_dups import LAST, components, confirmed, mixed, shingle_set
 
 #: Bits of a block, and of the sketch that pairs are told apart by.
 BITS, SKETCH = 256, 1024
@@ -35,6 +36,9 @@ BITS, SKETCH = 256, 1024
 BAND, FIRST_BAND = 1.5, 12
 #: Blocks of a band's sketches, as a multiple of those that a pair needs.
 SPARE = 1.15
+#: Rounds in which a block's most central class meets the others, before the rest meets completely; the most classes on a
+#: side of what then meets at once.
+ROUNDS, SIDE = 2, 1000
 #: Bits of the filter that tells which texts are needed again.
 FILTER_BITS = 24
 
@@ -182,41 +186,141 @@ def jaccard_join(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFram
     sketch = durable(sets_of(docs, width), "sets-of")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "n_shingles"))
     classes = durable(sketch.filter("set_key is not null").groupBy("set_key").agg(one.alias("one")).select("set_key", "one.doc_id", "one.row_key", "one.n_shingles"), "classes")
-    known = durable(sketched(docs, classes, width, percent), "sketched")
-    blocks = known.select("set_key", F.explode("blocks").alias("block"))
-    shared = durable(blocks.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    met = durable(blocks.join(shared, "block"), "met")
-    company = durable(met.groupBy("set_key").agg(F.sum("n").alias("company")), "company")
-    central = durable(met.join(company, "set_key").groupBy("block").agg(F.max(F.struct("company", "set_key")).alias("hub")).select("block", F.col("hub.set_key").alias("hub")), "central")
-    pairs = met.join(central, "block").filter("set_key != hub").select(*ordered("set_key", "hub")).distinct()
-    first = durable(likely(durable(pairs, "pairs"), known, percent), "likely")
-    sets = durable(full_sets(docs, company.join(classes, "set_key").select("set_key", "row_key"), width), "sets")
-    links = durable(confirmed(first, sets, percent), "links")
-    roots = components(links)
-    more = durable(across(met, known, first, roots, sets, percent), "more-links")
-    if not more.isEmpty():
-        roots = components(links.unionAll(more))
+    met, known = meetings(docs, classes, width, percent)
+    members = durable(met.select("set_key").distinct(), "members-met")
+    sets = durable(full_sets(docs, members.join(classes, "set_key").select("set_key", "row_key"), width), "sets")
+    roots = joined(met, known, sets, percent)
     of = durable(rooted(classes.select("set_key", "doc_id"), roots), "groups")
     least = durable(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     found = durable(of.drop("doc_id").join(least, "root").withColumnRenamed("root", "group"), "members")
-    release(known, shared, met, company, central, first, sets, links, more)
-    out = sketch.join(found, "set_key", "left")
+    release(met, known, members, sets, of, least)
+    out = sketch.select("doc_id", "row_key", "n_shingles", "set_key").join(found, "set_key", "left")
     return out.select("doc_id", "row_key", "n_shingles", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def meetings(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """block, set_key, n, company of classes that share a kept block: n of them, and a class's n over all its blocks; and
+    set_key, n_shingles, sketch of these classes.
+
+    Most blocks are nobody else's, so that blocks travel with eight bytes that stand for a class; classes whose bytes
+    happen to be equal only meet more others."""
+    all_ = durable(sketched(docs, classes, width, percent), "sketched")
+    blocks = all_.select(F.xxhash64("set_key").alias("id"), F.explode("blocks").alias("block"))
+    shared = durable(blocks.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    hits = durable(blocks.join(shared, "block"), "hits")
+    company = durable(hits.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    known = durable(all_.withColumn("id", F.xxhash64("set_key")).join(company, "id").select("id", "set_key", "n_shingles", "sketch", "company"), "known")
+    met = durable(hits.join(known.select("id", "set_key", "company"), "id").select("block", "set_key", "n", "company"), "met")
+    release(all_, shared, hits, company)
+    return met, known
+
+
+def joined(met: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, root of all classes with a link: components of the links between classes that share a block.
+
+    ROUNDS times each block that holds several components picks the most central class that is not yet in its largest
+    one (at first: of all), which meets the others. What is left then meets completely."""
+    roots, links, pairs = None, [], []
+    for n in range(ROUNDS):
+        # where two meet, the first round has compared them
+        where = met.withColumn("root", F.col("set_key")) if roots is None else durable(rooted(met.filter("n > 2").select("block", "set_key", "company"), roots), "where")
+        hub = centres(where, first=not n)
+        rows = where.join(hub, "block").filter("root != hub_root").select(*ordered("set_key", "hub")).distinct()
+        fresh = rows if not pairs else rows.join(one_table(pairs), ["a", "b"], "left_anti")
+        pairs.append(durable(likely(durable(fresh, "pairs"), known, percent), "likely"))
+        links.append(verified(pairs[-1], sets, percent))
+        if links[-1].isEmpty():
+            break
+        roots = components(one_table(links))
+    roots = components(one_table(links)) if roots is None else roots
+    more = across(met.filter("n > 2").select("block", "set_key", "n"), known, one_table(pairs), roots, sets, percent)
+    if not more.isEmpty():
+        roots = components(one_table([*links, more]))
+    release(*pairs)
+    return roots
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that full sets confirm. Sets that no pair asks for stay where they are."""
+    asked = durable(pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select("b")).distinct(), "asked")
+    some = durable(sets.join(asked, "set_key", "left_semi"), "some-sets")
+    out = durable(confirmed(pairs, some, percent), "links")
+    release(asked, some)
+    return out
+
+
+def centres(where: DataFrame, first: bool) -> DataFrame:
+    """block, hub, hub_root of blocks with several components. The counts of each are combined before they are moved."""
+    best = F.max(F.struct("company", "set_key"))
+    if first:
+        return durable(where.groupBy("block").agg(best.alias("b")).select("block", F.col("b.set_key").alias("hub"), F.col("b.set_key").alias("hub_root")), "centres")
+    each = where.groupBy("block", "root").agg(F.count("*").alias("size"), best.alias("b"))
+    sides = durable(each, "sides")
+    main = durable(sides.groupBy("block").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("block", F.col("m.root").alias("main")), "main")
+    outside = sides.join(main, "block").filter("root != main")
+    return durable(outside.groupBy("block").agg(F.max(F.struct("b.company", "b.set_key", "root")).alias("x")).select("block", F.col("x.set_key").alias("hub"), F.col("x.root").alias("hub_root")), "centres")
+
+
 def across(met: DataFrame, known: DataFrame, done: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components of classes that share a block."""
-    where = durable(rooted(met.select("block", "set_key", "n"), roots), "where")
-    open_ = durable(where.groupBy("block").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("block"), "open")
+    where = durable(rooted(met, roots), "where")
+    sides = durable(where.groupBy("block", "root").agg(F.count("*").alias("size")), "sides")
+    open_ = durable(sides.groupBy("block").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("block", F.col("m.root").alias("main")), "open")
     inside = durable(where.join(open_, "block"), "inside")
     small = inside.filter(F.col("n") <= LAST)
     x, y = small.select("block", F.col("set_key").alias("a"), F.col("root").alias("ra")), small.select("block", F.col("set_key").alias("b"), F.col("root").alias("rb"))
-    apart = x.join(y, "block").filter("a < b and ra != rb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    found = confirmed(durable(likely(durable(apart, "apart"), known, percent), "across"), sets, percent)
-    dense = inside.filter(F.col("n") > LAST).select(F.lit(0).alias("tree"), F.col("block").alias("region"), "set_key")
-    with arrow_rows(met.sparkSession, 8):
-        squares = durable(dense_links(dense, roots, sets, percent), "squares")
-    return found.unionAll(squares).distinct()
+    apart = durable(x.join(y, "block").filter("a < b and ra != rb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "apart")
+    found = squares(inside.filter(F.col("n") > LAST), known, percent).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = durable(likely(apart, known, percent).unionByName(found).distinct(), "across")
+    out = verified(pairs, sets, percent)
+    release(where, sides, open_, inside, apart)
+    return out
+
+
+def squares(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in blocks of many classes, whose sizes and sketches allow a link.
+
+    rows: block, set_key, root, main. The classes outside of a block's largest component meet all of it, a square of at
+    most SIDE by SIDE classes at a time; a square is a row of its own key, so one block's squares are spread over tasks."""
+    told = durable(rows.join(known.select("set_key", "n_shingles", "sketch"), "set_key").select("block", "root", (F.col("root") != F.col("main")).alias("outside"), "set_key", "n_shingles", "sketch"), "told")
+    parts = lambda n: F.greatest(F.ceil(n / SIDE).cast("int"), F.lit(1))
+    number = durable(told.groupBy("block").agg(parts(F.count(F.when(F.col("outside"), 1))).alias("n_x"), parts(F.count("*")).alias("n_y")), "numbers")
+    dealt = told.join(number, "block")
+
+    def side(side: DataFrame, n: str, key: str, name: str) -> DataFrame:
+        part = F.struct("block", F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int").alias("part"))
+        return durable(side.select(part.alias(key), F.struct("set_key", "root", "n_shingles", "sketch").alias("r")).groupBy(key).agg(F.collect_list("r").alias(name)), name)
+
+    xs, ys = side(dealt.filter("outside"), "n_x", "x", "xs"), side(dealt, "n_y", "y", "ys")
+    each = number.withColumn("i", F.explode(F.expr("sequence(0, n_x - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, n_y - 1)")))
+    square = each.select(F.struct("block", F.col("i").alias("part")).alias("x"), F.struct("block", F.col("j").alias("part")).alias("y")).join(xs, "x").join(ys, "y")
+
+    def columns(side: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        v = side.values
+        words = v.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).view(np.uint64)
+        return v.field("set_key"), v.field("root").to_numpy(zero_copy_only=False), v.field("n_shingles").to_numpy(), words
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                (ka, ra, na, sa), (kb, rb, nb, sb) = columns(batch.column("xs")[i]), columns(batch.column("ys")[i])
+                for at in range(0, len(na), 64):
+                    x = slice(at, at + 64)
+                    differ = np.zeros((len(na[x]), len(nb)), np.int64)
+                    for w in range(sa.shape[1]):
+                        differ += np.bitwise_count(sa[x, w][:, None] ^ sb[:, w][None, :])
+                    n, m = na[x][:, None], nb[None, :]
+                    fit = (differ * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (ra[x][:, None] != rb[None, :])
+                    p, r = np.nonzero(fit)
+                    if len(p):
+                        a, b = ka.take(pa.array(p + at)), kb.take(pa.array(r))
+                        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return square.select("xs", "ys").mapInArrow(run, "a binary, b binary").select(*ordered("a", "b"))
+
+
+def one_table(parts: list[DataFrame]) -> DataFrame:
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p.durable_path for p in parts])
 
 
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
