@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+import io
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
@@ -133,15 +135,39 @@ class Registry:
         self.close()
 
 
-def to_records(df: DataFrame) -> list[str]:
-    """Rows as JSON texts, for a result that is read as a whole."""
-    return [r.value for r in df.select(F.to_json(F.struct(*[F.col(q(c)) for c in df.columns])).alias("value")).collect()]
+def record(df: DataFrame) -> Column:
+    """A row as a JSON text; nulls are left out."""
+    return F.to_json(F.struct(*[F.col(q(c)) for c in df.columns]))
+
+
+def to_records(df: DataFrame) -> Iterator[str]:
+    """Rows as JSON texts. As with the others here, the driver holds a partition at a time."""
+    return (r.value for r in df.select(record(df).alias("value")).toLocalIterator())
+
+
+def csv_lines(df: DataFrame) -> Iterator[str]:
+    yield csv_line(df.columns)
+    for r in df.toLocalIterator():
+        yield csv_line(r)
+
+
+def csv_line(cells: Iterable[object]) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerow(["" if c is None else c for c in cells])
+    return out.getvalue()
 
 
 def to_csv(df: DataFrame) -> str:
-    return df.toPandas().to_csv(index=False)
+    return "".join(csv_lines(df))
 
 
-def to_markdown(df: DataFrame) -> str:
+def markdown_lines(df: DataFrame) -> Iterator[str]:
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
-    return "\n".join([line(df.columns), "|" + " --- |" * len(df.columns), *map(line, df.collect())])
+    yield line(df.columns)
+    yield "|" + " --- |" * len(df.columns)
+    for r in df.toLocalIterator():
+        yield line(r)
+
+
+def to_markdown(df: DataFrame) -> str:
+    return "\n".join(markdown_lines(df))

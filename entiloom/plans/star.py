@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import BLANKS, depth_of, entity_id, strip
-from ..operators import audit, derive, eav, graph, resolve, validate, views
+from ..operators import audit, derive, eav, export, graph, resolve, validate, views
 from ..operators.validate import FieldRule
 from ..sources.tables import durable, read
 from .registry import Registry
@@ -268,6 +268,30 @@ def effort_rollup(spark, d):
     return graph.Hierarchy(named_edges(spark, d)).roll_up(order_facts(spark, d), ["schedule"]).select("entity_id", "schedule", F.col("value").cast("decimal(38,0)").alias("cents"))
 
 
+@query(f"""{CLOSED} SELECT anc AS entity_id, nullif(pr, '5-LOW') AS schedule, sum(v) AS cents FROM (SELECT anc, des FROM closed UNION SELECT c, c FROM e) JOIN {FACTS} USING (des) GROUP BY 1, 2""")
+def effort_rollup_nulls(spark, d):
+    """Facts without a schedule are a group of their own, at every level."""
+    facts = order_facts(spark, d).withColumn("schedule", F.nullif("schedule", F.lit("5-LOW")))
+    return graph.Hierarchy(named_edges(spark, d)).roll_up(facts, ["schedule"]).select("entity_id", "schedule", F.col("value").cast("decimal(38,0)").alias("cents"))
+
+
+WEIGHTS = "CASE length({0}) % 4 WHEN 1 THEN 0.9 WHEN 2 THEN 0.2 ELSE 0.5 END"
+
+
+@query(f"""WITH n AS (SELECT r_name AS r, r_name || '.' || n_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey), nr AS (SELECT r, p, {WEIGHTS.format("p")} AS w, row_number() OVER (PARTITION BY r ORDER BY {WEIGHTS.format("p")} DESC, p) AS i FROM n),
+ c AS (SELECT r, p, p || '.' || c_name AS q FROM n JOIN nation x ON n.p LIKE '%.' || x.n_name JOIN customer ON c_nationkey = x.n_nationkey), cr AS (SELECT r, p, q, {WEIGHTS.format("q")} AS w, row_number() OVER (PARTITION BY p ORDER BY {WEIGHTS.format("q")} DESC, q) AS j FROM c),
+ t AS (SELECT r AS root, r AS entity_id, 0 AS depth, {WEIGHTS.format("r")} AS priority, 0 AS i, 0 AS j FROM (SELECT DISTINCT r FROM n) UNION ALL SELECT r, p, 1, w, i, 0 FROM nr UNION ALL SELECT cr.r, q, 2, cr.w, i, j FROM cr JOIN nr ON nr.p = cr.p)
+ SELECT root, entity_id, upper(entity_id) AS name, cast(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY root ORDER BY i, j) - 1 AS place, cast(priority AS DOUBLE) AS priority FROM t""")
+def requirement_trees(spark, d):
+    """Every requirement tree in depth-first order, the highest priority first; a missing priority counts as 0.5."""
+    e = durable(named_edges(spark, d), "edges")
+    ids = e.select("entity_id").unionAll(e.select("parent_eid")).distinct()
+    n = F.length("entity_id") % 4
+    need = ids.select("entity_id", F.when(n == 1, 0.9).when(n == 2, 0.2).when(n == 3, 0.5).alias("value"))
+    spine = ids.select(F.col("entity_id").alias("value"), F.col("entity_id").alias("path"), F.upper("entity_id").alias("entity_key"))
+    return graph.requirement_rows(e, spine, need)
+
+
 @query(f"""{CLOSED} SELECT anc AS entity_id, cast(sum(v * CASE pr WHEN '1-URGENT' THEN 28 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 14 ELSE 1 END) AS DECIMAL(38,0)) AS cents
  FROM (SELECT anc, des FROM closed UNION SELECT c, c FROM e) JOIN {FACTS} USING (des) GROUP BY 1""")
 def effort_total_period(spark, d):
@@ -435,6 +459,18 @@ def same_as_rebase(spark, d):
     return resolve.rebase(e.select("event_id", "entity_id"), resolve.same_as_map(same, spine))
 
 
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 2 THEN 's' || s_suppkey ELSE 'n' || s_nationkey END AS entity_id FROM supplier")
+def same_as_by_text(spark, d):
+    """Suppliers that are said to be their nation, by its alias or by a part of its path; others stay themselves."""
+    nation, supplier = read(spark, d, "nation"), read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    owner, whole = coded("s", "s_suppkey").alias("entity_id"), F.concat(F.lit("lands:of."), "n_name", F.lit("!"), coded("x", "n_nationkey"))
+    said = F.when(F.col("s_suppkey") % 3 == 0, F.col("n_name")).otherwise(F.concat(F.lit("of."), "n_name", F.lit("!")))
+    same = supplier.filter("s_suppkey % 3 < 2").select(owner, said.alias("value"))
+    spine = nation.select(coded("n", "n_nationkey").alias("value"), whole.alias("path"), F.col("n_name").alias("alias"))
+    spine = spine.unionByName(supplier.select(coded("s", "s_suppkey").alias("value"), F.concat(F.lit("shops:"), coded("s", "s_suppkey")).alias("path"), coded("s", "s_suppkey").alias("alias")))
+    return resolve.rebase(supplier.select("s_suppkey", owner), resolve.same_as_map(same, spine))
+
+
 @query("SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS text FROM documents")
 def strip_text(spark, d):
     padded = F.concat(F.lit(BLANKS), "text", F.lit(BLANKS))
@@ -463,12 +499,14 @@ def requirement_tree_edges(spark, d):
     return e.join(inside, "entity_id", "left_semi").join(inside.withColumnRenamed("entity_id", "parent_eid"), "parent_eid", "left_semi").select("parent_eid", "entity_id")
 
 
-@query(f"""SELECT path, cast(length(path) - length(replace(path, '.', '')) + 1 AS BIGINT) AS depth, row_number() OVER (PARTITION BY depth ORDER BY path) AS place FROM {SPINE}""")
+@query("""WITH s AS (SELECT r_name || '.yaml' AS filepath, r_name AS path, 1 AS depth FROM region UNION ALL SELECT r_name || '.yaml', r_name || '.' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT r_name || '.yaml', r_name || '.' || n_name || '.' || c_name, 3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+ SELECT filepath, path, row_number() OVER (PARTITION BY filepath ORDER BY depth, path) AS place FROM s""")
 def export_order(spark, d):
-    from pyspark.sql import Window
-
-    spine = eav.spine(paths(spark, d)).select("path", depth_of(F.col("path")).cast("bigint").alias("depth"))
-    return spine.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("path")).cast("bigint"))
+    """The order in which the entities of a file are written: parents first, then by path."""
+    inside = F.regexp_replace("path", "^world:", "")
+    spine = eav.spine(paths(spark, d).select(F.concat(F.substring_index(inside, ".", 1), F.lit(".yaml:"), inside).alias("path")))
+    return export.ordered_spine(spine).select("filepath", "path", F.col("place").cast("bigint").alias("place"))
 
 
 ANY_SQL = """SELECT n_name, r_name, count(*) AS n FROM nation CROSS JOIN region WHERE n_regionkey <> r_regionkey GROUP BY n_name, r_name"""

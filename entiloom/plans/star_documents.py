@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eav, export, graph, resolve, validate, views
-from ..sources.manifests import csv_tables, flat_documents
+from ..sources.manifests import csv_spine, csv_tables, flat_documents
 from ..sources.tables import durable, read, shared_dir
 from .registrar import Registrar
-from .registry import Registry
-from .star import EDGES, coded, named_edges, plain, query, star_registry, text
+from .registry import Registry, record
+from .star import EDGES, SQL, cents, coded, named_edges, places, plain, query, star_registry, text
 
 # ---- documents -----------------------------------------------------------------------------------------------------
 
@@ -181,6 +181,49 @@ def registry_round_trip(spark, d):
     return Registry.load(spark, folder).get("account")
 
 
+@query(SQL["view_inner_join"])
+def saved_view(spark, d):
+    """A view of types that were saved in buckets of entities: its joins move no rows."""
+    folder = f"{shared_dir(spark)}/entiloom/store-{uuid.uuid4().hex}"
+    star_registry(spark, d).save(folder, buckets=16)
+    return plain(Registry.load(spark, folder).view(["account", "home", "order"]))
+
+
+@query("""SELECT substring(sha256('m/' || s_suppkey || '.yaml:s' || s_suppkey || path), 1, 12) AS entity_id, cast(depth AS BIGINT) AS depth, p * CASE WHEN s_suppkey % 100 = 1 AND depth > 0 THEN 0.5 ELSE 1 END AS priority_product,
+ CASE depth WHEN 0 THEN s_nationkey + 2 + CASE s_suppkey % 100 WHEN 1 THEN 20 ELSE 0 END WHEN 1 THEN 2 + CASE s_suppkey % 100 WHEN 1 THEN 20 ELSE 0 END END::DOUBLE AS effort FROM supplier, (VALUES ('', 0, 0.5::DOUBLE), ('.till', 1, 0.5), ('.till.drawer', 2, 0.125)) AS v(path, depth, p)""")
+def registry_update(spark, d):
+    """Most documents loaded into a folder of snapshots; then the rest, and more about known entities: only buckets that
+    change are written, and only what lies above or below a change is derived again."""
+    key = text("s_suppkey")
+    shop = F.concat(F.lit("s"), key, F.lit(":\n    data:\n        - requirement: 0.5\n        - effort: "), text("s_nationkey"), F.lit("\n    till:\n        data:\n            - effort: 2\n        drawer:\n            - requirement: 0.25\n"))
+    more = F.concat(F.lit("u"), key, F.lit(":\n    - same_as: s"), key, F.lit(".till\n    - effort: {value: 5, schedule: weekly}\n    - requirement: 0.5\n"))
+    s, named = read(spark, d, "supplier"), lambda text_, folder: (F.concat(F.lit(folder), key, F.lit(".yaml")).alias("file_id"), F.lit("yaml").alias("kind"), text_.alias("text"))
+    user = Registrar.open(spark, f"{shared_dir(spark)}/entiloom/kept-{uuid.uuid4().hex}", buckets=16)
+    user.update(raw=s.filter("s_suppkey % 100 != 0").select(*named(shop, "m/")))
+    user.update(raw=s.filter("s_suppkey % 100 = 0").select(*named(shop, "m/")).unionAll(s.filter("s_suppkey % 100 = 1").select(*named(more, "u/"))))
+    mine = user.get("entity_id").filter("filepath like 'm/%'").select(F.col("value").alias("entity_id"))
+    effort = user.get("effort_total").withColumnRenamed("value", "effort")
+    both = mine.join(user.get("entity_depth"), "entity_id").join(user.get("priority_product"), "entity_id").join(effort, "entity_id", "left")
+    return both.select("entity_id", F.col("depth").cast("bigint").alias("depth"), "priority_product", "effort")
+
+
+@query("SELECT 'rows' AS entity_key, row_number() OVER (ORDER BY p_partkey) - 1 AS component_index, p_partkey AS partkey, p_name || chr(10) || '\"' || p_brand || '\", ' || p_type AS note FROM part")
+def csv_rows_in_order(spark, d):
+    """Rows of one CSV file with quotes, commas and line ends inside, by their place in the file; its entity comes from the
+    spine of files."""
+    part = read(spark, d, "part")
+    note = F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('", '), "p_type")
+    folder = f"{shared_dir(spark)}/entiloom/csv-{uuid.uuid4().hex}"
+    part.select(F.col("p_partkey").alias("partkey"), note.alias("note")).orderBy("partkey").coalesce(1).write.csv(folder, header=True, escape='"')
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(folder))
+    for f in (x.getPath() for x in files.listStatus(path(folder)) if x.getPath().getName().endswith(".csv")):
+        files.rename(f, path(f"{folder}/rows.csv"))
+    spine = csv_spine(spark, folder).select(F.col("value").alias("entity_id"), "entity_key")
+    return csv_tables(spark, folder)["rows_comp"].join(F.broadcast(spine), "entity_id").select("entity_key", "component_index", "partkey", "note")
+
+
 # ---- registry ------------------------------------------------------------------------------------------------------
 
 
@@ -242,7 +285,7 @@ def reference_columns(spark, d):
 @query("SELECT c_custkey AS key, c_name AS name, '{\"key\":' || c_custkey || ',\"name\":\"' || c_name || '\"}' AS record FROM customer")
 def json_records(spark, d):
     rows = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    return rows.withColumn("record", F.to_json(F.struct("key", "name")))
+    return rows.withColumn("record", record(rows))
 
 
 # ---- rules ---------------------------------------------------------------------------------------------------------
@@ -313,6 +356,29 @@ def exported_documents(spark, d):
     return flat_documents(raw).filter("kind = 'pair'").select("path", "value")
 
 
+@query("""WITH k AS (SELECT r_name, n_name, c_name, r_name || '/f:' || r_name || '.' || n_name AS p, cast(round(c_acctbal * 100) AS BIGINT) AS v, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey)
+ SELECT p || '.' || c_name || '[0].cents' AS path, cast(v AS VARCHAR) AS value FROM k WHERE c_name IS NOT NULL UNION ALL SELECT p || '.' || c_name || '[1].kept', '' FROM k WHERE v % 2 = 0
+ UNION ALL SELECT DISTINCT p || CASE WHEN c_name IS NULL THEN '' ELSE '.data' END || '[0].rank of.value', cast(n_nationkey AS VARCHAR) FROM k UNION ALL SELECT DISTINCT p || CASE WHEN c_name IS NULL THEN '' ELSE '.data' END || '[0].rank of.unit', 'place' FROM k""")
+def exported_nested(spark, d):
+    """Documents whose entities lie in one another, written and read again: regions are there for their nations only, nations
+    have components and customers, and customers values and tags."""
+    land = F.concat_ws(".", "r_name", "n_name")
+    nation = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    file = F.concat("r_name", F.lit("/f"))
+    node = lambda df, path: df.select(path.alias("value"), F.concat(file, F.lit(":"), path).alias("path"), path.alias("entity_key"), file.alias("filepath"))
+    whose = F.concat(land, F.lit("."), "c_name")
+    customer = places(spark, d)
+    spine = node(nation, land).unionAll(node(customer, whose))
+    index = lambda i: F.lit(i).cast("bigint").alias("component_index")
+    tables = {
+        "rank": nation.select(land.alias("entity_id"), index(0), F.lit("of").alias("modifier"), text("n_nationkey").alias("value"), F.lit("place").alias("unit")),
+        "cents": customer.select(whose.alias("entity_id"), index(0), F.lit(None).cast("string").alias("modifier"), cents("c_acctbal").alias("value")),
+        "kept": customer.filter(cents("c_acctbal") % 2 == 0).select(whose.alias("entity_id"), index(1), F.lit(None).cast("string").alias("modifier"), F.lit("").alias("value")),
+    }
+    docs = export.documents(tables, spine)
+    return flat_documents(docs.select(F.col("filepath").alias("file_id"), F.lit("yaml").alias("kind"), "text")).filter("kind = 'pair'").select("path", "value")
+
+
 @query("""SELECT cast(user_id AS VARCHAR) AS entity_id, event_id AS component_index, f AS field, v AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events),
  LATERAL (SELECT 'event_type' AS f, event_type AS v UNION ALL SELECT 'worth', cast(user_id % 10 AS VARCHAR)) WHERE rn = 1""")
 def export_collapsed(spark, d):
@@ -321,11 +387,11 @@ def export_collapsed(spark, d):
     return eav.unpivot(views.current(e, "ts").drop("ts")).drop("modifier")
 
 
-@query("SELECT DISTINCT p_brand AS component_type FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1 UNION SELECT p_brand FROM part WHERE p_size = 2)")
+@query("SELECT DISTINCT p_brand AS component_type FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 37 = 1 AND p_partkey < 200 UNION SELECT p_brand FROM part WHERE p_partkey % 41 = 2 AND p_partkey < 400)")
 def export_kept_types(spark, d):
     """Types without those flagged as derived or not to be written."""
-    part = read(spark, d, "part")
-    flags = part.select(F.col("p_brand").alias("component_type"), (F.col("p_size") == 1).alias("derived"), (F.col("p_size") == 2).alias("skip_on_export"))
+    part, key = read(spark, d, "part"), F.col("p_partkey")
+    flags = part.select(F.col("p_brand").alias("component_type"), ((key % 37 == 1) & (key < 200)).alias("derived"), ((key % 41 == 2) & (key < 400)).alias("skip_on_export"))
     names = [r.p_brand for r in part.select("p_brand").distinct().collect()]  # names of types
     return spark.createDataFrame([(n,) for n in export.kept_types(flags, names)], "component_type string")
 

@@ -62,9 +62,30 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def load_jdbc(spark: SparkSession, url: str, names: list[str], **options: str) -> dict[str, DataFrame]:
-    """Tables that save_jdbc() wrote, by name; with partitionColumn and bounds among the options Spark reads in parts."""
-    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+def jdbc_tables(spark: SparkSession, url: str, driver: str | None = None, schema: str | None = None) -> list[str]:
+    """Names of all tables of a database (of one schema; without it, of all that are not the system's own)."""
+    java = spark._jvm.java
+    if driver:
+        spark._jvm.org.apache.spark.util.Utils.classForName(driver, True, True)
+    link = java.sql.DriverManager.getConnection(url)
+    try:
+        kinds = spark.sparkContext._gateway.new_array(java.lang.String, 1)
+        kinds[0] = "TABLE"
+        found, out = link.getMetaData().getTables(None, schema, "%", kinds), []
+        while found.next():
+            out.append((found.getString("TABLE_SCHEM"), found.getString("TABLE_NAME")))
+    finally:
+        link.close()
+    return sorted(n for s, n in out if schema is not None or not s or not s.upper().startswith(("SYS", "INFORMATION_SCHEMA", "PG_")))
+
+
+def load_jdbc(spark: SparkSession, url: str, names: list[str] | None = None, **options: str) -> dict[str, DataFrame]:
+    """Tables of a database by name, all of them without names; with partitionColumn and bounds among the options Spark
+    reads in parts."""
+    names = jdbc_tables(spark, url, options.get("driver"), options.get("schema")) if names is None else names
+    told = {k: v for k, v in options.items() if k != "schema"}
+    table = lambda n: n if n.isidentifier() and n.lower() == n else f'"{n}"'  # noqa: E731  a database keeps the case of quoted names
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=table(n), **told).load() for n in names}
 
 
 def save_jdbc(tables: dict[str, DataFrame], url: str, **options: str) -> None:
