@@ -1,7 +1,7 @@
 """Personal data by expressions and by bootstrapped contextual extraction.
 
 Base spans come from four expressions with checks. They seed the bootstrap: the words around a span form lexical
-patterns (two words before, one before and one after). Candidates are other tokens with digits or an at sign, written
+patterns (two words before; one before and one after; a label, such as `phone:`). Candidates are other tokens with digits or an at sign, written
 so that the expressions miss them; each has the kinds that its shape allows. A bipartite graph of patterns and instances
 is scored in rounds of Spark joins and sums: a pattern is as good as the share of its instances that are seeds or likely
 identifiers, smoothed against rare patterns; an instance is as good as its patterns are, taken together. Candidates whose
@@ -30,8 +30,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens that may be identifiers: seven digits or more, or an at sign spelled out or padded.
-NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20/-]{5,}[0-9]")
+#: Tokens that may be identifiers, never a part of a longer one: seven digits or more, or an at sign spelled out or padded.
+NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])")
+#: What stands between a label and its value.
+LABEL = re.compile(r"[\x20\t\"'(]*([:=#])[\x20\t\"'(]*")
 FOUR_PARTS = re.compile(r"[0-9]{1,3}(?:[^0-9]+[0-9]{1,3}){3}")
 AT = re.compile(r"\x20?(?:\(at\)|\[at\]|@)\x20?")
 AFTER_AT = re.compile(r"[\w-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[\w-]++)++")
@@ -118,6 +120,15 @@ def words_after(text: str, begin: int, n: int) -> list[str]:
         reach *= 2
 
 
+def label(text: str, start: int) -> str:
+    """The mark of a label right before a place: `:` in `phone: `; empty without one."""
+    begin = start
+    while begin and start - begin < 8 and not (text[begin - 1].isalnum() or text[begin - 1] == "_"):
+        begin -= 1
+    found = LABEL.fullmatch(text, begin, start)
+    return found[1] if found else ""
+
+
 def context(text: str, start: int, end: int) -> list[str]:
     before = [w.lower() for w in words_before(text, start, 2)]
     after = [w.lower() for w in words_after(text, end, 1)]
@@ -126,6 +137,8 @@ def context(text: str, start: int, end: int) -> list[str]:
         out.append(f"{before[0]} {before[1]} _")
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
+    if before and (mark := label(text, start)):
+        out.append(f"{before[-1]} {mark} _")
     return [p if len(p) <= LONG else hashlib.md5(p.encode()).hexdigest() for p in out]
 
 
