@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import durable
@@ -19,32 +19,32 @@ def grams(text: str, size: Column) -> Column:
 def containing(refs: DataFrame, paths: DataFrame) -> DataFrame:
     """ref, eid of all paths (path, eid) that contain a ref (non-empty).
 
-    Each ref is looked up by its rarest gram of three characters (all of a shorter ref), and confirmed. Paths keep those
-    grams only that a ref has. An equi-join, so the work follows the hits of rare grams, not refs times paths."""
+    Each ref is looked up by its rarest gram of three characters (a shorter ref is a gram itself), and confirmed. Paths
+    keep those grams only that a ref has. An equi-join, so the work follows the hits of rare grams, not refs times paths."""
     size = F.least(F.length("ref"), F.lit(GRAM))
-    wanted = durable(refs.select("ref", size.alias("size"), F.explode(grams("ref", size)).alias("gram")), "ref-grams")
-    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # three at most
+    wanted = durable(refs.select("ref", F.explode(grams("ref", size)).alias("gram")), "ref-grams")
+    sizes = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # three at most
     if not sizes:
         return refs.select("ref", F.lit(None).cast("string").alias("eid")).limit(0)
     of = F.flatten(F.array(*[F.when(F.length("path") >= n, grams("path", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)]))
     index = durable(paths.select("path", "eid", F.explode(of).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "path-grams")
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = wanted.join(often, "gram", "left").groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).select("ref", F.col("least.gram").alias("gram"))
-    return durable(rare, "rare-grams").join(index, "gram").filter(F.col("path").contains(F.col("ref"))).select("ref", "eid").distinct()
+    # a gram that no path has rules its ref out
+    least = wanted.join(often, "gram", "left").groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rare = least.filter("least.n > 0").select("ref", F.col("least.gram").alias("gram"))
+    return rare.join(index, "gram").filter(F.col("path").contains(F.col("ref"))).select("ref", "eid").distinct()
 
 
 def matches(refs: DataFrame, spine: DataFrame) -> DataFrame:
-    """ref, eid, tier of the first of three searches that has any hit: 1 id, 2 alias, 3 part of the path. Each is an
-    equi-join; a later one sees only what the earlier ones leave."""
+    """ref, eid, tier of the first of three searches that has any hit: 1 id, 2 alias, 3 part of the path. Ids and aliases
+    are looked up in one equi-join; the search in paths sees only what they leave."""
     asked = refs.filter("ref is not null and ref != ''").select("ref").distinct()
-    found = None
-    for tier, hits in enumerate((spine.select(F.col("value").alias("ref"), F.col("value").alias("eid")), spine.filter("alias is not null").select(F.col("alias").alias("ref"), F.col("value").alias("eid"))), 1):
-        hit = durable(asked.join(hits.distinct(), "ref").withColumn("tier", F.lit(tier)), f"refs-{tier}")
-        found = hit if found is None else found.unionByName(hit)
-        asked = asked.join(hit.select("ref").distinct(), "ref", "left_anti")
-    asked = durable(asked, "refs-left")
+    named = spine.select(F.col("value").alias("ref"), F.col("value").alias("eid"), F.lit(1).alias("tier")).unionAll(spine.filter("alias is not null").select("alias", "value", F.lit(2)))
+    best = F.min("tier").over(Window.partitionBy("ref"))  # the hits of one name
+    found = durable(asked.join(named.distinct(), "ref", "left").withColumn("best", best).filter("tier is null or tier = best").select("ref", "eid", "tier"), "refs-named")
     paths = spine.filter("path is not null").select("path", F.col("value").alias("eid")).distinct()
-    return found.unionByName(containing(asked, paths).withColumn("tier", F.lit(3)))
+    inside = containing(found.filter("tier is null").select("ref"), paths).withColumn("tier", F.lit(3))
+    return found.filter("tier is not null").unionByName(inside)
 
 
 def resolve(refs: DataFrame, spine: DataFrame) -> DataFrame:
