@@ -7,7 +7,7 @@ import pytest
 from entiloom.plans import star, star_documents  # noqa: F401
 from tests.compare import rows
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
