@@ -6,7 +6,6 @@ import uuid
 from pathlib import Path
 
 import pandas as pd
-import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,69 +67,87 @@ def ordered_spine(spine: DataFrame) -> DataFrame:
     return spine.filter(exportable(F.col("filepath"))).select("filepath", "value", name_part(F.col("path")).alias("path"), F.row_number().over(order).alias("place"))
 
 
-def nested(rows: list[tuple[str, list]]) -> dict:
-    """A document from (path, components) in order, parents first. An entity with components and children keeps its own
-    under `data`; parents without rows of their own are made."""
-    root: dict = {}
+def quoted(text: Column) -> Column:
+    """A text as YAML (and JSON) writes it between double quotes."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
-    def container(parts: list[str]) -> dict:
-        here = root
-        for p in parts:
-            below = here.get(p)
-            if not isinstance(below, dict):
-                below = here[p] = {"data": below} if below else {}
-            here = below
-        return here
 
-    for path, components in rows:
-        *above, key = path.split(".")
-        container(above)[key] = components
-    return root
+def entry_line(c: Column) -> Column:
+    """A component as an item of a list: its name alone, with its value, or with its fields."""
+    name, fields = quoted(c["name"]), c["fields"]
+    plain = (F.size(fields) == 1) & (F.get(fields, F.lit(0))["field"] == "value")
+    pairs = F.array_join(F.transform(fields, lambda x: F.concat(quoted(x["field"]), F.lit(": "), quoted(x["value"]))), ", ")
+    shown = F.when(F.size(fields) == 0, F.lit("")).when(plain, F.concat(F.lit(": "), quoted(F.get(fields, F.lit(0))["value"]))).otherwise(F.concat(F.lit(": {"), pairs, F.lit("}")))
+    return F.concat(F.lit("- "), name, shown)
 
 
-def entry_of(name: str, fields: list[tuple[str, str]]) -> object:
-    if not fields:
-        return name
-    if [f for f, _ in fields] == ["value"]:
-        return {name: fields[0][1]}
-    return {name: dict(fields)}
+def lines(tables: dict[str, DataFrame], spine: DataFrame) -> DataFrame:
+    """filepath, place, text: the YAML lines of each exported entity, in the order of its file.
 
-
-def documents(tables: dict[str, DataFrame], spine: DataFrame) -> DataFrame:
-    """filepath, text: the YAML document of each file. Spark brings a file's entities together; one task writes one file,
-    as its reader will hold it too."""
+    Entities come depth first, by the parts of their path, so what an entity opens is told by the one before it (parents
+    without rows of their own are opened with their first child), and whether it has children by the one behind it. An
+    entity with components and children keeps its own under `data`. No file is held as a whole."""
     whole = entries(tables, spine).groupBy(F.col("entity_id").alias("value")).agg(F.sort_array(F.collect_list(F.struct("component_index", "name", "fields"))).alias("components"))
-    rows = ordered_spine(spine).join(whole, "value", "left")
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        listed = [(p, [entry_of(c["name"], [(f["field"], f["value"]) for f in c["fields"]]) for c in (cs if cs is not None else [])]) for p, cs in zip(pdf.path, pdf.components, strict=True)]
-        text = yaml.safe_dump(nested(listed), default_flow_style=False, allow_unicode=True, sort_keys=False)
-        return pd.DataFrame({"filepath": [pdf.filepath.iloc[0]], "text": [text]})
-
-    return rows.select("filepath", "path", "place", "components").groupBy("filepath").applyInPandas(write, "filepath string, text string")
+    inside = spine.filter(exportable(F.col("filepath"))).select("filepath", "value", F.split(name_part(F.col("path")), r"\.").alias("parts"))
+    order = Window.partitionBy("filepath").orderBy("parts", "value")
+    none = F.array().cast("array<string>")
+    rows = inside.join(whole, "value", "left").select(
+        "filepath", F.row_number().over(order).alias("place"), "parts", F.coalesce("components", F.array().cast(whole.schema["components"].dataType)).alias("components"),
+        F.coalesce(F.lag("parts").over(order), none).alias("before"), F.coalesce(F.lead("parts").over(order), none).alias("after"),
+    )
+    depth = F.size("parts")
+    same = F.aggregate(F.sequence(F.lit(0), depth - 1), F.lit(0), lambda n, i: F.when((n == i) & F.coalesce(F.get("before", i) == F.get("parts", i), F.lit(False)), n + 1).otherwise(n))
+    rows = rows.withColumn("same", same).withColumn("parent", (F.size("after") > depth) & (F.slice("after", F.lit(1), depth) == F.col("parts")))
+    indent = lambda n: F.repeat(F.lit(" "), n * 4)
+    open_ = F.filter(F.transform("parts", lambda x, i: F.when((i >= F.col("same")) & (i < depth - 1), F.concat(indent(i), quoted(x), F.lit(":")))), lambda x: x.isNotNull())
+    own = F.size("components") > 0
+    head = F.concat(indent(depth - 1), quoted(F.element_at("parts", -1)), F.when(own | F.col("parent"), ":").otherwise(": []"))
+    data = F.when(own & F.col("parent"), F.array(F.concat(indent(depth), F.lit("data:")))).otherwise(none)
+    deep = depth + F.col("parent").cast("int")
+    items = F.transform("components", lambda c: F.concat(indent(deep), entry_line(c)))
+    return rows.select("filepath", "place", F.concat(F.array_join(F.concat(open_, F.array(head), data, items), "\n"), F.lit("\n")).alias("text"))
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """filepath, text of lines(): documents as values, for readers that take them whole."""
+    listed = F.sort_array(F.collect_list(F.struct("place", "text")))
+    return rows.groupBy("filepath").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
+
+
+def write_documents(rows: DataFrame, output_dir: str | None = None) -> list[str]:
+    """Files written from lines(), sorted: below output_dir under the source's path, else in the source's place; a source
+    that is not YAML is never overwritten, its document goes beside it. The executors write, a file as its lines come in, so
+    paths must be on a file system that they share (in local mode any); the driver sees the names only."""
 
+    def write(batches):
+        name, target, part, out = None, None, None, None
 
-def write_documents(docs: DataFrame, output_dir: str | None = None) -> list[str]:
-    """Files written, sorted: below output_dir under the source's path, else in the source's place; a source that is
-    not YAML is never overwritten, its document goes beside it. The executors write, so paths must be on a file system
-    that they share (in local mode any); the driver sees the names only."""
+        def close():
+            out.close()
+            part.replace(target)
+            path = Path(name)
+            return str(Path(output_dir or ".") / path.with_suffix(target.suffix).relative_to(path.anchor) if output_dir else target.relative_to(here) if not path.is_absolute() else target)
 
-    def write(batches):
         for batch in batches:
             written = []
             for filepath, text in zip(batch.filepath, batch.text, strict=True):
-                path = Path(filepath)
-                target = path.with_suffix(".yaml") if path.suffix not in (".yaml", ".yml") else path
-                if output_dir:
-                    target = Path(output_dir) / target.relative_to(target.anchor)
-                target = Path(here) / target
-                target.parent.mkdir(parents=True, exist_ok=True)
-                part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")  # a task may run twice; whole files are moved into place
-                part.write_text(text, encoding="utf-8")
-                part.replace(target)
-                written.append(str(Path(output_dir or ".") / path.with_suffix(target.suffix).relative_to(path.anchor) if output_dir else target.relative_to(here) if not path.is_absolute() else target))
+                if filepath != name:
+                    if out:
+                        written.append(close())
+                    path = Path(filepath)
+                    target = path.with_suffix(".yaml") if path.suffix not in (".yaml", ".yml") else path
+                    if output_dir:
+                        target = Path(output_dir) / target.relative_to(target.anchor)
+                    name, target = filepath, Path(here) / target
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")  # a task may run twice; whole files are moved into place
+                    out = part.open("w", encoding="utf-8", newline="")
+                out.write(text)
             yield pd.DataFrame({"path": written})
+        if out:
+            yield pd.DataFrame({"path": [close()]})
 
     here = str(Path.cwd())
-    return sorted(r.path for r in docs.mapInPandas(write, "path string").collect())
+    ordered = rows.repartition("filepath").sortWithinPartitions("filepath", "place").select("filepath", "text")
+    return sorted(r.path for r in ordered.mapInPandas(write, "path string").collect())

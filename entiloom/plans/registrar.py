@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,15 +96,19 @@ def derived(reg: Registry, existing: Registry | None = None, load_time: object =
 
 def with_derived(reg: Registry, tree: graph.Hierarchy, period: str = "28 days") -> None:
     """entity_depth, effort_total, priority_product, resolved_impact_cost, as far as they have rows."""
-    out = {"entity_depth": tree.depth()}
+    made: dict[str, Callable[[], DataFrame]] = {"entity_depth": tree.depth}
     if "effort" in reg.tables:
-        out["effort_total"] = derive.effort_total(tree, reg.get("effort"), period)
+        made["effort_total"] = lambda: derive.effort_total(tree, reg.get("effort"), period)
     ids = reg.get("entity_id").select(F.col("value").alias("entity_id"))
     if "requirement" in reg.tables:
         p = reg.get("requirement").select("entity_id", F.col("value").cast("string").try_cast("double").alias("p"))
-        out["priority_product"] = tree.ancestor_product(ids, p)
+        made["priority_product"] = lambda: tree.ancestor_product(ids, p)
     if {"impact", "cost"} & reg.tables.keys():
-        out["resolved_impact_cost"] = derive.impact_cost(reg.get("impact"), reg.get("cost"), reg.tables.get("impact_budget"), reg.tables.get("cost_budget"))
+        made["resolved_impact_cost"] = lambda: derive.impact_cost(reg.get("impact"), reg.get("cost"), reg.tables.get("impact_budget"), reg.tables.get("cost_budget"))
+    if tree.has_tangled:
+        tree.pairs  # noqa: B018  listed once, before several tables ask for them
+    with ThreadPoolExecutor(len(made)) as pool:  # each is a chain of jobs, and doesn't wait for the others
+        out = {n: f.result() for n, f in {n: pool.submit(f) for n, f in made.items()}.items()}
     written = durable_all(out)
     reg.update({n: t for n, t in written.items() if not t.isEmpty()})
 
@@ -211,7 +216,7 @@ class Registrar:
             tables["field"] = own.join(said, ["entity_id", "component_index"], "left_semi")
         if "parent" in tables:
             tables["parent"] = export.parents_left(tables["parent"], reg.get("entity_id")).drop("is_primary")
-        return export.write_documents(export.documents(tables, reg.get("entity_id")), output_dir)
+        return export.write_documents(export.lines(tables, reg.get("entity_id")), output_dir)
 
     def _export(self, reg: Registry, output_dir: str | None = None, collapse_time_dimension: bool = True) -> dict[str, object]:
         return {"written_paths": self.export_manifest(output_dir, collapse_time_dimension)}

@@ -351,7 +351,7 @@ def export_entries(spark, d):
 def exported_documents(spark, d):
     """Documents written for each file, and read again."""
     shop = read(spark, d, "supplier").select(coded("s", "s_suppkey").alias("entity_id"), F.lit(0).cast("bigint").alias("component_index"), F.lit(None).cast("string").alias("modifier"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("title"))
-    docs = export.documents({"shop": shop}, supplier_spine(spark, d))
+    docs = export.documents(export.lines({"shop": shop}, supplier_spine(spark, d)))
     raw = docs.select(F.col("filepath").alias("file_id"), F.lit("yaml").alias("kind"), "text")
     return flat_documents(raw).filter("kind = 'pair'").select("path", "value")
 
@@ -375,7 +375,7 @@ def exported_nested(spark, d):
         "cents": customer.select(whose.alias("entity_id"), index(0), F.lit(None).cast("string").alias("modifier"), cents("c_acctbal").alias("value")),
         "kept": customer.filter(cents("c_acctbal") % 2 == 0).select(whose.alias("entity_id"), index(1), F.lit(None).cast("string").alias("modifier"), F.lit("").alias("value")),
     }
-    docs = export.documents(tables, spine)
+    docs = export.documents(export.lines(tables, spine))
     return flat_documents(docs.select(F.col("filepath").alias("file_id"), F.lit("yaml").alias("kind"), "text")).filter("kind = 'pair'").select("path", "value")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,33 +63,47 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def jdbc_tables(spark: SparkSession, url: str, driver: str | None = None, schema: str | None = None) -> list[str]:
-    """Names of all tables of a database (of one schema; without it, of all that are not the system's own)."""
-    java = spark._jvm.java
+@contextmanager
+def jdbc_link(spark: SparkSession, url: str, driver: str | None = None):
+    """What a database says of itself, while the driver program is connected to it."""
     if driver:
         spark._jvm.org.apache.spark.util.Utils.classForName(driver, True, True)
-    link = java.sql.DriverManager.getConnection(url)
+    link = spark._jvm.java.sql.DriverManager.getConnection(url)
     try:
-        kinds = spark.sparkContext._gateway.new_array(java.lang.String, 1)
-        kinds[0] = "TABLE"
-        found, out = link.getMetaData().getTables(None, schema, "%", kinds), []
-        while found.next():
-            out.append((found.getString("TABLE_SCHEM"), found.getString("TABLE_NAME")))
+        yield link.getMetaData()
     finally:
         link.close()
+
+
+def jdbc_tables(spark: SparkSession, url: str, driver: str | None = None, schema: str | None = None) -> list[str]:
+    """Names of all tables of a database (of one schema; without it, of all that are not the system's own)."""
+    kinds = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 1)
+    kinds[0] = "TABLE"
+    out = []
+    with jdbc_link(spark, url, driver) as told:
+        found = told.getTables(None, schema, "%", kinds)
+        while found.next():
+            out.append((found.getString("TABLE_SCHEM"), found.getString("TABLE_NAME")))
     return sorted(n for s, n in out if schema is not None or not s or not s.upper().startswith(("SYS", "INFORMATION_SCHEMA", "PG_")))
 
 
-def load_jdbc(spark: SparkSession, url: str, names: list[str] | None = None, **options: str) -> dict[str, DataFrame]:
+def quoted(spark: SparkSession, url: str, names: list[str], driver: str | None) -> dict[str, str]:
+    """Names as the database quotes them, so that their case and their blanks stay."""
+    with jdbc_link(spark, url, driver) as told:
+        mark = told.getIdentifierQuoteString().strip()
+    return {n: f"{mark}{n.replace(mark, mark * 2) if mark else n}{mark}" for n in names}
+
+
+def load_jdbc(spark: SparkSession, url: str, names: list[str] | None = None, schema: str | None = None, **options: str) -> dict[str, DataFrame]:
     """Tables of a database by name, all of them without names; with partitionColumn and bounds among the options Spark
     reads in parts."""
-    names = jdbc_tables(spark, url, options.get("driver"), options.get("schema")) if names is None else names
-    told = {k: v for k, v in options.items() if k != "schema"}
-    table = lambda n: n if n.isidentifier() and n.lower() == n else f'"{n}"'  # noqa: E731  a database keeps the case of quoted names
-    return {n: spark.read.format("jdbc").options(url=url, dbtable=table(n), **told).load() for n in names}
+    driver = options.get("driver")
+    names = jdbc_tables(spark, url, driver, schema) if names is None else names
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=t, **options).load() for n, t in quoted(spark, url, names, driver).items()}
 
 
 def save_jdbc(tables: dict[str, DataFrame], url: str, **options: str) -> None:
     """Every table into a database, overwriting; the driver's jar must be on the class path."""
     for name, df in tables.items():
-        df.write.format("jdbc").options(url=url, dbtable=name, **options).mode("overwrite").save()
+        (table,) = quoted(df.sparkSession, url, [name], options.get("driver")).values()
+        df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("overwrite").save()

@@ -193,7 +193,9 @@ def test_tables_in_a_database(spark):
     """Derby, which Spark brings along, in memory."""
     rows = spark.createDataFrame([("a", 1, 2.5), ("b", 2, None)], "entity_id string, component_index bigint, value double")
     url = "jdbc:derby:memory:entiloom;create=true"
-    save_jdbc({"effort": rows}, url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    save_jdbc({"effort": rows, "solution of": rows.select("entity_id")}, url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    every = load_jdbc(spark, url, driver="org.apache.derby.jdbc.EmbeddedDriver")  # finds the tables itself
+    assert set(every) == {"effort", "solution of"} and every["solution of"].count() == 2
     back = load_jdbc(spark, url, ["effort"], driver="org.apache.derby.jdbc.EmbeddedDriver")["effort"]
     assert sorted(tuple(r) for r in back.select("entity_id", "component_index", "value").collect()) == [("a", 1, 2.5), ("b", 2, None)]
 
