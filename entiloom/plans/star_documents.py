@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eav, export, graph, resolve, validate, views
+from ..sources import entity_documents
 from ..sources.manifests import csv_spine, csv_tables, flat_documents
 from ..sources.tables import durable, read, shared_dir
 from .registrar import Registrar
@@ -105,6 +106,19 @@ def python_entities(spark, d):
     return flat_documents(python_documents(spark, d)).filter("kind = 'entity'").select("path")
 
 
+@query(f"""{PAIRS.replace("'parts/' || p_partkey || '.yaml", "'parts/' || p_partkey // 100 || '.yaml")} UNION ALL {SQL["python_pairs"]}""")
+def documents_from_files(spark, d):
+    """YAML and Python documents written to the shared folder by the data source of documents, and read by it again."""
+    folder = f"{shared_dir(spark)}/entiloom/documents-{uuid.uuid4().hex}"
+    entity_documents.register(spark)
+    hundred = F.floor(F.regexp_extract("file_id", "[0-9]+", 0).cast("bigint") / 100)
+    parts = part_documents(spark, d).groupBy(F.concat(F.lit("parts/"), hundred.cast("string"), F.lit(".yaml")).alias("file_id")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    parts.unionByName(python_documents(spark, d).select("file_id", "text")).write.format(entity_documents.NAME).mode("append").save(folder)
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
+    return spark.read.format(entity_documents.NAME).option("base", folder).load(folder).filter("kind = 'pair'").select("path", "value")
+
+
 @query("SELECT c_name AS name, cast(c_nationkey AS VARCHAR) AS place, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, 'n' || s_nationkey, NULL FROM supplier")
 def type_union_align(spark, d):
     """Tables of one type from two sources: columns by name, differing types as text, no row lost."""
