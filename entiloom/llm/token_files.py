@@ -146,28 +146,28 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int, key: s
 
     def run(batches):
         table, shard, block = shared.value, TaskContext.get().partitionId(), 0
-        keys, parts, n = [], [], 0
+        keys, parts, n, begin = [], [], 0, 0
 
         def out():
             control, payload = pack(table[np.concatenate(parts)])
-            row = [[shard], [block], [keys], [[len(p) for p in parts]], [control], [payload]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["shard", "block", "doc_ids", "doc_sizes", "control", "payload"])
+            row = [[shard], [block], [begin], [keys], [[len(p) for p in parts]], [control], [payload]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["shard", "block", "begin", "doc_ids", "doc_sizes", "control", "payload"])
 
         for batch in batches:
             key_type = batch.schema.field(key).type
-            kinds = [pa.int32(), pa.int32(), pa.list_(key_type), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(key_type), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             for k, x in zip(batch.column(key).to_pylist(), batch.column("ids"), strict=True):
                 ids = np.frombuffer(x.as_py(), narrow)
                 if n and n + len(ids) > BLOCK_IDS:
                     yield out()
-                    keys, parts, n, block = [], [], 0, block + 1
+                    keys, parts, n, block, begin = [], [], 0, block + 1, begin + n
                 keys.append(k)
                 parts.append(ids)
                 n += len(ids)
         if parts:
             yield out()
 
-    blocks = ordered.select(key, "ids").mapInArrow(run, f"shard int, block int, doc_ids array<{kind}>, doc_sizes array<int>, control binary, payload binary")
+    blocks = ordered.select(key, "ids").mapInArrow(run, f"shard int, block int, begin bigint, doc_ids array<{kind}>, doc_sizes array<int>, control binary, payload binary")
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -180,17 +180,12 @@ def read_token_files(spark: SparkSession, folder: str, key: str = "doc_id") -> D
         id_of[r.rank] = r.id
     shared = spark.sparkContext.broadcast(id_of)
     total = F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = blocks.select("shard", "block", total.alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = (  # a row for each file: the number of range partitions bounds it
-        sizes.groupBy("shard").agg(F.sum("_n").alias("_n")).select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shard_start"))
-    )
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "block", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_block_start"))
-    located = (
-        blocks.join(F.broadcast(shards), "shard").join(starts, ["shard", "block"])
-        .select((F.col("_shard_start") + F.col("_block_start")).alias("start"), "doc_ids", "doc_sizes", "control", "payload")
+        blocks.groupBy("shard").agg(F.sum(total).alias("_n")).select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shard_start"))
     )
+    # blocks know where they begin in their shard, so ids move nowhere
+    located = blocks.join(F.broadcast(shards), "shard").select((F.col("_shard_start") + F.col("begin")).alias("start"), "doc_ids", "doc_sizes", "control", "payload")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):

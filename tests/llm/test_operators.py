@@ -111,14 +111,20 @@ def test_cached_words_equal_the_library():
     assert [x.tolist() for x in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_token_files_round_trip(spark, tmp_path):
+def test_token_files_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 1)  # a block for each document
     v = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1] * 5)
     control, payload = token_files.pack(v)
     assert token_files.unpack(control, payload, len(v)).tolist() == v.tolist()
     docs = [(i, words(i % 50, i)) for i in (5, 3, 9, 1, 7)] + [(4, None)]
     token_files.write_token_files(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "t"), P.path("word_bpe_49k.json"), 2)
     lib, at = library("word_bpe_49k.json"), 0
-    got = {r.doc_id: r for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect()}
+    blocks = spark.read.parquet(str(tmp_path / "t" / "blocks"))
+    assert blocks.count() > blocks.select("shard").distinct().count() and blocks.filter("begin > 0").count()
+    back = token_files.read_token_files(spark, str(tmp_path / "t"))
+    moved = [x for x in back._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("\n") if "Exchange" in x]
+    assert len(moved) == 3 and sum("BroadcastExchange" in x for x in moved) == 1, moved  # lengths by shard, a row for each; no ids
+    got = {r.doc_id: r for r in back.collect()}
     for i, t in sorted(docs):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         assert (got[i].start, list(struct.unpack(f"<{len(ids)}I", got[i].ids))) == (at, ids)
