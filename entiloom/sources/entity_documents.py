@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.documents import flatten, parse_python, parse_yaml
+from ..functions.documents import flat_rows
 from .manifests import FLAT, RAW
 
 NAME = "entity_documents"
@@ -80,8 +80,7 @@ class Documents:
             if self.form == "text":
                 yield doc, kind, text
                 continue
-            parsed = parse_python(doc, text) if kind == "python" else parse_yaml(text)
-            for at, row in enumerate(flatten(doc, parsed)):
+            for at, row in enumerate(flat_rows(doc, kind, text)):
                 yield (doc, *row, at)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable
+from itertools import islice
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import entity_id, q
-from ..functions.documents import flatten, parse_python, parse_yaml
+from ..functions.documents import flat_rows
 from ..operators.views import stacked
 from .csv_records import records
 
@@ -76,20 +77,26 @@ def raw_documents(spark: SparkSession, paths: str | Iterable[str] | None = None,
 COMPONENTS = "components"
 
 
+#: Rows that a task hands on at once, however many a document has.
+ROWS_AT_ONCE = 10_000
+
+
 def flat_documents(raw: DataFrame) -> DataFrame:
-    """file_id, kind (entity or pair), path, value, seq: every document flattened on the executors, seq in its order."""
+    """file_id, kind (entity or pair), path, value, seq: every document flattened on the executors, seq in its order.
+
+    Documents are dealt to all tasks first: a table of many small texts lies in few files, but its parsing is long."""
 
     names = [x.strip().split(" ")[0] for x in FLAT.split(",")]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, kind, text in zip(batch.file_id, batch.kind, batch.text, strict=True):
-                parsed = parse_python(doc, text or "") if kind == "python" else parse_yaml(text or "")
-                rows += [(doc, *row, i) for i, row in enumerate(flatten(doc, parsed))]
-            yield pd.DataFrame(rows, columns=names).astype({"index": "Int64"})
+            texts = zip(batch.file_id, batch.kind, batch.text, strict=True)
+            rows = ((doc, *row, i) for doc, kind, text in texts for i, row in enumerate(flat_rows(doc, kind, text or "")))
+            while some := list(islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame(some, columns=names).astype({"index": "Int64"})
 
-    return raw.mapInPandas(run, FLAT)
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return raw.repartition(tasks, "file_id").mapInPandas(run, FLAT)
 
 
 def csv_headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
