@@ -113,7 +113,9 @@ def documents_from_files(spark, d):
     entity_documents.register(spark)
     hundred = F.floor(F.regexp_extract("file_id", "[0-9]+", 0).cast("bigint") / 100)
     parts = part_documents(spark, d).groupBy(F.concat(F.lit("parts/"), hundred.cast("string"), F.lit(".yaml")).alias("file_id")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
-    parts.unionByName(python_documents(spark, d).select("file_id", "text")).write.format(entity_documents.NAME).mode("append").save(folder)
+    both = parts.unionByName(python_documents(spark, d).select("file_id", "text"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both.repartition(tasks, "file_id").write.format(entity_documents.NAME).mode("append").save(folder)
     files = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
     return spark.read.format(entity_documents.NAME).option("base", folder).load(folder).filter("kind = 'pair'").select("path", "value")

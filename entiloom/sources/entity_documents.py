@@ -1,8 +1,8 @@
 """Entity documents as a data source of Spark: `spark.read.format("entity_documents").load(folder)`.
 
 Options: path; form, `flat` (the default: rows of manifests.FLAT) or `text` (file_id, kind, text); base, the folder that file
-ids are told from (default: the working directory); bytes, how much a task reads (default 16 MB); settle, the seconds that
-a stream waits before it takes a file for finished (default 1).
+ids are told from (default: the working directory); bytes, how much a task reads (default 16 MB; a file counts 16 KB more
+than it has); settle, the seconds that a stream waits before it takes a file for finished (default 1).
 
 The driver lists names, sizes and times of files, as it does for Spark's own sources; texts are read and flattened by tasks.
 Paths are those that pyarrow knows: local and shared folders, s3://, gs:// and hdfs://.
@@ -25,6 +25,8 @@ from ..functions.documents import flat_rows
 from .manifests import FLAT, RAW
 
 NAME = "entity_documents"
+#: What opening a file costs, as bytes: many small files are more work than their size tells.
+OPENING = 16 << 10
 KINDS = {".yaml": "yaml", ".yml": "yaml", ".py": "python"}
 
 
@@ -64,11 +66,11 @@ class Documents:
         """Neighbours by name together, up to a task's bytes; a larger file alone."""
         out, held = [], 0
         for f in found:
-            if not out or held + f.size > self.most:
+            if not out or held + f.size + OPENING > self.most:
                 out.append(Files([]))
                 held = 0
             out[-1].names.append(f.path)
-            held += f.size
+            held += f.size + OPENING
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -118,14 +120,16 @@ class Sink(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         files, where = opened(self.path)
-        n = 0
+        n, made = 0, set()
         for row in rows:
             doc, text = row[self.at[0]], row[self.at[1]]
             if not doc or ".." in Path(doc).parts:
                 raise ValueError(f"no name of a file below {self.path}: {doc!r}")
             target = f"{where}/{doc.lstrip('/')}"
             folder = target.rpartition("/")[0]
-            files.create_dir(folder, recursive=True)
+            if folder not in made:
+                files.create_dir(folder, recursive=True)
+                made.add(folder)
             part = f"{folder}/.{uuid.uuid4().hex}"
             with files.open_output_stream(part) as out:
                 out.write((text or "").encode())

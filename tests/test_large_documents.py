@@ -7,6 +7,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from entiloom.functions.documents import flat_rows, flatten, separable
+from entiloom.sources import entity_documents
 from entiloom.sources.manifests import flat_documents
 
 TEXTS = {
@@ -58,3 +59,11 @@ def test_documents_of_one_file_are_parsed_by_all_tasks(spark):
     rows = flat_documents(docs)
     tasks = {r.p: r.n for r in rows.filter("kind = 'pair'").groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "n").collect()}
     assert len(tasks) == 4 and max(tasks.values()) < 200 and sum(tasks.values()) == 400
+
+
+def test_many_small_files_are_read_and_written_by_several_tasks(spark, tmp_path):
+    entity_documents.register(spark)
+    docs = spark.range(2000).select(F.format_string("d/%d.yaml", "id").alias("file_id"), F.format_string("e%d:\n- x: %d\n", "id", "id").alias("text"))
+    docs.write.format("entity_documents").mode("append").save(str(tmp_path / "docs"))
+    rows = spark.read.format("entity_documents").load(str(tmp_path / "docs"))
+    assert rows.rdd.getNumPartitions() == 2 and rows.filter("kind = 'pair'").count() == 2000  # some 1,000 files a task, small as they are
