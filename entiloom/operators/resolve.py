@@ -7,51 +7,96 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import durable
 
-#: Characters of the grams that references and paths are matched by.
-GRAM = 3
+#: Characters of a reference's head that places in paths are matched by, first and, for longer references, again.
+HEAD, LONG_HEAD = 3, 8
 
 
-def grams(text: str, size: Column) -> Column:
-    """The different strings of so many characters in a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(F.col(text), i, size)))
+def heads(refs: DataFrame, size: int, longest: int, name: str) -> DataFrame:
+    """head, n: the first so many characters of references (all of a shorter one), and each length that references with
+    this head have, those above `longest` as one more than it."""
+    return durable(refs.select(F.left("ref", F.lit(size)).alias("head"), F.least(F.length("ref"), F.lit(longest + 1)).alias("n")).distinct(), name)
+
+
+def numbered(paths: DataFrame) -> DataFrame:
+    """path, eid, num, several: paths (path, eid) with a number for each entity, and whether it has more paths."""
+    rows, same = durable(paths.withColumn("num", F.monotonically_increasing_id()), "paths"), Window.partitionBy("eid")
+    return durable(rows.select("path", "eid", F.min("num").over(same).alias("num"), (F.count("*").over(same) > 1).alias("several")), "paths-numbered")
+
+
+def candidates(refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """ref, eid, num: stretches of the paths (numbered) that may be a ref (non-empty), each once for an entity. A stretch has
+    the head and the length of a ref; whether it is one, an equi-join tells.
+
+    Places of a path are looked up by the heads that start there, and give one stretch for each length that references with
+    this head have. So the work follows the paths and the lengths, however many references share a part."""
+    refs = refs.select("ref")
+    first = heads(refs, HEAD, LONG_HEAD, "heads")
+    lengths = [r.n for r in first.select("n").distinct().collect()]  # nine at most
+    sizes = F.array(*[F.lit(n) for n in sorted({min(n, HEAD) for n in lengths})]).cast("array<int>")
+    long_heads = heads(refs.filter(F.length("ref") > LONG_HEAD), LONG_HEAD, (1 << 31) - 2, "long-heads") if LONG_HEAD + 1 in lengths else None
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = F.col("at") + F.col("n") - 1 <= F.length("path")
+
+    def found(some: DataFrame) -> DataFrame:
+        starts = some.repartition(tasks).select("path", "eid", "num", F.explode(F.sequence(F.lit(1), F.length("path"))).alias("at")).select("*", F.explode(sizes).alias("size"))
+        starts = starts.filter(F.col("at") + F.col("size") - 1 <= F.length("path"))
+        places = starts.select("path", "eid", "num", "at", F.substr("path", "at", "size").alias("head"))
+        cut = places.join(first.filter(F.col("n") <= LONG_HEAD), "head").filter(fits)
+        if long_heads is not None:
+            far = places.join(first.filter(F.col("n") > LONG_HEAD), "head").select("path", "eid", "num", "at", F.substr("path", "at", F.lit(LONG_HEAD)).alias("head"))
+            cut = cut.unionByName(far.join(long_heads, "head").filter(fits))
+        # a path that holds a stretch twice tells it at its first place
+        return cut.withColumn("ref", F.substr("path", "at", "n")).filter(F.position("ref", "path") == F.col("at")).select("ref", "eid", "num")
+
+    paths = paths.filter("path != ''")
+    return found(paths.filter("not several")).unionAll(found(paths.filter("several")).distinct())
 
 
 def containing(refs: DataFrame, paths: DataFrame) -> DataFrame:
-    """ref, eid of all paths (path, eid) that contain a ref (non-empty).
-
-    Each ref is looked up by its rarest gram of three characters (a shorter ref is a gram itself), and confirmed. Paths
-    keep those grams only that a ref has. An equi-join, so the work follows the hits of rare grams, not refs times paths."""
-    size = F.least(F.length("ref"), F.lit(GRAM))
-    wanted = durable(refs.select("ref", F.explode(grams("ref", size)).alias("gram")), "ref-grams")
-    sizes = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # three at most
-    if not sizes:
-        return refs.select("ref", F.lit(None).cast("string").alias("eid")).limit(0)
-    of = F.flatten(F.array(*[F.when(F.length("path") >= n, grams("path", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)]))
-    index = durable(paths.select("path", "eid", F.explode(of).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "path-grams")
-    often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    # a gram that no path has rules its ref out
-    least = wanted.join(often, "gram", "left").groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    rare = least.filter("least.n > 0").select("ref", F.col("least.gram").alias("gram"))
-    return rare.join(index, "gram").filter(F.col("path").contains(F.col("ref"))).select("ref", "eid").distinct()
+    """ref, eid of all paths (path, eid) that contain a ref (distinct, non-empty)."""
+    return candidates(refs, numbered(paths)).join(refs.select("ref"), "ref", "left_semi").select("ref", "eid")
+
+
+def counted_inside(refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """ref, eid, n_candidates of the refs (distinct, non-empty) that paths (path, eid) contain; eid where there is a single
+    one. Stretches are counted before they meet the refs, so a ref that most paths contain is a row like others."""
+    places = numbered(paths)
+    counts = candidates(refs, places).groupBy("ref").agg(F.count("eid").alias("n_candidates"), F.min("num").alias("num"))
+    counts = durable(counts.join(refs.select("ref"), "ref", "left_semi"), "refs-inside")
+    one = counts.filter("n_candidates = 1").join(places.select("num", "eid").distinct(), "num").select("ref", "eid", "n_candidates")
+    return one.unionByName(counts.filter("n_candidates != 1").select("ref", F.lit(None).cast("string").alias("eid"), "n_candidates"))
+
+
+def named_in(spine: DataFrame) -> DataFrame:
+    """ref, eid, tier of all ids (1) and aliases (2)."""
+    named = spine.select(F.col("value").alias("ref"), F.col("value").alias("eid"), F.lit(1).alias("tier"))
+    return named.unionAll(spine.filter("alias is not null").select("alias", "value", F.lit(2))).distinct()
+
+
+def paths_of(spine: DataFrame) -> DataFrame:
+    return spine.filter("path is not null").select("path", F.col("value").alias("eid")).distinct()
 
 
 def matches(refs: DataFrame, spine: DataFrame) -> DataFrame:
     """ref, eid, tier of the first of three searches that has any hit: 1 id, 2 alias, 3 part of the path. Ids and aliases
     are looked up in one equi-join; the search in paths sees only what they leave."""
     asked = refs.filter("ref is not null and ref != ''").select("ref").distinct()
-    named = spine.select(F.col("value").alias("ref"), F.col("value").alias("eid"), F.lit(1).alias("tier")).unionAll(spine.filter("alias is not null").select("alias", "value", F.lit(2)))
     best = F.min("tier").over(Window.partitionBy("ref"))  # the hits of one name
-    found = durable(asked.join(named.distinct(), "ref", "left").withColumn("best", best).filter("tier is null or tier = best").select("ref", "eid", "tier"), "refs-named")
-    paths = spine.filter("path is not null").select("path", F.col("value").alias("eid")).distinct()
-    inside = containing(found.filter("tier is null").select("ref"), paths).withColumn("tier", F.lit(3))
+    found = durable(asked.join(named_in(spine), "ref", "left").withColumn("best", best).filter("tier is null or tier = best").select("ref", "eid", "tier"), "refs-named")
+    inside = containing(found.filter("tier is null").select("ref"), paths_of(spine)).withColumn("tier", F.lit(3))
     return found.filter("tier is not null").unionByName(inside)
 
 
 def resolve(refs: DataFrame, spine: DataFrame) -> DataFrame:
     """ref, eid, n_candidates for each distinct ref (column ref) with a hit; eid where there is a single one. Blank and
-    null refs have none."""
-    found = matches(refs, spine).groupBy("ref").agg(F.count_distinct("eid").alias("n_candidates"), F.min("eid").alias("eid"))
-    return found.select("ref", F.when(F.col("n_candidates") == 1, F.col("eid")).alias("eid"), "n_candidates")
+    null refs have none. As in matches(), but hits are counted for each name before refs meet them."""
+    asked = refs.filter("ref is not null and ref != ''").select("ref").distinct()
+    tier = lambda n: F.when(F.col("tier") == n, F.col("eid"))
+    names = named_in(spine).groupBy("ref").agg(F.count(tier(1)).alias("ids"), F.count(tier(2)).alias("aliases"), F.min(tier(2)).alias("low"))
+    found = durable(asked.join(names, "ref", "left"), "refs-named")
+    eid = F.when(F.col("ids") > 0, F.col("ref")).when(F.col("aliases") == 1, F.col("low"))
+    named = found.filter("ids is not null").select("ref", eid.alias("eid"), F.when(F.col("ids") > 0, F.lit(1)).otherwise(F.col("aliases")).cast("bigint").alias("n_candidates"))
+    return named.unionByName(counted_inside(found.filter("ids is null"), paths_of(spine)))
 
 
 def references(tables: dict[str, DataFrame], fields: dict[str, list[str]]) -> DataFrame | None:

@@ -62,6 +62,28 @@ def test_same_as_chains_and_errors(spark):
             resolve.same_as_map(bad, spine).collect()
 
 
+def test_parts_of_paths(spark):
+    """Odd texts against plain Python: repeats inside a path, ends, marks, wide characters, long shared heads, several paths."""
+    refs = ["a", "aa", "aaa", "b1", "é😀", "😀", "%", "_", "\\", "goals.alpha.x1", "goals.alpha.x12", "goals.alpha", "goals.al", "goals.alp", "nowhere", "goals.beta.x1", "z"]
+    spots = [("aaaa", "1"), ("", "2"), ("a", "3"), ("xb", "4"), ("xb1", "4"), ("b1b1", "4"), ("é😀", "5"), ("50%", "6"), ("c\\d_", "7"), ("f:goals.alpha.x12", "8"), ("f:goals.alpha.x1", "9"), ("goals.goals.alpha.x1", "9"), ("f:goals.alp", "10"), ("xb1", "11")]
+    asked, paths = spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame(spots, "path string, eid string")
+    expected = {r: {e for p, e in spots if r in p} for r in refs}
+    assert sorted(tuple(r) for r in resolve.containing(asked, paths).collect()) == sorted((r, e) for r, hits in expected.items() for e in hits)
+    spine = paths.select(F.col("eid").alias("value"), "path", F.lit(None).cast("string").alias("alias")).filter("path != ''")
+    odd = asked.unionAll(spark.createDataFrame([("",), (None,), ("aa",)], "ref string"))
+    got = {r.ref: (r.eid, r.n_candidates) for r in resolve.resolve(odd, spine).collect()}
+    assert got == {r: (min(hits) if len(hits) == 1 else None, len(hits)) for r, hits in expected.items() if hits}
+    assert resolve.resolve(asked.limit(0), spine).count() == 0
+
+
+def test_work_of_parts_of_paths_follows_the_paths(spark):
+    """Every gram of three characters is shared by hundreds of references and paths; stretches that meet references are few."""
+    n = 4000
+    refs = spark.range(n).select(F.lpad((F.col("id") * 7919 % 100_000).cast("string"), 5, "1").alias("ref"))
+    paths = spark.range(n).select(F.concat(F.lit("item#0"), F.lpad((F.col("id") * 104_729 % 1_000_000).cast("string"), 6, "0")).alias("path"), F.col("id").cast("string").alias("eid"))
+    assert resolve.candidates(refs, resolve.numbered(paths)).count() <= 3 * n  # places of five digits in a path
+
+
 def test_merge_aligns_columns_and_types(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([("1", 2.0), ("1", 2.0)], "k string, w double")
     assert {tuple(r) for r in merged(a, b).collect()} == {("1", "x", None), ("1", None, 2.0)} and merged(a, b).count() == 2
