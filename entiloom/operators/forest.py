@@ -71,7 +71,9 @@ class Hierarchy:
         while n["open"] not in (0, before):
             self.levels.append(state.filter("up is not null").select("entity_id", "up"))
             above = state.select(F.col("entity_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("tangled").alias("knot"))
-            higher = state.join(above, "up", "left").select("entity_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("tangled") | F.coalesce("knot", F.lit(False))).alias("tangled"))
+            # what has arrived waits outside of the join: nulls would all be joined by one task
+            climbing, arrived = state.filter("up is not null"), state.filter("up is null")
+            higher = climbing.join(above, "up", "left").select("entity_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("tangled") | F.coalesce("knot", F.lit(False))).alias("tangled")).unionByName(arrived)
             before, (state, n) = n["open"], counted(higher, "climb", **still)
         # a round that ends no way upwards has only ways into cycles left
         knot = F.col("tangled") | F.col("up").isNotNull()
@@ -126,7 +128,7 @@ class Hierarchy:
         held = start
         for level in self.levels:
             upper = held.select(F.col("entity_id").alias("up"), F.col("v").alias("w"))
-            rows = held.join(level, "entity_id", "left").join(upper, "up", "left")
+            rows = held.join(level.join(upper, "up").select("entity_id", "w"), "entity_id", "left")  # no nulls among keys
             held = durable(rows.select("entity_id", F.when(F.col("w").isNull(), F.col("v")).otherwise(join(F.col("v"), F.col("w"))).alias("v")), "held")
         return held
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import double_to_long, q, to_boolean, to_double, to_long
 from ..functions.sums import sum_value
+from ..sources.tables import empty
 
 #: Declared types that are coerced, and what to.
 COERCED = {"str": "string", "bool": "boolean", "int": "bigint", "float": "double", "rating": "double"}
@@ -42,10 +43,12 @@ def as_bool(x: object, otherwise: bool) -> bool:
 
 def compile_rules(field: DataFrame, spine: DataFrame) -> dict[str, list[FieldRule]]:
     """Rules of each component type: the fields of the entities whose key is the type's name; the first definition of a
-    name counts. What is collected are field definitions, as many as the schema has."""
+    name counts. What is collected are field definitions, as many as the schema has, so they are what is sent to the
+    entities, which are scanned once and not shuffled."""
     want = [c if c in field.columns else f"null as {c}" for c in ("type", "nullable", "default", "range")]
     owned = field.selectExpr("entity_id", "component_index", "value", *[w.replace("default", "`default`").replace("range", "`range`") for w in want])
-    rows = owned.join(spine.select(F.col("value").alias("entity_id"), "entity_key", "path").distinct(), "entity_id").filter("value is not null and value != '' and entity_key is not null")
+    known = spine.filter("entity_key is not null").select(F.col("value").alias("entity_id"), "entity_key", "path")
+    rows = known.join(F.broadcast(owned.filter("value is not null and value != ''")), "entity_id")
     out: dict[str, dict[str, FieldRule]] = {}
     for r in rows.orderBy("entity_key", "path", "component_index", "value").collect():
         rules = out.setdefault(r.entity_key, {})
@@ -106,7 +109,7 @@ def violations(table: DataFrame, component_type: str, rules: list[FieldRule]) ->
         if rule.type == "str" and isinstance(rule.range, list):
             found.append(F.when(col.isNotNull() & ~col.isin([str(x) for x in rule.range]), told(rule.name, col.cast("string"), "range")))
     if not found:
-        return table.sparkSession.createDataFrame([], VIOLATION)
+        return empty(table.sparkSession, VIOLATION)
     rows = table.select("entity_id", F.col("component_index").cast("bigint"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
     return rows.select("entity_id", "component_index", F.lit(component_type).alias("component_type"), "x.field", "x.value", "x.error_type")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..operators import audit, derive, eav, export, graph, resolve, validate
 from ..operators.views import current, stacked
 from ..sources import manifests
 from ..sources.store import Store
-from ..sources.tables import durable, durable_all
+from ..sources.tables import durable, durable_all, empty
 from . import upkeep
 from .registry import Registry
 
@@ -30,16 +31,18 @@ def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bo
     flat = durable(manifests.flat_documents(texts), "flat")
     kv = durable(eav.key_value(flat.filter("kind = 'pair'")), "key-value", by="component_type")  # a type's pivot reads its own files
     spine = eav.spine(flat.filter("kind = 'entity'")).unionByName(manifests.csv_spine(spark, paths))
-    types = eav.component_types(kv)
-    tables = durable_all({t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")})
+    pivots = {t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")}
+    tables = durable_all({"entity_id": spine, "component_type": eav.component_types(kv), **pivots})  # rules, edges and checks read them often
+    spine, types = tables.pop("entity_id"), tables.pop("component_type")
     for name, rows in manifests.csv_tables(spark, paths).items():
         tables[name] = stacked(tables[name], rows) if name in tables else rows
         types = types.unionByName(rows.select("entity_id", "component_index", F.lit(name).alias("component_type"), "modifier", F.lit(False).alias("derived"), F.lit(False).alias("skip_on_export")))
     return Registry(spark, {"entity_id": spine, "component_type": types, **tables})
 
 
-def validated(reg: Registry, existing: Registry | None = None) -> Registry:
-    """Types coerced, violations in invalid_field, types that are declared but have no rows known as empty."""
+def validated(reg: Registry, existing: Registry | None = None, last: bool = False) -> Registry:
+    """Types coerced, violations in invalid_field, types that are declared but have no rows known as empty. last: coerced
+    tables are written, so that they and their violations are worked out once."""
     spine = reg.get("entity_id")
     old = existing.rules() if existing is not None and "field" in existing.tables else {}
 
@@ -52,14 +55,13 @@ def validated(reg: Registry, existing: Registry | None = None) -> Registry:
     if "field" in rules and "field" in reg.tables:
         reg.update({"field": durable(validate.coerce(reg.get("field"), rules["field"]), "field")})
         rules = rules_now()
-    broken = reg.spark.createDataFrame([], validate.VIOLATION)
-    done = {}
-    for name, table in reg.tables.items():
-        if name in rules and name not in ("entity_id", "component_type", "invalid_field"):
-            done[name] = validate.coerce(table, rules[name])
-            broken = broken.unionByName(validate.violations(done[name], name, rules[name]))
-    reg.update({**done, "invalid_field": broken})
-    tagged = reg.get("component_type").filter("component_type = 'component_type'").join(spine, F.col("entity_id") == F.col("value")).select("entity_key").distinct()
+    done = {n: validate.coerce(t, rules[n]) for n, t in reg.tables.items() if n in rules and n not in ("entity_id", "component_type", "invalid_field")}
+    if last:
+        done = durable_all(done)
+    broken = [validate.violations(t, n, rules[n]) for n, t in done.items()]
+    reg.update({**done, "invalid_field": reduce(DataFrame.unionByName, broken, empty(reg.spark, validate.VIOLATION))})
+    tags = reg.get("component_type").filter("component_type = 'component_type'").select("entity_id").distinct()
+    tagged = spine.join(F.broadcast(tags), F.col("entity_id") == F.col("value")).select("entity_key").distinct()  # schema rows
     for name in {*rules, *[r.entity_key for r in tagged.collect()]} - reg.tables.keys():
         reg.declare(name, rules.get(name, []))
     return reg
@@ -91,7 +93,7 @@ def derived(reg: Registry, existing: Registry | None = None, load_time: object =
         known = lambda n: reg.time_field(n) or (existing.time_field(n) if existing is not None else None)
         reg.update({n: derive.time_filled(reg.get(n), f, load_time) for n in reg.component_types if (f := known(n))})
     with_derived(reg, tree, period)
-    return validated(reg, existing)
+    return validated(reg, existing, last=True)
 
 
 def with_derived(reg: Registry, tree: graph.Hierarchy, period: str = "28 days") -> None:
@@ -177,7 +179,7 @@ class Registrar:
             return self._store(new, existing, period)
         self.registry.merge(new)
         changed = new.tables.keys()
-        self.registry.update(durable_all({n: t for n, t in self.registry.tables.items() if n in changed}))
+        self.registry.update(durable_all({n: t for n, t in self.registry.tables.items() if n in changed and not hasattr(t, "durable_path")}))
         if not first:
             with_derived(self.registry, graph.Hierarchy(self.registry.get("parent")), period)
 

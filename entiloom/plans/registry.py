@@ -14,7 +14,7 @@ from ..operators import views
 from ..operators.resolve import resolve
 from ..operators.validate import FieldRule, compile_rules, empty_table
 from ..sources.store import Store
-from ..sources.tables import load_tables
+from ..sources.tables import empty, load_tables
 
 
 class Registry:
@@ -50,7 +50,7 @@ class Registry:
         try:
             return self.known(name)
         except KeyError:
-            return self.spark.createDataFrame([], "entity_id string, value string")
+            return empty(self.spark, "entity_id string, value string")
 
     def view(self, wanted: str | Iterable[str]) -> DataFrame:
         return views.view(wanted, self.known)
@@ -64,9 +64,9 @@ class Registry:
     def time_field(self, name: str) -> str | None:
         """The type's field that orders versions; several raise ValueError."""
         if not self._times and {"field", "entity_id"} <= self.tables.keys() and "time_dimension" in self.tables["field"].columns:
-            spine = self.tables["entity_id"].select(F.col("value").alias("entity_id"), "entity_key").distinct()
-            marked = self.tables["field"].filter(F.col("time_dimension").cast("string").try_cast("boolean"))
-            for r in marked.join(spine, "entity_id").select("entity_key", F.col("value").alias("f")).distinct().collect():  # schema rows
+            spine = self.tables["entity_id"].select(F.col("value").alias("entity_id"), "entity_key")
+            marked = self.tables["field"].filter(F.col("time_dimension").cast("string").try_cast("boolean")).select("entity_id", F.col("value").alias("f"))
+            for r in spine.join(F.broadcast(marked), "entity_id").select("entity_key", "f").distinct().collect():  # schema rows
                 self._times[r.entity_key] = f"{self._times[r.entity_key]}, {r.f}" if r.entity_key in self._times else r.f
             self._times.setdefault("", None)
         found = self._times.get(name)

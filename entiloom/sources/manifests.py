@@ -16,6 +16,7 @@ from ..functions.columns import entity_id, q
 from ..functions.documents import flat_rows
 from ..operators.views import stacked
 from .csv_records import records
+from .tables import empty
 
 RAW = "file_id string, kind string, text string"
 FLAT = "file_id string, kind string, path string, owner string, spine_path string, index bigint, type string, modifier string, field string, value string, seq bigint"
@@ -142,6 +143,6 @@ def csv_spine(spark: SparkSession, paths: str | Iterable[str] | None) -> DataFra
     if where:
         names = spark.read.format("binaryFile").options(**found_below((".csv",))).load(where).select(file_id(F.col("path")).alias("file_id"))  # contents stay unread
     else:
-        names = spark.createDataFrame([], "file_id string")
+        names = empty(spark, "file_id string")
     stem = F.regexp_extract("file_id", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return names.select(entity_id(F.col("file_id")).alias("value"), F.concat_ws(":", "file_id", stem).alias("path"), stem.alias("alias"), stem.alias("entity_key"), F.col("file_id").alias("filepath"))

@@ -14,6 +14,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, which the optimizer knows: unions leave it out, where a plain empty table brings tasks of its own."""
+    return spark.createDataFrame([], schema).filter("false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, in local mode, a temporary folder."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

@@ -170,3 +170,30 @@ def test_empty_hierarchy(spark):
     assert tree.depth().collect() == [] and tree.intervals().collect() == [] and forest.closure(edges(spark, [])).collect() == []
     facts = spark.createDataFrame([("a", 2.0)], "entity_id string, value double")
     assert [tuple(r) for r in tree.roll_up(facts, []).collect()] == [("a", 2.0)]
+
+
+def test_what_has_arrived_is_not_joined_by_one_task(spark, monkeypatch):
+    """Roots and finished ways have no ancestor to look up; as null keys of a join they would meet in one partition."""
+    most, write = collections.defaultdict(list), forest.durable
+
+    def seen(df, name="step", by=None):
+        if name in ("climb", "held"):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            most[name].append(max(sizes) / sum(sizes))
+        return write(df, name, by)
+
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(forest, "durable", seen)
+        table = edges(spark, [(f"p{i}", f"c{i}") for i in range(400)])
+        tree = Hierarchy(table)
+        ids = tree.nodes.select("entity_id")
+        got = {r.entity_id: r.priority_product for r in tree.ancestor_product(ids, ids.withColumn("p", F.lit(0.5))).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {f"p{i}": 0.5 for i in range(400)} | {f"c{i}": 0.25 for i in range(400)}
+    assert most["climb"] and most["held"] and max(most["climb"] + most["held"]) < 0.5

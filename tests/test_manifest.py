@@ -4,6 +4,7 @@ import pytest
 
 from entiloom import cli
 from entiloom.functions.documents import arithmetic, docstring_parts, flatten, parse_python, parse_yaml
+from entiloom.plans import registrar
 from entiloom.plans.registrar import Registrar
 from entiloom.sources.manifests import apart, csv_tables, flat_documents, raw_documents
 from entiloom.sources.tables import load_jdbc, save_jdbc
@@ -225,3 +226,14 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])[0]["value"] == 0.5
     assert cli.main(["describe-format"]) == 0
     assert "work_state" in capsys.readouterr().out
+
+
+def test_what_rules_and_checks_read_often_is_written_once(spark, monkeypatch):
+    """The spine and the types' tables are worked out once, and types without rules bring no tasks to the violations."""
+    new = registrar.loaded(spark, yaml={"a.yaml": "a:\n    - requirement: 0.5\n"})
+    assert hasattr(new.get("entity_id"), "durable_path") and hasattr(new.get("component_type"), "durable_path")
+    written, write = [], registrar.durable_all
+    monkeypatch.setattr(registrar, "durable_all", lambda tables, at_once=8: written.extend(tables) or write(tables, at_once))
+    done = registrar.validated(new, last=True)
+    assert "requirement" in written and hasattr(done.get("requirement"), "durable_path")
+    assert "ExistingRDD" not in done.get("invalid_field")._jdf.queryExecution().toString()
