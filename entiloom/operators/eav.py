@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import alias_of, entity_id, file_of, key_of, q, truthy
+from ..sources.tables import collected
 
 META = ("entity_id", "component_index", "modifier")
 
@@ -33,16 +34,22 @@ def split_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def key_value(parts: DataFrame) -> DataFrame:
+def key_value(parts: DataFrame, *also: str) -> DataFrame:
     """The long table: entity_id, entity_key, entity_path, filepath, component_index, component_type, modifier,
-    spine_path, field (`value` for a plain one), value, seq. parts: rows as flatten() and split_pairs() give them."""
+    spine_path, field (`value` for a plain one), value, seq, and also these columns. parts: rows as flatten() and split_pairs() give them."""
     owner = F.col("owner")
     named = {"entity_path": owner, "component_index": F.col("index"), "component_type": F.col("type"), "field": F.coalesce("field", F.lit("value"))}
     made = {"entity_id": entity_id(owner), "entity_key": key_of(owner), "filepath": file_of(owner)}
-    kept = {c: F.col(c) for c in ("modifier", "spine_path", "value", "seq")}
+    kept = {c: F.col(c) for c in ("modifier", "spine_path", "value", "seq", *also)}
     return parts.select(*[c.alias(n) for n, c in (made | named | kept).items()])
 
 
+def long_rows(flat: DataFrame) -> DataFrame:
+    """key_value() of flattened documents with the column kind: their pairs, and a row without a type for each entity,
+    whose path is entity_path. So both are told in one pass."""
+    return key_value(flat.withColumn("owner", F.coalesce("owner", "path")), "kind")
+
+
 def component_types(kv: DataFrame) -> DataFrame:
     """One row for each instance: entity_id, component_index, component_type, modifier, derived, skip_on_export; the flags
     come from component_type entries of the entity that has the type's name."""
@@ -54,9 +61,9 @@ def component_types(kv: DataFrame) -> DataFrame:
 
 def fields_by_type(kv: DataFrame) -> dict[str, list[str]]:
     """Field names of each type, in order of appearance; bounded by the schema, not by the rows."""
-    rows = kv.groupBy("component_type", "field").agg(F.min("seq").alias("seq")).orderBy("component_type", "seq", "field").collect()
+    rows = kv.groupBy("component_type", "field").agg(F.min("seq").alias("seq"))
     out: dict[str, list[str]] = {}
-    for r in rows:
+    for r in collected(rows, "component_type", "seq", "field"):
         out.setdefault(r.component_type, []).append(r.field)
     return out
 

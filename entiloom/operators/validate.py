@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import double_to_long, q, to_boolean, to_double, to_long
 from ..functions.sums import sum_value
-from ..sources.tables import empty
+from ..sources.tables import collected, empty
 
 #: Declared types that are coerced, and what to.
 COERCED = {"str": "string", "bool": "boolean", "int": "bigint", "float": "double", "rating": "double"}
@@ -50,7 +50,7 @@ def compile_rules(field: DataFrame, spine: DataFrame) -> dict[str, list[FieldRul
     known = spine.filter("entity_key is not null").select(F.col("value").alias("entity_id"), "entity_key", "path")
     rows = known.join(F.broadcast(owned.filter("value is not null and value != ''")), "entity_id")
     out: dict[str, dict[str, FieldRule]] = {}
-    for r in rows.orderBy("entity_key", "path", "component_index", "value").collect():
+    for r in collected(rows, "entity_key", "path", "component_index", "value"):
         rules = out.setdefault(r.entity_key, {})
         rules.setdefault(str(r["value"]), FieldRule(str(r["value"]), r["type"] or None, as_bool(r["nullable"], True), None if r["default"] in (None, "") else r["default"], parse_range(r["range"])))
     return {k: list(v.values()) for k, v in out.items()}

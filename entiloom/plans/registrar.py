@@ -28,9 +28,10 @@ def loaded(spark: SparkSession, paths=None, yaml=None, python=None, builtins: bo
     texts = manifests.raw_documents(spark, paths, yaml, python, builtins)
     if raw is not None:
         texts = texts.unionByName(raw.select("file_id", "kind", "text"))
-    flat = durable(manifests.flat_documents(texts), "flat")
-    kv = durable(eav.key_value(flat.filter("kind = 'pair'")), "key-value", by="component_type")  # a type's pivot reads its own files
-    spine = eav.spine(flat.filter("kind = 'entity'")).unionByName(manifests.csv_spine(spark, paths))
+    flat = durable(eav.long_rows(manifests.flat_documents(texts)), "flat", by="component_type")  # a type's pivot reads its own files
+    kv = flat.filter("kind = 'pair'").drop("kind")
+    named = flat.filter("component_type is null and kind = 'entity'").select(F.col("entity_path").alias("path"))
+    spine = eav.spine(named).unionByName(manifests.csv_spine(spark, paths))
     pivots = {t: eav.pivot(kv, t, fields) for t, fields in eav.fields_by_type(kv).items() if t not in ("entity_id", "component_type")}
     tables = durable_all({"entity_id": spine, "component_type": eav.component_types(kv), **pivots})  # rules, edges and checks read them often
     spine, types = tables.pop("entity_id"), tables.pop("component_type")
@@ -60,8 +61,8 @@ def validated(reg: Registry, existing: Registry | None = None, last: bool = Fals
         done = durable_all(done)
     broken = [validate.violations(t, n, rules[n]) for n, t in done.items()]
     reg.update({**done, "invalid_field": reduce(DataFrame.unionByName, broken, empty(reg.spark, validate.VIOLATION))})
-    tags = reg.get("component_type").filter("component_type = 'component_type'").select("entity_id").distinct()
-    tagged = spine.join(F.broadcast(tags), F.col("entity_id") == F.col("value")).select("entity_key").distinct()  # schema rows
+    tags = reg.get("component_type").filter("component_type = 'component_type'").select(F.col("entity_id").alias("value"))
+    tagged = spine.join(F.broadcast(tags), "value", "left_semi").select("entity_key")  # schema rows
     for name in {*rules, *[r.entity_key for r in tagged.collect()]} - reg.tables.keys():
         reg.declare(name, rules.get(name, []))
     return reg
@@ -87,12 +88,17 @@ def derived(reg: Registry, existing: Registry | None = None, load_time: object =
     if "description" in reg.tables:
         text["description"] = ["value"]
     reg.update({"parent": edges, **{n: derive.stripped(reg.get(n), fields) for n, fields in text.items() if fields}})
-    if "field" in reg.tables:
-        reg.update({"field": durable(graph.inherited(reg.get("field"), edges, tree), "derived-field")})
+    with ThreadPoolExecutor(1) as pool:  # inheritance is a chain of small jobs; what doesn't ask for it runs beside it
+        own = reg.tables.get("field")
+        field = None if own is None else pool.submit(lambda: durable(graph.inherited(own, edges, tree), "derived-field"))
+        if load_time is None:
+            with_derived(reg, tree, period)
+        if field is not None:
+            reg.update({"field": field.result()})
     if load_time is not None:
         known = lambda n: reg.time_field(n) or (existing.time_field(n) if existing is not None else None)
         reg.update({n: derive.time_filled(reg.get(n), f, load_time) for n in reg.component_types if (f := known(n))})
-    with_derived(reg, tree, period)
+        with_derived(reg, tree, period)
     return validated(reg, existing, last=True)
 
 

@@ -8,7 +8,7 @@ from itertools import islice
 from pathlib import Path
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,22 +82,28 @@ COMPONENTS = "components"
 ROWS_AT_ONCE = 10_000
 
 
+def parsing_tasks(spark: SparkSession) -> int:
+    """As many tasks as a shuffle has partitions; where that is more than four for each core, fewer, as long as a task gets
+    no more than eight partitions' documents. A task sets its Python worker up for longer than it parses some hundred."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(4 * spark.sparkContext.defaultParallelism, -(-most // 8)))
+
+
 def flat_documents(raw: DataFrame) -> DataFrame:
     """file_id, kind (entity or pair), path, value, seq: every document flattened on the executors, seq in its order.
 
-    Documents are dealt to all tasks first: a table of many small texts lies in few files, but its parsing is long."""
+    Documents are dealt out first: a table of many small texts lies in few files, but its parsing is long."""
 
-    names = [x.strip().split(" ")[0] for x in FLAT.split(",")]
+    fields = pa.schema([(name, pa.int64() if kind == "bigint" else pa.string()) for name, kind in (x.split() for x in FLAT.split(","))])
 
     def run(batches):
         for batch in batches:
-            texts = zip(batch.file_id, batch.kind, batch.text, strict=True)
+            texts = zip(*[batch.column(c).to_pylist() for c in ("file_id", "kind", "text")], strict=True)
             rows = ((doc, *row, i) for doc, kind, text in texts for i, row in enumerate(flat_rows(doc, kind, text or "")))
             while some := list(islice(rows, ROWS_AT_ONCE)):
-                yield pd.DataFrame(some, columns=names).astype({"index": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), fields, strict=True)], schema=fields)
 
-    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return raw.repartition(tasks, "file_id").mapInPandas(run, FLAT)
+    return raw.repartition(parsing_tasks(raw.sparkSession), "file_id").mapInArrow(run, FLAT)
 
 
 def csv_headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, tuple[str, ...]], list[str]]:

@@ -7,7 +7,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema).filter("false")
 
 
+def collected(df: DataFrame, *order: str) -> list[Row]:
+    """The rows of a table that is as large as a schema, sorted as Spark sorts (nulls first). What is collected anyway
+    needs no sampling and no shuffle for its order."""
+    return sorted(df.collect(), key=lambda r: [(r[c] is not None, 0 if r[c] is None else r[c]) for c in order])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, in local mode, a temporary folder."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

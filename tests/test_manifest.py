@@ -7,7 +7,7 @@ from entiloom.functions.documents import arithmetic, docstring_parts, flatten, p
 from entiloom.plans import registrar
 from entiloom.plans.registrar import Registrar
 from entiloom.sources.manifests import apart, csv_tables, flat_documents, raw_documents
-from entiloom.sources.tables import load_jdbc, save_jdbc
+from entiloom.sources.tables import collected, load_jdbc, save_jdbc
 
 MANIFEST = """
 goal:
@@ -237,3 +237,26 @@ def test_what_rules_and_checks_read_often_is_written_once(spark, monkeypatch):
     done = registrar.validated(new, last=True)
     assert "requirement" in written and hasattr(done.get("requirement"), "durable_path")
     assert "ExistingRDD" not in done.get("invalid_field")._jdf.queryExecution().toString()
+
+
+def test_documents_are_written_once_by_few_tasks(spark, monkeypatch):
+    """Entities and pairs come from one table, and a task gets documents enough to be worth its Python worker."""
+    written, write = [], registrar.durable
+    monkeypatch.setattr(registrar, "durable", lambda df, name="step", by=None: written.append(name) or write(df, name, by))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "640")
+        flat = flat_documents(raw_documents(spark, yaml={"a.yaml": "a:\n    - x: 1\n"}))
+        assert flat.rdd.getNumPartitions() == 80
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    new = registrar.loaded(spark, yaml={"a.yaml": "a:\n    - x: 1\n    - x of: {y: 2}\nb:\n    c:\n"}, builtins=False)
+    assert written == ["flat"]
+    assert sorted(r.path for r in new.get("entity_id").collect()) == ["a.yaml:a", "a.yaml:b"]  # a null entity leaves nothing
+    rows = new.get("x").select("component_index", "modifier", "value", "y").orderBy("component_index").collect()
+    assert [tuple(r) for r in rows] == [(0, None, "1", None), (1, "of", None, "2")]
+
+
+def test_rows_of_a_schema_are_sorted_as_by_spark(spark):
+    rows = spark.createDataFrame([("ä", 1), ("z", None), (None, 3), ("Z", 2), ("z", 0), ("\U0001f600", 1), ("\uffee", 1)], "a string, b bigint")
+    assert collected(rows, "a", "b") == rows.orderBy("a", "b").collect()
