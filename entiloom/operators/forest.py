@@ -12,6 +12,8 @@ must count once, however many ways lead there; for them alone pairs are listed,
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +66,24 @@ class Hierarchy:
         some = F.col("n") > 1
         start = own.select(F.col("des").alias("entity_id"), F.when(~some, F.col("up")).alias("up"), some.alias("tangled")).unionByName(tops.select(F.col("des").alias("entity_id"), F.lit(None).cast("string").alias("up"), F.lit(False).alias("tangled")))
         kind = step.schema["anc"].dataType
-        start = start.select("entity_id", F.col("up").cast(kind).alias("up"), F.col("up").isNotNull().cast("bigint").alias("depth"), "tangled")
+        up = F.col("up").cast(kind)
+        start = start.select("entity_id", up.alias("up"), F.col("up").isNotNull().cast("bigint").alias("depth"), "tangled", up.alias("parent_eid"))
         still = {"open": F.col("up").isNotNull(), "tangled": F.col("tangled")}
         state, n = counted(start, "climb", **still)
-        first, self.levels, before = state, [], -1
+        self.levels, before = [], -1
         while n["open"] not in (0, before):
             self.levels.append(state.filter("up is not null").select("entity_id", "up"))
             above = state.select(F.col("entity_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("tangled").alias("knot"))
             # what has arrived waits outside of the join: nulls would all be joined by one task
             climbing, arrived = state.filter("up is not null"), state.filter("up is null")
-            higher = climbing.join(above, "up", "left").select("entity_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("tangled") | F.coalesce("knot", F.lit(False))).alias("tangled")).unionByName(arrived)
+            higher = climbing.join(above, "up", "left").select("entity_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("tangled") | F.coalesce("knot", F.lit(False))).alias("tangled"), "parent_eid").unionByName(arrived)
             before, (state, n) = n["open"], counted(higher, "climb", **still)
         # a round that ends no way upwards has only ways into cycles left
         knot = F.col("tangled") | F.col("up").isNotNull()
-        found = state.select("entity_id", F.when(~knot, F.col("depth")).alias("depth"), knot.alias("tangled"))
-        self.nodes = durable(found.join(first.select("entity_id", F.col("up").alias("parent_eid")), "entity_id").select("entity_id", "parent_eid", "depth", "tangled"), "nodes")
+        self.nodes = state.select("entity_id", "parent_eid", F.when(~knot, F.col("depth")).alias("depth"), knot.alias("tangled"))
         self.has_tangled = bool(n["open"] or n["tangled"])
         self._pairs: DataFrame | None = None
+        self._listing = Lock()
 
     @property
     def tangled(self) -> DataFrame:
@@ -88,17 +91,21 @@ class Hierarchy:
 
     @property
     def pairs(self) -> DataFrame:
-        """anc, des, steps of all tangled des. Steps above them are followed as far as their ancestors go."""
-        if self._pairs is None:
-            knots = self.tangled.withColumnRenamed("entity_id", "des")
-            above = durable(self.steps.join(knots, "des", "left_semi").select(F.col("anc").alias("entity_id")).distinct(), "above")
-            for level in self.levels:
-                above = durable(above.unionAll(level.join(above, "entity_id", "left_semi").select(F.col("up").alias("entity_id"))).distinct(), "above")
-            part = self.steps.join(knots.unionAll(above).distinct(), "des", "left_semi")
-            every = closure(part.select(F.col("des").alias("entity_id"), F.col("anc").alias("parent_eid")))
-            self._pairs = durable(every.join(knots, "des", "left_semi").select("anc", "des", "steps"), "tangled-pairs")
+        """anc, des, steps of all tangled des, listed once. Steps above them are followed as far as their ancestors go."""
+        with self._listing:
+            if self._pairs is None:
+                self._pairs = self._listed()
         return self._pairs
 
+    def _listed(self) -> DataFrame:
+        knots = self.tangled.withColumnRenamed("entity_id", "des")
+        above = durable(self.steps.join(knots, "des", "left_semi").select(F.col("anc").alias("entity_id")).distinct(), "above")
+        for level in self.levels:
+            above = durable(above.unionAll(level.join(above, "entity_id", "left_semi").select(F.col("up").alias("entity_id"))).distinct(), "above")
+        part = self.steps.join(knots.unionAll(above).distinct(), "des", "left_semi")
+        every = closure(part.select(F.col("des").alias("entity_id"), F.col("anc").alias("parent_eid")))
+        return durable(every.join(knots, "des", "left_semi").select("anc", "des", "steps"), "tangled-pairs")
+
     def depth(self) -> DataFrame:
         """entity_id, depth: steps below the nearest root. What no root reaches has none."""
         out = self.nodes.filter("not tangled").select("entity_id", F.col("depth").cast("int").alias("depth"))
@@ -136,14 +143,17 @@ class Hierarchy:
         """entity_id, priority_product over an entity and all above it; priority: entity_id, p (several: the highest;
         none or null: 1). Entities outside of the hierarchy have their own."""
         top = priority.groupBy("entity_id").agg(F.max("p").cast("double").alias("p"))
-        every = self.nodes.select("entity_id").unionAll(ids.select("entity_id")).distinct()
-        own = durable(every.join(top, "entity_id", "left").select("entity_id", F.coalesce("p", F.lit(1.0)).alias("v")), "own")
-        out = self.from_above(own.join(self.tangled, "entity_id", "left_anti") if self.has_tangled else own, lambda a, b: a * b)
+        every = self.nodes.select("entity_id", F.lit(False).alias("asked")).unionAll(ids.select("entity_id", F.lit(True))).filter("entity_id is not null")
+        every = every.groupBy("entity_id").agg(F.max("asked").alias("asked"))
+        pair = lambda p: F.struct(p.alias("p"), "asked").alias("v")
+        own = durable(every.join(top, "entity_id", "left").select("entity_id", pair(F.coalesce("p", F.lit(1.0)))), "own")
+        free = own.join(self.tangled, "entity_id", "left_anti") if self.has_tangled else own
+        out = self.from_above(free, lambda a, b: F.struct((a["p"] * b["p"]).alias("p"), a["asked"].alias("asked"))).select("entity_id", "v.p", "v.asked")
         if self.has_tangled:
-            knots = own.join(self.tangled, "entity_id", "left_semi")
-            above = self.pairs.join(own.withColumnRenamed("entity_id", "anc"), "anc").select(F.col("des").alias("entity_id"), "v")
-            out = out.unionByName(above.unionByName(knots).groupBy("entity_id").agg(F.product("v").alias("v")))
-        return out.join(ids.select("entity_id").distinct(), "entity_id", "left_semi").withColumnRenamed("v", "priority_product")
+            knots = own.join(self.tangled, "entity_id", "left_semi").select("entity_id", "v.p", "v.asked")
+            above = self.pairs.join(own.withColumnRenamed("entity_id", "anc"), "anc").select(F.col("des").alias("entity_id"), "v.p", F.lit(False).alias("asked"))
+            out = out.unionByName(above.unionByName(knots).groupBy("entity_id").agg(F.product("p").alias("p"), F.max("asked").alias("asked")))
+        return out.filter("asked").select("entity_id", F.col("p").alias("priority_product"))
 
     def intervals(self, order: DataFrame | None = None) -> DataFrame:
         """entity_id, parent_eid, root, depth, enter, leave of untangled entities.

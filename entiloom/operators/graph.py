@@ -14,9 +14,13 @@ __all__ = ["Hierarchy", "closure", "inherited", "ordered_trees"]
 
 def parents_from_paths(spine: DataFrame) -> DataFrame:
     """entity_id, component_index (-1), modifier, parent_eid, is_primary (true) of every nested entity."""
+    return path_edges(spine).distinct()
+
+
+def path_edges(spine: DataFrame) -> DataFrame:
     up = parent_path(F.col("path"))
     rows = spine.filter(F.col("path").isNotNull() & up.isNotNull())
-    return rows.select(F.col("value").alias("entity_id"), F.lit(-1).cast("bigint").alias("component_index"), F.lit(None).cast("string").alias("modifier"), entity_id(up).alias("parent_eid"), F.lit(True).alias("is_primary")).distinct()
+    return rows.select(F.col("value").alias("entity_id"), F.lit(-1).cast("bigint").alias("component_index"), F.lit(None).cast("string").alias("modifier"), entity_id(up).alias("parent_eid"), F.lit(True).alias("is_primary"))
 
 
 def first_by_key(spine: DataFrame) -> DataFrame:
@@ -27,12 +31,11 @@ def first_by_key(spine: DataFrame) -> DataFrame:
 def parents(spine: DataFrame, explicit: DataFrame | None) -> DataFrame:
     """Edges of the paths and of `parent` components, whose value names an entity's key; unknown keys drop out.
     is_primary is kept where an explicit edge says it, and is false otherwise."""
-    nested = parents_from_paths(spine)
     if explicit is None or "value" not in explicit.columns:
-        return nested
+        return parents_from_paths(spine)
     primary = F.coalesce(F.col("is_primary").cast("string").try_cast("boolean"), F.lit(False)) if "is_primary" in explicit.columns else F.lit(False)
     named = explicit.filter("value is not null").withColumn("_primary", primary).join(first_by_key(spine), explicit["value"] == F.col("entity_key"))
-    return nested.unionByName(named.select("entity_id", F.col("component_index").cast("bigint"), "modifier", "parent_eid", F.col("_primary").alias("is_primary"))).distinct()
+    return path_edges(spine).unionByName(named.select("entity_id", F.col("component_index").cast("bigint"), "modifier", "parent_eid", F.col("_primary").alias("is_primary"))).distinct()
 
 
 def entity_depth(edges: DataFrame, tree: Hierarchy | None = None) -> DataFrame:

@@ -113,8 +113,6 @@ def with_derived(reg: Registry, tree: graph.Hierarchy, period: str = "28 days")
         made["priority_product"] = lambda: tree.ancestor_product(ids, p)
     if {"impact", "cost"} & reg.tables.keys():
         made["resolved_impact_cost"] = lambda: derive.impact_cost(reg.get("impact"), reg.get("cost"), reg.tables.get("impact_budget"), reg.tables.get("cost_budget"))
-    if tree.has_tangled:
-        tree.pairs  # noqa: B018  listed once, before several tables ask for them
     with ThreadPoolExecutor(len(made)) as pool:  # each is a chain of jobs, and doesn't wait for the others
         out = {n: f.result() for n, f in {n: pool.submit(f) for n, f in made.items()}.items()}
     written = durable_all(out)

@@ -197,3 +197,19 @@ def test_what_has_arrived_is_not_joined_by_one_task(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {f"p{i}": 0.5 for i in range(400)} | {f"c{i}": 0.25 for i in range(400)}
     assert most["climb"] and most["held"] and max(most["climb"] + most["held"]) < 0.5
+
+
+def test_products_of_some_take_no_further_join(spark, monkeypatch):
+    """Which entities are asked for is known from the start, and parents travel with the ways upwards."""
+    written, write = [], forest.durable
+    monkeypatch.setattr(forest, "durable", lambda df, name="step", by=None: written.append(name) or write(df, name, by))
+    tree = Hierarchy(edges(spark, [("a", "b"), ("b", "c"), ("b", "d")]))
+    assert "nodes" not in written
+    assert {tuple(r) for r in tree.nodes.collect()} == {("a", None, 0, False), ("b", "a", 1, False), ("c", "b", 2, False), ("d", "b", 2, False)}
+    ids = spark.createDataFrame([("c",), ("d",), ("x",), (None,), ("c",)], "entity_id string")
+    half = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("x", 0.25), ("c", None)], "entity_id string, p double")
+    out = tree.ancestor_product(ids, half)
+    assert sorted(tuple(r) for r in out.collect()) == [("c", 0.25), ("d", 0.25), ("x", 0.25)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    knots = Hierarchy(edges(spark, [("a", "c"), ("b", "c"), ("c", "d")])).ancestor_product(ids, half)
+    assert sorted(tuple(r) for r in knots.collect()) == [("c", 0.25), ("d", 0.25), ("x", 0.25)]
